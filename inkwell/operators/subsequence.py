@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +16,6 @@ def _common_length():
     Works on whole arrays with one bit per reference token, so a step handles
     all of them at once. Rows stay where they are.
     """
-    import pandas as pd
-
     def lengths(reference: pd.Series, generated: pd.Series) -> pd.Series:
         def one(ref, gen) -> int:
             places: dict[str, int] = {}
