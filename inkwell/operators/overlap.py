@@ -73,21 +73,27 @@ def overlap_counts(
     up both happen inside that partitioning. Columns are
     ``<family><n>_{ref,gen,hit}``.
     """
-    grams = []
-    for from_reference, column in ((1, "reference"), (0, "generated")):
-        if rouge:
-            grams += [_grams(alnum_tokens(F.col(column)), ROUGE, n, from_reference) for n in rouge]
-        if bleu:
-            grams += [_grams(space_tokens(F.col(column)), BLEU, n, from_reference) for n in BLEU_ORDERS]
-    exploded = spread(pairs.select(*keys, "reference", "generated"), *keys).select(
-        *keys, F.inline_outer(F.concat(*grams))
+    cuts = {ROUGE: alnum_tokens, BLEU: space_tokens}
+    orders = {ROUGE: tuple(rouge), BLEU: BLEU_ORDERS if bleu else ()}
+    sides = {"reference": 1, "generated": 0}
+    used = [(family, side) for family in cuts if orders[family] for side in sides]
+    # Cut into tokens first, as columns: an expression inside the n-gram
+    # function would be evaluated anew for every n-gram.
+    tokens = spread(pairs.select(*keys, *sides), *keys).select(
+        *keys, *[cuts[family](F.col(side)).alias(f"_{family}_{side}") for family, side in used]
+    )
+    exploded = tokens.select(
+        *keys,
+        F.inline_outer(F.concat(*[
+            _grams(F.col(f"_{family}_{side}"), family, n, sides[side])
+            for family, side in used for n in orders[family]
+        ])),
     )
     counted = exploded.groupBy(*keys, "family", "n", "gram").agg(
         F.sum("ref").alias("ref"), F.sum("gen").alias("gen")
     )
-    wanted = [(ROUGE, n) for n in rouge] + [(BLEU, n) for n in BLEU_ORDERS if bleu]
     sums = []
-    for family, n in wanted:
+    for family, n in [(family, n) for family in orders for n in orders[family]]:
         mine = (F.col("family") == family) & (F.col("n") == n)
         for name, value in (
             ("ref", F.col("ref")), ("gen", F.col("gen")), ("hit", F.least("ref", "gen"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
 from math import exp, factorial
 
@@ -34,27 +35,24 @@ def score_table(
     if perplexity and model is None:
         raise ValueError("perplexity needs a word model")
     texts = [c for c in ("reference", "generated", "source") if c in pairs.columns]
-    table = spread(pairs.select(*keys, *texts), *keys)
-    scores = []
+    shown = texts if include_texts else []
+    parts = []
     if rouge or bleu:
-        counts = overlap_counts(pairs, keys, (1, 2) if rouge else (), bleu)
-        columns = {}
-        if rouge:
-            columns |= {f"rouge{n}": rouge_columns(n)[f"rouge{n}"] for n in (1, 2)}
+        columns = {f"rouge{n}": rouge_columns(n)[f"rouge{n}"] for n in (1, 2)} if rouge else {}
         if bleu:
             columns["bleu"] = bleu_column()
-        table = table.join(counts.select(*keys, *[c.alias(n) for n, c in columns.items()]), keys)
-        scores += list(columns)
-    if rouge:
-        table = with_rouge_l(table)
-        scores.insert(2, "rougeL")
+        counts = overlap_counts(pairs, keys, (1, 2) if rouge else (), bleu)
+        parts.append(counts.select(*keys, *[c.alias(n) for n, c in columns.items()]))
     if meteor:
-        table = table.join(meteor_scores(pairs, keys), keys)
-        scores.append("meteor")
+        parts.append(meteor_scores(pairs, keys))
     if perplexity:
-        table = table.join(perplexities(pairs, model, keys, "source"), keys)
-        scores.append("perplexity")
-    return table.select(*keys, *scores, *(texts if include_texts else []))
+        parts.append(perplexities(pairs, model, keys, "source"))
+    if rouge or shown or not parts:
+        whole = spread(pairs.select(*keys, *texts), *keys)
+        parts.insert(0, with_rouge_l(whole) if rouge else whole)
+    table = reduce(lambda left, right: left.join(right, keys), parts)
+    order = ["rouge1", "rouge2", "rougeL", "bleu", "meteor", "perplexity"]
+    return table.select(*keys, *[c for c in order if c in table.columns], *shown)
 
 
 def corpus_scores(scores: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
