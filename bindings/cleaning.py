@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindings.registry import BODY, END, FIRST_SENTENCE_SQL, START, first_sentence, query, sentence_list_sql, table
+from bindings.registry import BODY, END, FIRST_SENTENCE_SQL, START, first_sentence, query, sentence_list_sql, spread_docs, table
 from inkwell.functions import text as t
 from inkwell.functions.stopwords import STOP_WORDS
 from inkwell.operators.filters import well_formed
@@ -224,13 +224,13 @@ SELECT doc_id, coalesce(joined.text, '') AS text FROM lists LEFT JOIN joined USI
 
 @query(f"WITH RECURSIVE {_resegment_sql(sentence_list_sql('text'), 'documents')}")
 def resegmented(spark, sf_dir):
-    docs = _docs(spark, sf_dir).select("doc_id", t.split_sentences(F.col("text")).alias("sentences"))
+    docs = spread_docs(spark, sf_dir).select("doc_id", t.split_sentences(F.col("text")).alias("sentences"))
     return resegmented_text(resegment(docs, "doc_id"), "doc_id")
 
 
 @query(f"WITH RECURSIVE {SLICES_SQL}, {_resegment_sql(STRICT_SQL, 'slices')}")
 def strict_profile(spark, sf_dir):
-    return clean_strict(_docs(spark, sf_dir), "doc_id", "text", BODY, END)
+    return clean_strict(spread_docs(spark, sf_dir), "doc_id", "text", BODY, END)
 
 
 @query(f"""
@@ -260,12 +260,12 @@ best AS (
 
 @query(f"WITH {LANGUAGE_SQL} SELECT doc_id, code AS detected FROM documents LEFT JOIN best USING (doc_id)")
 def language_detect(spark, sf_dir):
-    return with_language(_docs(spark, sf_dir)).select("doc_id", "detected")
+    return with_language(spread_docs(spark, sf_dir)).select("doc_id", "detected")
 
 
 @query(f"WITH {LANGUAGE_SQL} SELECT doc_id, text FROM documents JOIN best USING (doc_id) WHERE code = 'en'")
 def language_filter(spark, sf_dir):
-    return in_language(_docs(spark, sf_dir), "en")
+    return in_language(spread_docs(spark, sf_dir), "en")
 
 
 _TOP_SQL = f"""{SECTIONS_SQL},

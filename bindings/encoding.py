@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bindings.joining import _bucket_sql
-from bindings.registry import FIRST_SENTENCE_SQL, TEXT_PAIRS_SQL, first_sentence, query, table, text_pairs
+from bindings.registry import FIRST_SENTENCE_SQL, TEXT_PAIRS_SQL, first_sentence, query, spread_docs, text_pairs
 from inkwell.functions.text import space_tokens
 from inkwell.operators import encoding as enc
 from inkwell.operators.vocabulary import build_vocabulary, with_token_ids
@@ -105,7 +105,7 @@ FROM encoded JOIN framed USING (id)
 """)
 def training_set(spark, sf_dir):
     """Documents with their first sentence as abstract, encoded at full length and split."""
-    pairs = table(spark, sf_dir, "documents", "doc_id", "text").select(
+    pairs = spread_docs(spark, sf_dir).select(
         F.col("doc_id").alias("id"), F.col("text").alias("body"), first_sentence().alias("abstract")
     )
     rows = training.training_set(pairs, min_count=2)

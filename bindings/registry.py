@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.text import split_sentences
 from inkwell.operators.pairing import pair_by_key
+from inkwell.sources.readers import balanced
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for costly text steps; the test tables are a single row group."""
+    return balanced(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def paper_id() -> Column:
     """Ids in the two styles: every third with a folder, the others without."""
     doc_id, source = F.col("doc_id"), F.col("source")

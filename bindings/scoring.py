@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindings.registry import FIRST_SENTENCE_SQL, TURN_PAIRS_SQL, first_sentence, query, sentence_list_sql, table, turn_pairs
+from bindings.registry import FIRST_SENTENCE_SQL, TURN_PAIRS_SQL, first_sentence, query, sentence_list_sql, spread_docs, turn_pairs
 from inkwell.operators import alignment, overlap, scores, subsequence, summary
 from inkwell.operators import perplexity as ppl
 from inkwell.plans.evaluation import evaluate_summaries
@@ -198,13 +198,9 @@ perplexity_rows AS (
 DOC_MODEL = _model_sql("doc_id", "documents", "text")
 
 
-def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents", "doc_id", "text")
-
-
 @query(f"WITH {DOC_MODEL} SELECT doc_id, round(perplexity, 6) AS perplexity FROM perplexity_rows")
 def perplexity(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
+    docs = spread_docs(spark, sf_dir)
     rows = ppl.perplexity(docs, ppl.count_words(docs), ["doc_id"])
     return rows.withColumn("perplexity", F.round("perplexity", 6))
 
@@ -221,14 +217,14 @@ SELECT doc_id, round(CASE WHEN scored > 0 THEN exp(-lp / scored) END, 6) AS perp
 FROM documents LEFT JOIN bigram_rows USING (doc_id)
 """)
 def perplexity_bigram(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
+    docs = spread_docs(spark, sf_dir)
     rows = ppl.perplexity(docs, ppl.count_words(docs, order=2), ["doc_id"])
     return rows.withColumn("perplexity", F.round("perplexity", 6))
 
 
 @query(f"WITH {DOC_MODEL} SELECT round(exp(-sum(lp) / sum(scored)), 6) AS perplexity FROM pp_rows")
 def corpus_perplexity(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
+    docs = spread_docs(spark, sf_dir)
     row = ppl.corpus_perplexity(docs, ppl.count_words(docs), ["doc_id"])
     return row.withColumn("perplexity", F.round("perplexity", 6))
 
@@ -267,7 +263,7 @@ summaries AS (SELECT doc_id, coalesce(summary, '') AS summary FROM documents LEF
 
 @query(f"WITH {_summary_sql()} SELECT doc_id, summary FROM summaries")
 def extractive_summary(spark, sf_dir):
-    return summary.summarize(_docs(spark, sf_dir), "doc_id")
+    return summary.summarize(spread_docs(spark, sf_dir), "doc_id")
 
 
 @query(f"""
@@ -280,7 +276,7 @@ FROM (
 )
 """)
 def generation_limits(spark, sf_dir):
-    return summary.check_limits(_docs(spark, sf_dir), "text").drop("text")
+    return summary.check_limits(spread_docs(spark, sf_dir), "text").drop("text")
 
 
 SCORES = ["rouge1", "rouge2", "rougeL", "bleu", "meteor", "perplexity"]
@@ -353,7 +349,7 @@ FROM rouge JOIN bleu_rows USING (doc_id) JOIN meteor_rows USING (doc_id)
 """)
 def summaries_scored(spark, sf_dir):
     """Summaries of all documents against their first sentences."""
-    pairs = _docs(spark, sf_dir).select(
+    pairs = spread_docs(spark, sf_dir).select(
         F.col("doc_id").alias("id"), F.col("text").alias("body"), first_sentence().alias("abstract")
     )
     wide = evaluate_summaries(pairs, include_texts=False).drop("rougeL")

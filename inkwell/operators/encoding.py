@@ -14,15 +14,13 @@ MAX_INPUT, MAX_OUTPUT = 8192, 512
 IGNORED = -100
 
 
-def _framed(ids: Column, length: int) -> Column:
-    """Start and end ids around the tokens, padded to full length."""
-    whole = F.concat(F.array(F.lit(START_ID)), ids, F.array(F.lit(END_ID)))
-    return F.concat(whole, F.array_repeat(F.lit(PAD_ID), F.lit(length) - F.size(whole)))
+def _padded(values: Column, length: int, filler: int) -> Column:
+    return F.concat(values, F.array_repeat(F.lit(filler), F.lit(length) - F.size(values)))
 
 
-def attention_mask(ids: Column) -> Column:
-    """1 on tokens, 0 on padding."""
-    return F.transform(ids, lambda x: F.when(x == PAD_ID, 0).otherwise(1))
+def attention_mask(ids: Column, length: int) -> Column:
+    """1 on the given tokens, 0 on the padding that follows them."""
+    return _padded(F.array_repeat(F.lit(1), F.size(ids)), length, 0)
 
 
 def global_attention_mask(length: int) -> Column:
@@ -30,9 +28,13 @@ def global_attention_mask(length: int) -> Column:
     return F.concat(F.array(F.lit(1)), F.array_repeat(F.lit(0), length - 1))
 
 
-def as_labels(ids: Column) -> Column:
-    """Padding becomes the ignored label."""
-    return F.transform(ids, lambda x: F.when(x == PAD_ID, IGNORED).otherwise(x))
+def input_ids(ids: Column, length: int) -> Column:
+    return _padded(ids, length, PAD_ID)
+
+
+def as_labels(ids: Column, length: int) -> Column:
+    """Ids with the ignored label in place of padding."""
+    return _padded(ids, length, IGNORED)
 
 
 def encode(
@@ -65,18 +67,16 @@ def encode(
 
     def gathered(side: int) -> Column:
         placed = F.collect_list(F.when(F.col("side") == side, F.struct("pos", token_id.alias("i"))))
-        return F.transform(F.array_sort(placed), lambda x: x["i"])
+        ids = F.transform(F.array_sort(placed), lambda x: x["i"])
+        return F.concat(F.array(F.lit(START_ID)), ids, F.array(F.lit(END_ID)))
 
-    framed = found.groupBy(key).agg(gathered(0).alias("b"), gathered(1).alias("a")).select(
-        key, _framed(F.col("b"), max_input).alias("input_ids"),
-        _framed(F.col("a"), max_output).alias("output_ids"),
-    )
+    framed = found.groupBy(key).agg(gathered(0).alias("b"), gathered(1).alias("a"))
     return framed.select(
         key,
-        "input_ids",
-        attention_mask(F.col("input_ids")).alias("attention_mask"),
+        input_ids(F.col("b"), max_input).alias("input_ids"),
+        attention_mask(F.col("b"), max_input).alias("attention_mask"),
         global_attention_mask(max_input).alias("global_attention_mask"),
-        as_labels(F.col("output_ids")).alias("labels"),
+        as_labels(F.col("a"), max_output).alias("labels"),
     )
 
 

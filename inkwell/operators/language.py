@@ -19,7 +19,9 @@ def with_language(
     by name, and a text without any gets null.
 
     Counted inside the row: the word lists are constants of the plan, so the
-    text is neither exploded nor moved.
+    words are neither exploded nor moved. The result passes through a generator
+    of one element, past which the optimizer pushes no filter: a condition on
+    the language would repeat the counting otherwise.
     """
     lists = stop_words or STOP_WORDS
     tokens = F.col("_tokens")
@@ -35,7 +37,8 @@ def with_language(
         ]),
     )
     best = F.array_max("_hits")
-    return counted.withColumn(name, F.when(best["n"] > 0, best["code"])).drop("_tokens", "_hits")
+    found = F.explode(F.array(F.when(best["n"] > 0, best["code"])))
+    return counted.select(*df.columns, found.alias(name))
 
 
 def in_language(df: DataFrame, language: str = "en", column: str = "text") -> DataFrame:

@@ -40,17 +40,14 @@ def stemmed(pairs: DataFrame, keys: list[str], stems: DataFrame) -> DataFrame:
     The table is a dictionary, one row per token; Spark picks the join from its
     size. Tokens are gathered again inside the exchange by key.
     """
+    def listed(side: str) -> Column:
+        return F.transform(
+            alnum_tokens(F.col(side)),
+            lambda t, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), t.alias("token")),
+        )
+
     placed = spread(pairs, *keys).select(
-        *keys,
-        F.inline_outer(F.concat(*[
-            F.transform(
-                alnum_tokens(F.col(side)),
-                lambda t, i, side=side: F.struct(
-                    F.lit(side).alias("side"), i.alias("pos"), t.alias("token")
-                ),
-            )
-            for side in ("reference", "generated")
-        ])),
+        *keys, F.inline_outer(F.concat(listed("reference"), listed("generated")))
     )
     found = placed.join(stems, "token", "left").withColumn("word", F.coalesce("stem", "token"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.text import rejoin_sentences, word_tokens
 from inkwell.operators.lookup import lookup
-from inkwell.operators.vocabulary import build_vocabulary, token_counts
+from inkwell.operators.vocabulary import rank_vocabulary, token_counts
 from inkwell.session import durable, spread
 
 # Costs are whole millionths, so that sums compare the same everywhere.
@@ -18,11 +18,15 @@ def _sentence_tokens(sentences: str) -> Column:
     return F.flatten(F.transform(sentences, word_tokens))
 
 
-def word_costs(df: DataFrame, sentences: str = "sentences", min_count: int = 2) -> DataFrame:
+def sentence_token_counts(df: DataFrame, sentences: str = "sentences") -> DataFrame:
+    """``{token, n}`` of the sentences, case kept; a stored table."""
+    return durable(token_counts(df, _sentence_tokens(sentences)), "token-counts")
+
+
+def word_costs(tokens: DataFrame, min_count: int = 2) -> DataFrame:
     """``{word, n, cost}``: the r-th commonest of N words costs ln(r ln N)."""
-    ranked = build_vocabulary(
-        df, F.transform(_sentence_tokens(sentences), F.lower), min_count=min_count
-    )
+    words = tokens.groupBy(F.lower("token").alias("token")).agg(F.sum("n").alias("n"))
+    ranked = rank_vocabulary(words, min_count)
     size = max(ranked.count(), 2)
     cost = F.log(F.col("rank") * F.log(F.lit(float(size))))
     return ranked.select(
@@ -41,44 +45,52 @@ def _cheapest(spans: Column, length: Column, most_words: int) -> Column:
     nowhere = F.lit(None).cast(kind)
     origin = F.struct(F.lit(0).cast("long").alias("cost"), F.lit("").alias("words")).cast(kind)
     begin = F.concat(F.array(origin), F.array_repeat(nowhere, length))
+    ending_at = F.transform(
+        F.sequence(F.lit(0), length), lambda place: F.filter(spans, lambda s: s["stop"] == place)
+    )
 
-    def extended(state: Column) -> Column:
-        def arrive(best: Column, place: Column) -> Column:
+    def extended(best: Column, endings: Column) -> Column:
+        def arrive(here: Column, place: Column) -> Column:
             steps = F.transform(
-                F.filter(spans, lambda s: (s["stop"] == place) & F.get(state, s["start"]).isNotNull()),
+                F.filter(F.get(endings, place), lambda s: F.get(best, s["start"]).isNotNull()),
                 lambda s: F.struct(
-                    (F.get(state, s["start"])["cost"] + s["cost"]).alias("cost"),
-                    F.ltrim(F.concat_ws(" ", F.get(state, s["start"])["words"], s["word"])).alias("words"),
+                    (F.get(best, s["start"])["cost"] + s["cost"]).alias("cost"),
+                    F.ltrim(F.concat_ws(" ", F.get(best, s["start"])["words"], s["word"])).alias("words"),
                 ).cast(kind),
             )
-            return F.array_min(F.concat(F.array(best), steps))
-
-        return F.transform(state, arrive)
-
-    rounds = F.sequence(F.lit(1), F.lit(most_words))
-    final = F.aggregate(rounds, begin, lambda state, _: extended(state))
-    return F.get(final, length)["words"]
+            return F.array_min(F.concat(F.array(here), steps))
+
+        return F.transform(best, arrive)
+
+    # The spans by end ride along with the state, so they are sorted out once.
+    final = F.aggregate(
+        F.sequence(F.lit(1), F.lit(most_words)),
+        F.struct(begin.alias("best"), ending_at.alias("endings")),
+        lambda state, _: F.struct(
+            extended(state["best"], state["endings"]).alias("best"), state["endings"].alias("endings")
+        ),
+        lambda state: F.get(state["best"], length)["words"],
+    )
+    return final
 
 
-def replacements(
-    df: DataFrame, costs: DataFrame, sentences: str = "sentences", most_words: int = 4
-) -> DataFrame:
+def replacements(tokens: DataFrame, costs: DataFrame, most_words: int = 4) -> DataFrame:
     """``{token, n, words}`` for unknown tokens that split into known words.
 
     Each distinct unknown token is cut into the substrings that could be a
-    word; those that are one are gathered per token, at most a few hundred. A
+    word; those that are one are gathered per token, at most a few hundred. The
+    tokens are spread before they are cut, so gathering needs no exchange. A
     token longer than ``most_words`` of the longest known word has no split and
     is left out early.
     """
     longest = costs.agg(F.max(F.length("word")).alias("m")).first()["m"] or 0
-    tokens = token_counts(df, _sentence_tokens(sentences))
     unknown = (
         tokens.where(F.length("token") <= most_words * longest)
         .withColumn("low", F.lower("token"))
         .join(costs.select(F.col("word").alias("low")), "low", "left_anti")
         .select("token", F.col("n").alias("seen"), F.length("token").alias("size"))
     )
-    starts = unknown.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("start"))
+    starts = spread(unknown, "token").select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("start"))
     spans = starts.select(
         "*",
         F.explode(
@@ -114,9 +126,10 @@ def resegment(
     key, before they are exploded.
     """
     df = df.select(key, sentences)
+    tokens = sentence_token_counts(df, sentences)
     if costs is None:
-        costs = word_costs(df, sentences, min_count)
-    table = replacements(df, costs, sentences, most_words)
+        costs = word_costs(tokens, min_count)
+    table = replacements(tokens, costs, most_words)
     placed = spread(df, key).select(
         key, F.posexplode_outer(sentences).alias("sentence", "content")
     ).select(key, "sentence", F.posexplode_outer(word_tokens(F.col("content"))).alias("pos", "token"))

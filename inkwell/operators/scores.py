@@ -60,17 +60,17 @@ def corpus_scores(scores: DataFrame, columns: list[str], digits: int = 4) -> Dat
     return scores.agg(*[F.round(F.avg(c), digits).alias(c) for c in columns])
 
 
-def _resampling_weights(keys: list[str], block: Column) -> Column:
-    """Four Poisson(1) weights from the key and a block number: the same on every run."""
-    digest = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], block.cast("string")))
-    limits = accumulate(exp(-1) / factorial(k) for k in range(13))
-    limits = [min(round(c * 2**32), 2**32 - 1) for c in limits]
+def _drawn(digest: Column) -> Column:
+    """Four numbers below 2^32 from one digest."""
+    return F.array(*[
+        F.conv(F.substring(digest, 8 * place + 1, 8), 16, 10).cast("long") for place in range(4)
+    ])
 
-    def weight(place: int) -> Column:
-        drawn = F.conv(F.substring(digest, 8 * place + 1, 8), 16, 10).cast("long")
-        return sum([(drawn >= c).cast("int") for c in limits[1:]], (drawn >= limits[0]).cast("int"))
 
-    return F.array(*[weight(place) for place in range(4)])
+def _poisson_weight(drawn: Column) -> Column:
+    """How often a row is drawn, Poisson(1), from a number below 2^32."""
+    limits = [min(round(c * 2**32), 2**32 - 1) for c in accumulate(exp(-1) / factorial(k) for k in range(13))]
+    return reduce(lambda a, b: a + b, [(drawn >= c).cast("int") for c in limits])
 
 
 def corpus_intervals(
@@ -83,10 +83,14 @@ def corpus_intervals(
     ``replicates`` is a multiple of four.
     """
     blocks = F.explode(F.sequence(F.lit(0), F.lit(replicates // 4 - 1)))
+    name = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.col("block").cast("string"))
     weighted = (
         scores.select(*keys, *columns, blocks.alias("block"))
-        .select(*columns, "block", F.posexplode(_resampling_weights(keys, F.col("block"))).alias("place", "w"))
-        .withColumn("replicate", F.col("block") * 4 + F.col("place"))
+        .select(*columns, "block", F.posexplode(_drawn(F.md5(name))).alias("place", "drawn"))
+        .select(
+            *columns, (F.col("block") * 4 + F.col("place")).alias("replicate"),
+            _poisson_weight(F.col("drawn")).alias("w"),
+        )
     )
     means = weighted.groupBy("replicate").agg(*[
         F.try_divide(F.sum(F.col(c) * F.col("w")), F.sum("w")).alias(c) for c in columns

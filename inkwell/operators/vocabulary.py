@@ -18,10 +18,15 @@ def token_counts(df: DataFrame, *token_arrays: Column) -> DataFrame:
     return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
+def rank_vocabulary(counts: DataFrame, min_count: int = 1) -> DataFrame:
+    """Add ``rank`` to ``{token, n}``: commonest first, ties by token."""
+    kept = counts.where(F.col("n") >= min_count)
+    return rank_globally(kept, F.col("n").desc(), F.col("token"), label="vocabulary")
+
+
 def build_vocabulary(df: DataFrame, *token_arrays: Column, min_count: int = 1) -> DataFrame:
-    """``{token, n, rank}``: commonest first, ties by token; a stored table."""
-    counts = token_counts(df, *token_arrays).where(F.col("n") >= min_count)
-    return rank_globally(counts, F.col("n").desc(), F.col("token"), label="vocabulary")
+    """``{token, n, rank}`` of a corpus; a stored table."""
+    return rank_vocabulary(token_counts(df, *token_arrays), min_count)
 
 
 def with_token_ids(vocabulary: DataFrame) -> DataFrame:

@@ -21,6 +21,17 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def balanced(scan: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than there are cores.
+
+    Few large files or row groups would leave most cores idle in the costly
+    text steps that follow. A scan with enough splits is returned as it is.
+    Meant for a bare scan, whose splits are known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_metadata(spark: SparkSession, path: str, schema: str = METADATA_SCHEMA) -> DataFrame:
     """Paper metadata, one JSON object per line; no inference pass."""
     return spark.read.schema(schema).json(path)
@@ -82,7 +93,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 def read_texts(spark: SparkSession, path: str, encoding: str = "cp1252") -> DataFrame:
     """``{folder, file, text}`` of every file in a tree, lines joined by a blank.
 
-    ``folder`` is the file's parent.
+    ``folder`` is the file's parent. Spark's scan passes over files of no bytes.
     """
     return _files(spark, path).select(
         "folder", "file", text.join_lines(text.decode_bytes(F.col("content"), encoding)).alias("text")
