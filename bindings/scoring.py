@@ -218,7 +218,7 @@ FROM documents LEFT JOIN bigram_rows USING (doc_id)
 """)
 def perplexity_bigram(spark, sf_dir):
     docs = spread_docs(spark, sf_dir)
-    rows = ppl.perplexity(docs, ppl.count_words(docs, order=2), ["doc_id"])
+    rows = ppl.perplexity(docs, ppl.count_words(docs, order=2), ["doc_id"], counted=True)
     return rows.withColumn("perplexity", F.round("perplexity", 6))
 
 

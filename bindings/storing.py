@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindings.registry import FIRST_SENTENCE_SQL, PAPER_ID_SQL, PARTS_SQL, first_sentence, paper_id, query, table
+from bindings.cleaning import BASIC_SQL, SLICES_SQL
+from bindings.registry import (
+    BODY, END, FIRST_SENTENCE_SQL, PAPER_ID_SQL, PARTS_SQL, first_sentence, paper_id, query, table,
+)
 from inkwell.operators.filters import with_id_parts, with_paths
+from inkwell.plans.cleaning import clean_basic
 from inkwell.session import new_shared_path
 from inkwell.sources import readers, writers
 
@@ -100,6 +104,25 @@ def roundtrip_partitioned(spark, sf_dir):
     return spark.read.schema(schema).parquet(path).select("id", "abstract", "suffix", "prefix", "date")
 
 
+@query(f"WITH {PARTS_SQL} SELECT id, text, prefix, date, suffix FROM parts")
+def roundtrip_articles(spark, sf_dir):
+    """Articles in the folder layout of prefix and date."""
+    papers = with_id_parts(_papers(spark, sf_dir)).withColumnRenamed("abstract", "text")
+    path = writers.write_articles(papers, new_shared_path(spark, "articles"))
+    schema = "id string, text string, prefix string, date string, suffix string"
+    return spark.read.schema(schema).parquet(path).select("id", "text", "prefix", "date", "suffix")
+
+
+@query(f"WITH {SLICES_SQL} SELECT doc_id, {BASIC_SQL} AS body FROM slices")
+def roundtrip_cleaned(spark, sf_dir):
+    """Cleaned texts in a flat table, written over what was there."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    cleaned = docs.select("doc_id", clean_basic(F.col("text"), BODY, END).alias("body"))
+    raw = docs.withColumnRenamed("text", "body")
+    path = writers.write_cleaned(raw, new_shared_path(spark, "cleaned"))
+    return spark.read.schema(cleaned.schema).parquet(writers.write_cleaned(cleaned, path))
+
+
 @query(f"""
 WITH {PARTS_SQL}
 SELECT suffix || 'v1.txt' AS file, text, replace(text, chr(10), '') AS cleaned,

@@ -14,7 +14,7 @@ from inkwell.session import durable
 
 @dataclass(frozen=True)
 class WordModel:
-    """Stored counts: ``words`` is ``{token, n}``, ``pairs`` ``{left, token, n_pair}``."""
+    """Stored counts: ``words`` is ``{token, n}``, ``pairs`` ``{left, token, n_pair, n_left}``."""
 
     words: DataFrame
     pairs: DataFrame | None
@@ -51,16 +51,17 @@ def count_words(
     pairs = None
     if order == 2:
         neighbours = _placed(corpus, [], column, max_tokens, 2)
-        pairs = durable(
+        counted = (
             neighbours.where(F.col("left").isNotNull()).groupBy("left", "token")
-            .agg(F.count("*").alias("n_pair")),
-            "word-pairs",
+            .agg(F.count("*").alias("n_pair"))
         )
+        lefts = words.select(F.col("token").alias("left"), F.col("n").alias("n_left"))
+        pairs = durable(counted.join(lefts, "left"), "word-pairs")
     return WordModel(words, pairs, sums["total"] or 0, sums["size"])
 
 
 def _log_likelihood(
-    df: DataFrame, model: WordModel, keys: list[str], column: str, max_tokens: int | None
+    df: DataFrame, model: WordModel, keys: list[str], column: str, max_tokens: int | None, counted: bool
 ) -> DataFrame:
     """``{keys, lp, n_scored}``: summed log probability and number of scored tokens."""
     order = 1 if model.pairs is None else 2
@@ -69,12 +70,13 @@ def _log_likelihood(
         found = lookup(placed, model.words, "token", keys)
         seen, base = F.coalesce("n", F.lit(0)), F.lit(model.total)
     else:
-        lefts = model.words.select(F.col("token").alias("left"), "n")
-        found = lookup(
-            lookup(placed, model.pairs, ["left", "token"], keys, weight="n_pair"),
-            lefts, "left", keys,
-        )
-        seen, base = F.coalesce("n_pair", F.lit(0)), F.coalesce("n", F.lit(0))
+        found = lookup(placed, model.pairs, ["left", "token"], keys, weight="n_pair")
+        left_count = F.col("n_left")
+        if not counted:
+            lefts = model.words.select(F.col("token").alias("left"), "n")
+            found = lookup(found, lefts, "left", keys)
+            left_count = F.coalesce("n_left", "n")
+        seen, base = F.coalesce("n_pair", F.lit(0)), F.coalesce(left_count, F.lit(0))
     # Add-one smoothing, with one place for every word not seen.
     probability = (seen + 1).cast("double") / (base + F.lit(model.size + 1))
     scored = F.col("token").isNotNull()
@@ -84,16 +86,20 @@ def _log_likelihood(
 
 
 def perplexity(
-    df: DataFrame, model: WordModel, keys: list[str], column: str = "text", max_tokens: int | None = None
+    df: DataFrame, model: WordModel, keys: list[str], column: str = "text", max_tokens: int | None = None, counted: bool = False,
 ) -> DataFrame:
-    """``{keys, perplexity}`` per row; null where there is no token to score."""
-    sums = _log_likelihood(df, model, keys, column, max_tokens)
+    """``{keys, perplexity}`` per row; null where there is no token to score.
+
+    Say ``counted`` if the model was counted from these very texts: then no pair
+    is unknown, and a second lookup is spared.
+    """
+    sums = _log_likelihood(df, model, keys, column, max_tokens, counted)
     return sums.select(*keys, F.exp(-F.col("lp") / F.col("n_scored")).alias("perplexity"))
 
 
 def corpus_perplexity(
-    df: DataFrame, model: WordModel, keys: list[str], column: str = "text", max_tokens: int | None = None
+    df: DataFrame, model: WordModel, keys: list[str], column: str = "text", max_tokens: int | None = None, counted: bool = False,
 ) -> DataFrame:
     """One row: perplexity over all tokens of all rows."""
-    sums = _log_likelihood(df, model, keys, column, max_tokens)
+    sums = _log_likelihood(df, model, keys, column, max_tokens, counted)
     return sums.agg(F.exp(-F.sum("lp") / F.sum("n_scored")).alias("perplexity"))

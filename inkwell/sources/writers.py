@@ -9,27 +9,38 @@ from pyspark.errors import AnalysisException
 from inkwell.sources.manifest import not_yet_present
 
 
+def packed(df: DataFrame, *columns: str) -> DataFrame:
+    """Bring the rows of a folder together before a partitioned write.
+
+    Without it each task would leave a file in each folder. Adaptive execution
+    splits a folder that holds much of the data over several tasks.
+    """
+    return df.hint("rebalance", *[F.col(c) for c in columns])
+
+
 def write_articles(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Articles under ``prefix=../date=..``."""
-    df.write.mode(mode).partitionBy("prefix", "date").parquet(path)
+    packed(df, "prefix", "date").write.mode(mode).partitionBy("prefix", "date").parquet(path)
     return path
 
 
 def append_abstracts(df: DataFrame, path: str, key: str = "id") -> str:
     """Add the abstracts whose key is not stored yet, under ``prefix=../date=..``.
 
-    Only the key and the folders are read of what exists, and the folders join
-    too, so partitions that receive nothing are pruned at run time.
+    Only the key is read of what exists, and only in folders that receive rows:
+    the list of those folders prunes the scan at run time.
     """
     spark = df.sparkSession
     try:
-        present = spark.read.schema(df.schema).parquet(path).select(key, "prefix", "date")
+        stored = spark.read.schema(df.schema).parquet(path).select(key, "prefix", "date")
+        folders = df.select("prefix", "date").distinct()
+        present = stored.join(folders, ["prefix", "date"], "left_semi")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         present = spark.createDataFrame([], df.select(key, "prefix", "date").schema)
     fresh = not_yet_present(df, present, [key, "prefix", "date"])
-    fresh.write.mode("append").partitionBy("prefix", "date").parquet(path)
+    packed(fresh, "prefix", "date").write.mode("append").partitionBy("prefix", "date").parquet(path)
     return path
 
 
@@ -46,7 +57,7 @@ def write_by_name_prefix(
 
     ``df`` has the columns ``file, text, cleaned``.
     """
-    parted = df.withColumn("part", F.substring(file, 1, width))
+    parted = packed(df.withColumn("part", F.substring(file, 1, width)), "part")
     parted.drop("cleaned").write.mode("overwrite").partitionBy("part").parquet(raw_path)
     cleaned = parted.drop("text").withColumnRenamed("cleaned", "text")
     cleaned.write.mode("overwrite").partitionBy("part").parquet(cleaned_path)
