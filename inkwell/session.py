@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,20 +31,13 @@ def build_session(app: str = "inkwell", master: str | None = None, **settings: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the cluster.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else the warehouse.
 
-    A private temporary folder is used only where nothing is named and the
-    master is local, so driver and executors are the same machine.
+    Both are named by the cluster. No machine-local temporary folder is taken.
     """
     context = spark.sparkContext
     named = spark.conf.get(CHECKPOINT_SETTING, None) or context.getConf().get(CHECKPOINT_SETTING)
-    if named:
-        return named.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="inkwell-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def new_shared_path(spark: SparkSession, label: str) -> str:
@@ -66,6 +58,16 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Delete stored tables (or paths) below the shared folder that nothing reads any more."""
+    for table in tables:
+        paths = [table] if isinstance(table, str) else {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+            system.delete(target, True)
+
+
 def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Hash-partition compact rows by key before they are exploded.
 
