@@ -1 +1,11 @@
-"""Operators for preparing training data at scale."""
+"""Operators for preparing training data at scale.
+
+Functions of this package travel to the executors by value, so a cluster needs
+no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

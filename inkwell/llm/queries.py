@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import disclosure, mixing, url_rules
+from inkwell.llm import chains, disclosure, edits, minhash, mixing, pstable, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,6 +68,27 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op4_edit_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op5_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return chains.judged(docs.select("doc_id", "text"), labels).drop("text")
+
+
+@query()
+def op6_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pstable.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _url_sql() -> str:
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
