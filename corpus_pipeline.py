@@ -1,10 +1,65 @@
-"""Documents to a training mix, stage by stage."""
+"""Documents to a training mix: toxic documents go, near copies go, benchmark passages go,
+personal data is taken out, and the rest is mixed to target weights.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept. All but the last return the columns of documents; the last adds what the
+mix takes of each document.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkwell.llm import chains, disclosure, edits, minhash, mixing
+from inkwell.session import durable
+
+# SQL can express neither the classifier nor the signatures.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not reject."""
+    scored = chains.judged(docs, _table(spark, sf_dir, "labels"))
+    return scored.where(~F.col("rejected")).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return minhash.deduplicated(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return edits.uncontaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without personal data and what discloses it; ``n_chars`` follows the text."""
+    return disclosure.sanitise(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``{doc_id, source, size, source_size, target, taken}`` of all documents."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("benchmark", drop_benchmark),
+    ("personal_data", remove_personal_data),
+    ("mixing", mix_sources),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's result is stored and read again by the next."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ read, and over the whole corpus these co-occurrences say how much of the
 entity's information a term discloses: the pointwise mutual information of term
 and entity as a share of the entity's own information, 1 where the term occurs
 with that entity alone. Terms at or above ``generalise`` become a class name,
-terms at or above ``remove`` go. Copies of one passage count once.
+terms at or above ``remove`` go. A text counts once per entity, and so do copies of one passage.
 
 Only DataFrame functions run. Positions are code points, ends exclusive.
 
@@ -143,27 +143,37 @@ def mentions_of(kind: str) -> Column:
 
 
 def mentions(texts: DataFrame) -> DataFrame:
-    """``{entity, context, terms}``, one row per valid value of a text."""
+    """``{row, entity, context, terms}``, one row per valid value of a text."""
     each = [mentions_of(kind) for kind in PATTERNS]
-    rows = texts.select(F.explode(F.concat(*each)).alias("x")).select("x.entity", "x.left", "x.right")
-    return rows.select(
-        "entity", F.xxhash64("left", "right").alias("context"), near_words(F.col("left"), F.col("right")).alias("terms")
+    rows = texts.select(row_key("doc_id", "_text").alias("row"), F.explode(F.concat(*each)).alias("x"))
+    return rows.select("row", "x.*").select(
+        "row", "entity", F.xxhash64("left", "right").alias("context"),
+        near_words(F.col("left"), F.col("right")).alias("terms"),
     )
 
 
-def co_occurrences(texts: DataFrame, least: int = LEAST_CONTEXTS) -> DataFrame:
-    """``{entity, term, both, n_entity}``: distinct contexts of an entity, and of both together.
+def co_occurrences(texts: DataFrame, total: int, least: int, generalise: float) -> DataFrame:
+    """``{entity, term, both, n_entity}``: distinct contexts of an entity, and of both together; stored.
+
+    A text counts once per entity, and texts with the same context count once.
 
     A mention gives a bounded number of terms, so the pairs grow with the
-    mentions and not with the square of a text.
+    mentions and not with the square of a text. A term can reach ``generalise``
+    only if few texts hold it; terms that more texts hold already near mentions
+    cannot, and are left out here, which spares looking for common words in all
+    texts.
     """
-    seen = durable(mentions(texts).distinct(), "mentions")
-    often = seen.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= least)
-    pairs = (
-        seen.select("entity", F.explode("terms").alias("term"))
-        .groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= least)
+    per_row = mentions(texts).groupBy("entity", "row").agg(F.min(F.struct("context", "terms")).alias("x"))
+    seen = durable(
+        per_row.groupBy("entity", "x.context").agg(F.min("row").alias("row"), F.first("x.terms").alias("terms")), "mentions"
     )
-    return durable(pairs.join(often, "entity"), "co-occurrences")
+    often = seen.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= least)
+    terms = seen.select("row", "entity", F.explode("terms").alias("term"))
+    pairs = terms.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= least)
+    near = terms.groupBy("term").agg(F.count_distinct("row").alias("n_near"))
+    most = F.col("both") / F.col("n_entity") * total / F.pow(F.lit(float(total)) / F.col("n_entity"), F.lit(generalise))
+    able = pairs.join(often, "entity").join(near, "term").where(F.col("n_near") <= most * (1 + 1e-9))
+    return durable(able.select("entity", "term", "both", "n_entity"), "co-occurrences")
 
 
 def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -186,12 +196,12 @@ def disclosing_terms(texts: DataFrame, least: int = LEAST_CONTEXTS, generalise:
 
     A term's disclosure is the largest over the entities it is seen with.
     """
-    pairs = co_occurrences(texts, least)
+    total = max(texts.count(), 1)
+    pairs = co_occurrences(texts, total, least, generalise)
     found = postings(texts, pairs.select("term").distinct())
     counts = found.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = texts.count()
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    lift = F.col("both") / F.col("n_entity") / (F.col("n_term") / F.lit(float(max(total, 1))))
+    information = F.log2(F.lit(float(total)) / F.col("n_entity"))
+    lift = F.col("both") / F.col("n_entity") / (F.col("n_term") / F.lit(float(total)))
     share = F.when(information > 0, F.least(F.lit(1.0), F.log2(lift) / information)).otherwise(0.0)
     scored = pairs.join(counts, "term").groupBy("term").agg(F.max(share).alias("disclosure"))
     return Disclosure(durable(scored.where(F.col("disclosure") >= generalise), "terms"), found)

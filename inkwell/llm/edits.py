@@ -156,15 +156,16 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, block
 
 def uncontaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` whose text holds no item; rows stay where they are, all columns stay."""
-    kept = docs
-    for block in item_blocks(items, block_chars):
-        shipped = docs.sparkSession.sparkContext.broadcast(block)
 
-        def clean(batches: Iterator[pd.Series], shipped=shipped) -> Iterator[pd.Series]:
+    def holds_none(shipped):
+        def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             index = PieceIndex(shipped.value, rate)
             for texts in batches:
                 yield texts.map(lambda text: next(index.found(normalised(text)), None) is None).astype(bool)
 
-        clean.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        kept = kept.where(F.pandas_udf(clean, "boolean")(F.col("text")))
+        return F.pandas_udf(clean, "boolean")
+
+    kept = docs
+    for block in item_blocks(items, block_chars):
+        kept = kept.where(holds_none(docs.sparkSession.sparkContext.broadcast(block))(F.col("text")))
     return kept

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkwell.llm import chains, disclosure, edits, minhash, mixing, pstable, url_rules
+from inkwell.llm import chains, disclosure, edits, minhash, mixing, ngram_filter, pstable, quotes, separators, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +32,11 @@ def op1_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op2_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.token_counts(table(spark, sf_dir, "documents"))
+
+
 MIX_SQL = r"""WITH sizes AS (
     SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS key,
         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
@@ -89,6 +95,30 @@ def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+# The mails quote the turn before, so each unbroken run of turns is a thread.
+QUOTE_SQL = r"""WITH islands AS (
+    SELECT conv_id, turn, role, text, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS island
+    FROM conversations
+), placed AS (
+    SELECT *, min(turn) OVER (PARTITION BY conv_id, island) AS thread FROM islands
+)
+SELECT conv_id, turn, role, least(turn - thread, 2)::INTEGER AS n_quotes,
+    CASE WHEN turn > thread THEN turn - 1 END AS parent, thread, (turn - thread)::INTEGER AS depth,
+    md5(coalesce(text, '')) AS text_md5
+FROM placed"""
+
+
+@query(QUOTE_SQL)
+def op8_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mails = quotes.as_mails(table(spark, sf_dir, "conversations"))
+    return quotes.conversations(mails).withColumn("text_md5", F.md5(F.col("text").cast("binary"))).drop("text")
+
+
+@query()
+def op9_ngram_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_filter.score_documents(table(spark, sf_dir, "documents"))
+
+
 def _url_sql() -> str:
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
