@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.clusters import smallest_linked, tiled
+from inkwell.llm.common import broadcast_if_small
 from inkwell.llm.components import components
 from inkwell.session import discard, durable
 
@@ -187,18 +188,26 @@ def similarity(one: np.ndarray, other: np.ndarray) -> float:
     return both / max(1, len(one) + len(other) - both)
 
 
-def verified(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
-    """The pairs ``{a, b}`` whose multisets are similar enough."""
-    rows = pairs.join(bag.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a")), "a").join(
-        bag.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b")), "b"
+def verified(pairs: DataFrame, bag: DataFrame, least: float, group: int) -> DataFrame:
+    """The pairs ``{a, b}`` whose multisets are similar enough.
+
+    Each ``b`` goes to its ``a``; an ``a`` with more than ``group`` of them has
+    several groups, each with a copy of it. So a bag moves once per pair.
+    """
+    split = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(group)).cast("int").alias("parts"))
+    heads = split.select(
+        F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("head")
     )
+    part = F.pmod(F.xxhash64(F.lit(11), "b"), F.col("parts")).cast("int")
+    others = pairs.join(split, "a").select(F.col("b").alias("doc_id"), "a", part.alias("part"), F.lit(False).alias("head"))
+    sent = bag.join(broadcast_if_small(durable(heads.unionByName(others), "sent")), "doc_id")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            kept = [similarity(x, y) >= least for x, y in zip(batch["bag_a"], batch["bag_b"])]
-            yield batch.loc[np.array(kept, dtype=bool), ["a", "b"]]
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        first, rest = rows[rows["head"]], rows[~rows["head"]]
+        kept = [any(similarity(x, y) >= least for x in first["bag"]) for y in rest["bag"]]
+        return rest.loc[np.array(kept, dtype=bool), ["a", "doc_id"]].rename(columns={"doc_id": "b"})
 
-    return rows.mapInPandas(run, "a long, b long")
+    return sent.groupBy("a", "part").applyInPandas(run, "a long, b long")
 
 
 def overlaps(bag: list[np.ndarray]) -> np.ndarray:
@@ -265,11 +274,12 @@ def near_duplicates(
     bucket = durable(once.select("n", "leader", "at.*"), "buckets")
     members = durable(placed.join(bucket, ["band", "hash"]).select("band", "hash", "n", "leader", "class"), "members")
 
-    wanted = members.select(F.col("class").alias("doc_id")).distinct()
-    bag = durable(bags(docs.join(wanted, "doc_id", "left_semi"), words), "bags")
+    wanted = durable(members.select(F.col("class").alias("doc_id")).distinct(), "wanted")
+    bag = durable(bags(docs.join(broadcast_if_small(wanted), "doc_id", "left_semi"), words), "bags")
     pairs = members.where(F.col("class") != F.col("leader")).select(F.col("leader").alias("a"), F.col("class").alias("b"))
     # An id may stand for several word digests when rows repeat it with other texts: those are linked as one.
-    links = durable(verified(pairs.distinct(), bag, least), "verified")
+    pairs = durable(pairs.distinct(), "pairs")
+    links = durable(verified(pairs, bag, least, tile), "verified")
     found = components(links)
 
     of = F.coalesce("component", "class")
@@ -284,7 +294,7 @@ def near_duplicates(
         earlier = found
         found = components(durable(links.union(more), "all-links"))
         discard(spark, earlier)
-    discard(spark, members, bag, links, left, bucket)
+    discard(spark, members, bag, links, left, bucket, wanted, pairs)
 
     of_class = classes.select("words_md5", "class").join(found.withColumnRenamed("id", "class"), "class", "left").select(
         "words_md5", of.alias("class_id")
@@ -301,6 +311,12 @@ def deduplicated(docs: DataFrame, **settings) -> DataFrame:
 
     Rows without a doc_id stay. All columns stay.
     """
-    kept = durable(near_duplicates(docs, **settings).where("kept").select("doc_id").where("doc_id IS NOT NULL").distinct(), "kept")
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    judged = durable(near_duplicates(docs, **settings).where("doc_id IS NOT NULL"), "judged")
+    ids = judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
+    gone = durable(ids.where("NOT kept").select("doc_id"), "gone")
+    several = durable(ids.where("kept AND n > 1").select("doc_id"), "several")
+    kept = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(docs.columns)
+    # Ids that rows repeat are few or none, so texts stay where they are.
+    single = kept.join(broadcast_if_small(several), "doc_id", "left_anti").select(docs.columns)
+    repeated = kept.join(broadcast_if_small(several), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return single.unionByName(repeated)
