@@ -5,9 +5,10 @@ document and the log-odds that the earlier models gave it. While fitting, those
 log-odds come from models that did not see the document (out-of-fold), so a
 later model is not taught to trust an earlier one more than it deserves.
 
-Words are chosen by counting, over all labelled documents, in how many each
-occurs per category; those whose rate departs most from the category's own, by
-z-score, are features. The fit itself uses at most ``fit_rows`` labelled
+Features are words, and beginnings of longer words (``stem~``), so that a new
+ending does not hide a known stem. They are chosen by counting, over all labelled
+documents, in how many each occurs per category; those whose rate departs most
+from the category's own, by z-score, are used. The fit itself uses at most ``fit_rows`` labelled
 documents, those with the smallest hash, and at most ``features`` words; both
 are parameters, so what reaches the driver is bounded. Scoring reads every whole
 text.
@@ -27,17 +28,38 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-# Parameters: labelled rows and words that one fit may use, folds, ridge, and
-# the least z-score and documents of a word.
-FIT_ROWS, FEATURES, FOLDS, RIDGE = 20_000, 256, 5, 1.0
+# Parameters: labelled rows and features that one fit may use, folds, ridge,
+# the least z-score and documents of a feature, and lengths of beginnings.
+FIT_ROWS, FEATURES, FOLDS, RIDGE = 20_000, 256, 5, 0.3
 LEAST_Z, LEAST_DOCS = 4.0, 8
+STEMS = (5, 6, 7, 8)
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def text_features(text: str) -> set[str]:
+    """The distinct words of a text and the beginnings of its longer words."""
+    words = set(_WORD.findall(text.lower()))
+    return words.union(*({w[:k] + "~" for w in words if len(w) > k} for k in STEMS))
+
+
+def with_features(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``words``: :func:`text_features` as an array, null for a null text."""
+    words = F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != ""))
+
+    def stems(k: int) -> Column:
+        return F.transform(
+            F.filter("_words", lambda w: F.length(w) > k), lambda w: F.concat(F.left(w, F.lit(k)), F.lit("~"))
+        )
+
+    whole = F.array_distinct(F.concat("_words", *[stems(k) for k in STEMS]))
+    return rows.withColumn("_words", words).withColumn("words", whole).drop("_words")
+
+
 @dataclass(frozen=True)
 class Chain:
     """Words, and for each category in order its weights: bias, words, earlier log-odds."""
@@ -59,7 +81,7 @@ class Chain:
         present = np.zeros((len(texts), len(self.words)), dtype=np.float32)
         for row, text in enumerate(texts):
             if text:
-                found = [index[w] for w in set(_WORD.findall(text.lower())) & index.keys()]
+                found = [index[w] for w in text_features(text) & index.keys()]
                 present[row, found] = 1.0
         return present
 
@@ -81,16 +103,26 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int =
     return weights
 
 
-def fit_chain(present: np.ndarray, labels: np.ndarray, fold: np.ndarray, words: list[str], categories: list[str]) -> Chain:
-    """The chain over rows of 0/1 words; each category's own log-odds are out-of-fold."""
+def fit_chain(
+    present: np.ndarray, labels: np.ndarray, fold: np.ndarray, words: list[str], categories: list[str],
+    own: list[np.ndarray] | None = None,
+) -> Chain:
+    """The chain over rows of 0/1 words; earlier log-odds are out-of-fold.
+
+    ``own`` says which words each category's model may use, all if not given.
+    """
     earlier = np.zeros((len(present), 0))
     weights = []
     for k in range(len(categories)):
-        x, y = np.hstack([present, earlier]), labels[:, k].astype(float)
-        weights.append(fit_linear(x, y))
+        used = np.ones(len(words), bool) if own is None else own[k]
+        x, y = np.hstack([present[:, used], earlier]), labels[:, k].astype(float)
+        whole = fit_linear(x, y)
+        spread = np.zeros(1 + len(words) + k)
+        spread[np.r_[True, used, np.ones(k, bool)]] = whole
+        weights.append(spread)
         unseen = np.zeros(len(x))
         for f in np.unique(fold):
-            w = fit_linear(x[fold != f], y[fold != f]) if (fold != f).any() else weights[-1]
+            w = fit_linear(x[fold != f], y[fold != f]) if (fold != f).any() else whole
             unseen[fold == f] = w[0] + x[fold == f] @ w[1:]
         earlier = np.hstack([earlier, unseen[:, None]])
     return Chain(words, categories, weights)
@@ -100,28 +132,29 @@ def labelled(docs: DataFrame, labels: DataFrame, categories: list[str]) -> DataF
     """``{text, words, hash, <categories>}`` of labelled documents, equal texts once."""
     per_id = labels.groupBy("doc_id").agg(*[F.max(F.col(c).cast("int")).alias(f"_{c}") for c in categories])
     rows = docs.select("doc_id", "text").join(per_id.dropna(), "doc_id")
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != ""))
-    keyed = rows.select(F.xxhash64("text").alias("hash"), words.alias("words"), *[f"_{c}" for c in categories])
-    return keyed.groupBy("hash").agg(
-        F.first("words").alias("words"), *[F.max(f"_{c}").alias(c) for c in categories]
-    ).where(F.col("words").isNotNull())
+    keyed = rows.where(F.col("text").isNotNull()).groupBy("text").agg(*[F.max(f"_{c}").alias(c) for c in categories])
+    return with_features(keyed).select(F.xxhash64("text").alias("hash"), "words", *categories)
 
 
-def choose_words(rows: DataFrame, categories: list[str], features: int, least_z: float, least_docs: int) -> list[str]:
-    """The words whose share of a category departs most from the category's rate, over all labelled rows."""
+def choose_words(
+    rows: DataFrame, categories: list[str], features: int, least_z: float, least_docs: int
+) -> list[list[str]]:
+    """For each category the words whose share of it departs most from its rate, over all labelled rows."""
     total = rows.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
     if not total["n"]:
-        return []
+        return [[] for _ in categories]
     counts = rows.select(F.explode("words").alias("word"), *categories).groupBy("word").agg(
         F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]
     ).where(F.col("n") >= least_docs)
     scores = []
     for c in categories:
         rate = min(max((total[c] or 0) / total["n"], 1e-6), 1 - 1e-6)
-        scores.append(F.abs(F.col(c) - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate)))
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    top = counts.select("word", best.alias("z")).where(F.col("z") >= least_z)
-    return [r["word"] for r in top.orderBy(F.desc("z"), "word").limit(features).collect()]
+        z = F.abs(F.col(c) - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
+        scores.append(F.struct(F.lit(c).alias("category"), "word", z.alias("z")))
+    each = counts.select(F.inline(F.array(*scores))).where(F.col("z") >= least_z)
+    place = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("z"), "word"))
+    top = each.withColumn("place", place).where(F.col("place") <= features // len(categories)).collect()
+    return [[r["word"] for r in top if r["category"] == c] for c in categories]
 
 
 def fit(
@@ -136,7 +169,9 @@ def fit(
 ) -> Chain:
     """A chain over ``categories``, 0/1 columns of ``labels``, in the order given."""
     rows = labelled(docs, labels, categories)
-    words = choose_words(rows, categories, features, least_z, least_docs)
+    chosen = choose_words(rows, categories, features, least_z, least_docs)
+    words = sorted({w for each in chosen for w in each})
+    own = [np.isin(words, each) if words else np.zeros(0, bool) for each in chosen]
     known = F.array(*[F.lit(w) for w in words]).cast("array<string>")
     sample = rows.select("hash", F.array_intersect("words", known).alias("words"), *categories).orderBy(
         F.xxhash64("hash"), "hash"
@@ -148,7 +183,7 @@ def fit(
     for row, found in enumerate(sample["words"]):
         present[row, [index[w] for w in found]] = 1.0
     fold = (sample["hash"].to_numpy() % folds).astype(int)
-    return fit_chain(present, sample[categories].to_numpy(), fold, words, categories)
+    return fit_chain(present, sample[categories].to_numpy(), fold, words, categories, own)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:

@@ -160,8 +160,7 @@ def co_occurrences(texts: DataFrame, total: int, least: int, generalise: float)
     A mention gives a bounded number of terms, so the pairs grow with the
     mentions and not with the square of a text. A term can reach ``generalise``
     only if few texts hold it; terms that more texts hold already near mentions
-    cannot, and are left out here, which spares looking for common words in all
-    texts.
+    cannot, and are left out here.
     """
     per_row = mentions(texts).groupBy("entity", "row").agg(F.min(F.struct("context", "terms")).alias("x"))
     seen = durable(
@@ -176,10 +175,19 @@ def co_occurrences(texts: DataFrame, total: int, least: int, generalise: float)
     return durable(able.select("entity", "term", "both", "n_entity"), "co-occurrences")
 
 
+def distinct_words() -> Column:
+    return F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))
+
+
+def text_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``{term, n_term}``: in how many texts each of some terms is; counts are added up before they move."""
+    words = texts.select(F.explode(distinct_words()).alias("term"))
+    return words.groupBy("term").agg(F.count("*").alias("n_term")).join(broadcast_if_small(terms), "term")
+
+
 def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """``{key, term}``: which rows hold which of the given terms; stored."""
-    words = F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))
-    rows = texts.select(row_key("doc_id", "_text").alias("key"), F.explode(words).alias("term"))
+    rows = texts.select(row_key("doc_id", "_text").alias("key"), F.explode(distinct_words()).alias("term"))
     return durable(rows.join(broadcast_if_small(terms), "term", "left_semi").distinct(), "postings")
 
 
@@ -198,13 +206,13 @@ def disclosing_terms(texts: DataFrame, least: int = LEAST_CONTEXTS, generalise:
     """
     total = max(texts.count(), 1)
     pairs = co_occurrences(texts, total, least, generalise)
-    found = postings(texts, pairs.select("term").distinct())
-    counts = found.groupBy("term").agg(F.count("*").alias("n_term"))
+    counts = text_counts(texts, pairs.select("term").distinct())
     information = F.log2(F.lit(float(total)) / F.col("n_entity"))
     lift = F.col("both") / F.col("n_entity") / (F.col("n_term") / F.lit(float(total)))
     share = F.when(information > 0, F.least(F.lit(1.0), F.log2(lift) / information)).otherwise(0.0)
     scored = pairs.join(counts, "term").groupBy("term").agg(F.max(share).alias("disclosure"))
-    return Disclosure(durable(scored.where(F.col("disclosure") >= generalise), "terms"), found)
+    terms = durable(scored.where(F.col("disclosure") >= generalise), "terms")
+    return Disclosure(terms, postings(texts, terms.select("term")))
 
 
 def with_terms(docs: DataFrame, disclosure: Disclosure, remove: float = REMOVE) -> DataFrame:
