@@ -41,7 +41,8 @@ from inkwell.session import discard, durable
 # counts that are shipped, and words that a task remembers.
 SEGMENT, MOST_BYTES, TOKEN_BITS, PROBES, LEVELS, MU = 1 << 18, 64 << 20, 8, 4, 40, 64.0
 HEAD, REMEMBERED = 1 << 20, 1 << 20
-CHUNK_CHARS = 8 << 20
+CHUNK_CHARS = 16 << 20
+BLOCK_BITS = 512
 
 _U = np.uint64
 _MULTIPLIER = _U(0x9E3779B97F4A7C15)
@@ -54,6 +55,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WordHashes(dict):
+    """Hash of each word, made once."""
+
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -69,6 +72,24 @@ class WordHashes(dict):
         return out
 
 
+class WordPlaces(dict):
+    """A place for each distinct word of some texts, the end at 0."""
+
+    def __init__(self) -> None:
+        self.hashes = [END]
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self.hashes)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        return place
+
+    def tokens(self, text: str | None) -> np.ndarray:
+        words = words_of(text)
+        out = np.zeros(len(words) + 1, np.int64)
+        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return out
+
+
 def chunks(texts: pd.Series) -> Iterator[tuple[int, int]]:
     """Ranges of rows of bounded total length, one row at least."""
     start, held = 0, 0
@@ -94,15 +115,27 @@ def before_of(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate([tokens[-1:], tokens[:-1]])
 
 
-def probe_places(keys: np.ndarray, level: int, i: int) -> np.ndarray:
-    """The ``i``-th bit of (key, level) inside the key's segment."""
-    h = mixed(keys + _U(0xD1B54A32D192ED03 * (level + 1) & (2**64 - 1)))
-    step = (h >> _U(32)) | _U(1)
-    return (h + _U(i) * step) & _U(SEGMENT * 8 - 1)
+def segment_bits(segments: int) -> int:
+    return segments.bit_length() - 1
 
 
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return (keys >> _U(20)) % _U(segments)
+    """The segment of a key: its first bits, so that sorted keys come segment by segment."""
+    return keys >> _U(64 - segment_bits(segments)) if segments > 1 else np.zeros_like(keys)
+
+
+def blocks_of(keys: np.ndarray) -> np.ndarray:
+    """First bit of the block, inside its segment, that has all bits of a key: one place in memory per probe."""
+    return (mixed(keys) & _U(SEGMENT * 8 // BLOCK_BITS - 1)) * _U(BLOCK_BITS)
+
+
+def level_hashes(keys: np.ndarray, level: int) -> np.ndarray:
+    return mixed(keys + _U(0xD1B54A32D192ED03 * (level + 1) & (2**64 - 1)))
+
+
+def bit_of(hashes: np.ndarray, i: int) -> np.ndarray:
+    """The ``i``-th bit inside the block."""
+    return (hashes >> _U(9 * i)) & _U(BLOCK_BITS - 1)
 
 
 @dataclass(frozen=True)
@@ -110,89 +143,111 @@ class Filter:
     """The whole filter: segments one after the other, eight bits a byte."""
 
     bits: np.ndarray
-    segments: int
-
-    def holds(self, keys: np.ndarray, level: int) -> np.ndarray:
-        base = segment_of(keys, self.segments) * _U(SEGMENT * 8)
-        found = np.ones(len(keys), bool)
-        for i in range(PROBES):
-            at = base + probe_places(keys, level, i)
-            found &= (self.bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
-        return found
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Quantised counts: the middle of the level's range, 0 if absent."""
+        segments = len(self.bits) // SEGMENT
         level = np.zeros(len(keys), np.int64)
         at = np.arange(len(keys))
+        base = segment_of(keys, segments) * _U(SEGMENT * 8) + blocks_of(keys)
         for q in range(1, LEVELS + 1):
-            at = at[self.holds(keys[at], q)]
+            hashes = level_hashes(keys[at], q)
+            for i in range(PROBES):
+                bit = base[at] + bit_of(hashes, i)
+                found = (self.bits[bit >> _U(3)] >> (bit & _U(7)).astype(np.uint8)) & 1 == 1
+                at, hashes = at[found], hashes[found]
             if not len(at):
                 break
             level[at] = q
         return np.where(level > 0, 0.75 * np.exp2(level) - 0.5, 0.0)
 
 
-def count_rows(texts: DataFrame, pairs: bool, segments: int = 1) -> DataFrame:
-    """``{key, n}`` of words, or ``{segment, key, n}`` of pairs, added up per chunk of rows."""
+def word_rows(texts: DataFrame) -> DataFrame:
+    """``{key, n}`` of words, added up per chunk of rows."""
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b in chunks(batch["text"]):
                 counted: Counter[bytes] = Counter()
                 for text in batch["text"].iloc[a:b]:
                     counted.update(words_of(text))
                 keys = np.fromiter(map(xxhash.xxh3_64_intdigest, counted), np.uint64, len(counted))
-                keys, n = np.append(keys, _U(END)), [*counted.values(), b - a]
-                yield pd.DataFrame({"key": keys.view(np.int64), "n": n})
+                yield pd.DataFrame({"key": np.append(keys, _U(END)).view(np.int64), "n": [*counted.values(), b - a]})
+
+    return texts.mapInPandas(run, "key long, n long")
+
+
+def pair_rows(texts: DataFrame) -> DataFrame:
+    """``{key, n}`` of word pairs, added up per chunk of rows."""
 
-    def word_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
             for a, b in chunks(batch["text"]):
-                texts = [hashes.tokens(text) for text in batch["text"].iloc[a:b]]
-                before = np.concatenate([before_of(t) for t in texts])
-                keys, n = np.unique(pair_keys(before, np.concatenate(texts)), return_counts=True)
-                segment = segment_of(keys, segments).astype(np.int32)
-                yield pd.DataFrame({"segment": segment, "key": keys.view(np.int64), "n": n})
+                tokens = [hashes.tokens(text) for text in batch["text"].iloc[a:b]]
+                before = np.concatenate([before_of(t) for t in tokens])
+                keys, n = np.unique(pair_keys(before, np.concatenate(tokens)), return_counts=True)
+                yield pd.DataFrame({"key": keys.view(np.int64), "n": n})
 
-    if pairs:
-        return texts.mapInPandas(word_pairs, "segment int, key long, n long")
-    return texts.mapInPandas(words, "key long, n long")
+    return texts.mapInPandas(run, "key long, n long")
 
 
-def word_rows(vocabulary: DataFrame, segments: int) -> DataFrame:
+def filter_rows(vocabulary: DataFrame) -> DataFrame:
+    """Words as the filter's keys."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keys = word_keys(batch["key"].to_numpy().view(np.uint64))
-            segment = segment_of(keys, segments).astype(np.int32)
-            yield pd.DataFrame({"segment": segment, "key": keys.view(np.int64), "n": batch["n"]})
+            yield pd.DataFrame({"key": keys.view(np.int64), "n": batch["n"]})
+
+    return vocabulary.mapInPandas(run, "key long, n long")
 
-    return vocabulary.mapInPandas(run, "segment int, key long, n long")
 
+def totals(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and their summed counts from rows sorted by key."""
+    key, n = np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        key, n = np.append(key, batch["key"].to_numpy()), np.append(n, batch["n"].to_numpy())
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        key, n = key[first], np.add.reduceat(n, first) if len(first) else n
+        if len(key) > 1 << 18:
+            yield key[:-1].view(np.uint64), n[:-1]
+            key, n = key[-1:], n[-1:]
+    yield key.view(np.uint64), n
 
-def built(rows: DataFrame, segments: int) -> Filter:
-    """The filter of counted rows; each segment's counts meet in one task, the segments on the driver."""
+
+def built(rows: DataFrame, segments: int) -> np.ndarray:
+    """The filter's bits from ``{key, n}``; each segment's counts meet in one task, the segments on the driver."""
+
+    def packed(segment: int, bits: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"segment": [segment], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits: dict[int, np.ndarray] = {}
-        for batch in batches:
-            segment, keys = batch["segment"].to_numpy(), batch["key"].to_numpy().view(np.uint64)
-            levels = 1 + np.floor(np.log2(batch["n"].to_numpy())).astype(np.int64)
-            for q in range(1, int(levels.max()) + 1):
-                has = levels >= q
-                for i in range(PROBES):
-                    places = probe_places(keys[has], q, i).astype(np.int64)
-                    for s in np.unique(segment[has]):
-                        own = bits.setdefault(int(s), np.zeros(SEGMENT * 8, bool))
-                        own[places[segment[has] == s]] = True
-        for s, own in bits.items():
-            yield pd.DataFrame({"segment": [s], "bits": [np.packbits(own, bitorder="little").tobytes()]})
-
-    counted = rows.repartition("segment").groupBy("segment", "key").agg(F.sum("n").alias("n"))
+        now, bits = -1, np.empty(0, bool)
+        for keys, n in totals(batches):
+            levels = 1 + np.floor(np.log2(n)).astype(np.int64)
+            segment = segment_of(keys, segments).astype(np.int64)
+            for s in np.unique(segment.view(np.int64)) if len(keys) else ():
+                if s != now:
+                    if now >= 0:
+                        yield packed(now, bits)
+                    now, bits = int(s), np.zeros(SEGMENT * 8, bool)
+                own = segment == s
+                some, level = keys[own], levels[own]
+                for q in range(1, int(level.max()) + 1):
+                    some, level = some[level >= q], level[level >= q]
+                    base, hashes = blocks_of(some), level_hashes(some, q)
+                    for i in range(PROBES):
+                        bits[(base + bit_of(hashes, i)).astype(np.int64)] = True
+        if now >= 0:
+            yield packed(now, bits)
+
+    first = F.shiftrightunsigned(F.shiftrightunsigned("key", 1), 63 - segment_bits(segments))
+    placed = rows.repartition(first).sortWithinPartitions("key")
     whole = np.zeros((segments, SEGMENT), np.uint8)
-    for row in counted.mapInPandas(run, "segment int, bits binary").toLocalIterator():
+    for row in placed.mapInPandas(run, "segment int, bits binary").toLocalIterator():
         whole[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
-    return Filter(whole.reshape(-1), segments)
+    return whole.reshape(-1)
 
 
 @dataclass(frozen=True)
@@ -211,7 +266,7 @@ def train(docs: DataFrame, most_bytes: int = MOST_BYTES, head: int = HEAD) -> Mo
     """A model of ``docs {text}``; every training text is counted whole."""
     context = docs.sparkSession.sparkContext
     texts = docs.select("text")
-    vocabulary = durable(count_rows(texts, pairs=False).groupBy("key").agg(F.sum("n").alias("n")), "vocabulary")
+    vocabulary = durable(word_rows(texts).groupBy("key").agg(F.sum("n").alias("n")), "vocabulary")
     spread = vocabulary.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(
         F.count("*").alias("words"), F.sum("n").alias("tokens")
     ).collect()
@@ -223,15 +278,13 @@ def train(docs: DataFrame, most_bytes: int = MOST_BYTES, head: int = HEAD) -> Mo
         if held > head:
             least = 2 ** (r["level"] + 1)
             break
-    known = vocabulary.where(F.col("n") >= least).toPandas().sort_values("key")
-    segments = max(1, min(most_bytes, tokens * TOKEN_BITS // 8) // SEGMENT)
-    rows = count_rows(texts, True, segments).unionByName(word_rows(vocabulary, segments))
-    return Model(
-        tokens, distinct, least,
-        context.broadcast(built(rows, segments).bits),
-        context.broadcast((known["key"].to_numpy(), known["n"].to_numpy().astype(np.float64))),
-        vocabulary,
-    )
+    known = vocabulary.where(F.col("n") >= least).toArrow()
+    keys, counts = known["key"].to_numpy(), known["n"].to_numpy().astype(np.float64)
+    order = np.argsort(keys)
+    wanted = max(1, min(most_bytes, tokens * TOKEN_BITS // 8) // SEGMENT)
+    segments = 1 << (wanted.bit_length() - 1)
+    bits = built(pair_rows(texts).unionByName(filter_rows(vocabulary)), segments)
+    return Model(tokens, distinct, least, context.broadcast(bits), context.broadcast((keys[order], counts[order])), vocabulary)
 
 
 def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
@@ -248,35 +301,33 @@ def score(docs: DataFrame, model: Model, mu: float = MU) -> DataFrame:
     total = float(model.tokens + model.distinct + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = shipped.value
-        hashes, bloom = WordHashes(), Filter(bits, len(bits) // SEGMENT)
+        bloom = Filter(shipped.value)
         keys, exact = head.value
         for batch in batches:
             for a, b in chunks(batch["text"]):
-                texts = [hashes.tokens(text) for text in batch["text"].iloc[a:b]]
-                sizes = np.array([len(t) for t in texts])
-                starts = np.cumsum(sizes) - sizes
-                tokens = np.concatenate(texts)
-                word, at = np.unique(tokens, return_inverse=True)
+                places = WordPlaces()
+                texts = [places.tokens(text) for text in batch["text"].iloc[a:b]]
+                word = np.array(places.hashes, np.uint64)
                 rough = bloom.counts(word_keys(word))
                 place = np.minimum(np.searchsorted(keys, word.view(np.int64)), max(len(keys) - 1, 0))
                 in_head = keys[place] == word.view(np.int64) if len(keys) else np.zeros(len(word), bool)
-                count = np.where(in_head, exact[place] if len(keys) else 0.0, 0.0)
+                count = np.where(in_head, exact[place], 0.0) if len(keys) else np.zeros(len(word))
                 base = np.where(in_head, np.log10((count + 1) / total), 0.0)
 
-                both = bloom.counts(pair_keys(np.concatenate([before_of(t) for t in texts]), tokens))
-                first = np.concatenate([before_of(i) for i in np.split(at, starts[1:])])
-                context = rough[first]
+                sizes = np.array([len(t) for t in texts])
+                starts = np.cumsum(sizes) - sizes
+                at, before = np.concatenate(texts), np.concatenate([before_of(t) for t in texts])
+                both = bloom.counts(pair_keys(word[before], word[at]))
+                context = rough[before]
                 chance = (np.minimum(both, context) + mu * (rough[at] + 1) / total) / (context + mu)
-                rest = np.split(tokens.view(np.int64), starts[1:])
-                known = np.split(in_head[at], starts[1:])
+                known = in_head[at]
                 yield pd.DataFrame({
                     "doc_id": batch["doc_id"].iloc[a:b].array,
                     "n_tokens": sizes,
-                    "known": np.add.reduceat(in_head[at].astype(np.int64), starts),
+                    "known": np.add.reduceat(known.astype(np.int64), starts),
                     "base": np.add.reduceat(base[at], starts),
                     "score": np.add.reduceat(np.log10(chance), starts),
-                    "rest": [t[~k] for t, k in zip(rest, known)],
+                    "rest": [word[t[~in_head[t]]].view(np.int64) for t in texts],
                 })
 
     kind = docs.schema["doc_id"].dataType.simpleString()

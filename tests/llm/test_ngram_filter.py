@@ -54,11 +54,8 @@ def test_filter_holds_quantised_counts(spark):
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(-(2**62), 2**62, 3000))
     counts = rng.integers(1, 5000, len(keys))
-    segment = lm.segment_of(keys.view(np.uint64), 2).astype(int)
-    rows = spark.createDataFrame(
-        [(int(s), int(k), int(n)) for s, k, n in zip(segment, keys, counts)], "segment int, key long, n long"
-    )
-    built = lm.built(rows, 2)
+    rows = spark.createDataFrame([(int(k), 1) for k in keys] + [(int(k), int(n) - 1) for k, n in zip(keys, counts) if n > 1], "key long, n long")
+    built = lm.Filter(lm.built(rows, 2))
     got = built.counts(keys.view(np.uint64))
     exact = 0.75 * np.exp2(1 + np.floor(np.log2(counts))) - 0.5
     assert (got >= exact).all() and np.mean(got == exact) > 0.99
@@ -73,7 +70,7 @@ def test_probabilities_add_up(spark):
     words = ["a", "b", "c", "d"]
     probes = spark.createDataFrame([(i, f"a {w}") for i, w in enumerate(words)] + [(9, "a")], "doc_id long, text string")
     score = {r["doc_id"]: r["score"] for r in lm.score(probes, model).collect()}
-    bits = lm.Filter(model.filter.value, len(model.filter.value) // lm.SEGMENT)
+    bits = lm.Filter(model.filter.value)
     assert bits.counts(lm.word_keys(np.array([lm.END], np.uint64)))[0] >= 40
     assert score[1] > score[0] and score[1] > score[2] > score[3] - 5
 
