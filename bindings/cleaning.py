@@ -268,20 +268,13 @@ def language_filter(spark, sf_dir):
     return in_language(spread_docs(spark, sf_dir), "en")
 
 
-_TOP_SQL = f"""{SECTIONS_SQL},
-capped AS (
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM valid)
-    WHERE place <= 10
-)"""
-
-
 @query(f"""
-WITH {_TOP_SQL}, {SLICES_SQL}
-SELECT source, doc_id, {BASIC_SQL} AS body, length({BASIC_SQL})::INTEGER AS n_chars
-FROM capped JOIN slices USING (doc_id)
+WITH {SECTIONS_SQL}, {SLICES_SQL}
+SELECT valid.source, doc_id, {BASIC_SQL} AS body, length({BASIC_SQL})::INTEGER AS n_chars
+FROM valid JOIN slices USING (doc_id)
 """)
 def clean_articles(spark, sf_dir):
-    """From raw texts to clean bodies: filter, cap per folder, dedup, clean."""
+    """From raw texts to clean bodies: filter, dedup, clean; nothing well-formed is left out."""
     docs = _docs(spark, sf_dir, "source")
     cleaned = cleaned_articles(docs, "source", "doc_id", "text", START, BODY, END)
     return cleaned.select("source", "doc_id", "body", F.length("body").alias("n_chars"))

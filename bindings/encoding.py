@@ -74,17 +74,17 @@ def _encoded(spark, sf_dir, min_count):
 
 
 @query(f"""
-WITH {TEXT_PAIRS_SQL}, {_encoded_sql(2, enc.MAX_INPUT, enc.MAX_OUTPUT, 'text_pairs')}
+WITH {TEXT_PAIRS_SQL}, {_encoded_sql(1, enc.MAX_INPUT, enc.MAX_OUTPUT, 'text_pairs')}
 SELECT id, input_ids, attention_mask, global_attention_mask, labels FROM encoded
 """)
 def encode(spark, sf_dir):
-    encoded, _ = _encoded(spark, sf_dir, 2)
+    encoded, _ = _encoded(spark, sf_dir, 1)
     arrays = ["input_ids", "attention_mask", "global_attention_mask", "labels"]
     return encoded.select("id", *[_shown(a).alias(a) for a in arrays])
 
 
 @query(f"""
-WITH {TEXT_PAIRS_SQL}, {_vocabulary_sql('text_pairs', 2)}
+WITH {TEXT_PAIRS_SQL}, {_vocabulary_sql('text_pairs', 1)}
 SELECT p.id, coalesce(string_agg(v.token, ' ' ORDER BY t.pos) FILTER (v.token IS NOT NULL), '') AS text
 FROM text_pairs p LEFT JOIN tokens t ON t.id = p.id AND t.side = 1 AND t.pos <= {enc.MAX_OUTPUT - 2}
     LEFT JOIN vocabulary v ON v.token = t.token
@@ -92,13 +92,13 @@ GROUP BY p.id
 """)
 def decode(spark, sf_dir):
     """Labels back to text; words outside the vocabulary are special tokens and drop out."""
-    encoded, words = _encoded(spark, sf_dir, 2)
+    encoded, words = _encoded(spark, sf_dir, 1)
     return enc.decode(encoded, words)
 
 
 @query(f"""
 WITH doc_pairs AS (SELECT doc_id AS id, text AS body, {FIRST_SENTENCE_SQL} AS abstract FROM documents),
-{_encoded_sql(2, enc.MAX_INPUT, enc.MAX_OUTPUT, 'doc_pairs')}
+{_encoded_sql(1, enc.MAX_INPUT, enc.MAX_OUTPUT, 'doc_pairs')}
 SELECT id, CASE WHEN {_bucket_sql('id')} >= 9 THEN 'validation' ELSE 'train' END AS split,
     md5(input_ids) AS input_digest, n_body::BIGINT AS n_input, labels
 FROM encoded JOIN framed USING (id)
@@ -108,7 +108,7 @@ def training_set(spark, sf_dir):
     pairs = spread_docs(spark, sf_dir).select(
         F.col("doc_id").alias("id"), F.col("text").alias("body"), first_sentence().alias("abstract")
     )
-    rows = training.training_set(pairs, min_count=2)
+    rows = training.training_set(pairs, min_count=1)
     attended = F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x)
     return rows.select(
         "id", "split", F.md5(_shown("input_ids")).alias("input_digest"), attended.alias("n_input"),

@@ -254,10 +254,14 @@ sm_placed AS (
 sm_used AS (
     SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY place) AS used FROM sm_placed WHERE place <= {sentences}
 ),
-sm_best AS (
-    SELECT doc_id, string_agg(content, ' ' ORDER BY line) AS summary
-    FROM sm_used JOIN sm_lines USING (doc_id, line) WHERE used <= {budget} GROUP BY doc_id
+sm_cut AS (
+    SELECT doc_id, line, CASE WHEN used <= {budget} THEN content ELSE array_to_string(list_transform(
+            range(1, ({budget} - used + size)::BIGINT + 1),
+            lambda i: regexp_split_to_array(content, '[\\p{{L}}\\p{{N}}'']+')[i] || regexp_extract_all(content, '[\\p{{L}}\\p{{N}}'']+')[i]
+        ), '') END AS content
+    FROM sm_used JOIN sm_lines USING (doc_id, line) WHERE used - size < {budget}
 ),
+sm_best AS (SELECT doc_id, string_agg(content, ' ' ORDER BY line) AS summary FROM sm_cut GROUP BY doc_id),
 summaries AS (SELECT doc_id, coalesce(summary, '') AS summary FROM documents LEFT JOIN sm_best USING (doc_id))"""
 
 
@@ -337,6 +341,12 @@ def rouge_intervals(spark, sf_dir):
     return scores.corpus_intervals(pairs, KEYS, _R2)
 
 
+def _summary_pairs(spark, sf_dir):
+    return spread_docs(spark, sf_dir).select(
+        F.col("doc_id").alias("id"), F.col("text").alias("body"), first_sentence().alias("abstract")
+    )
+
+
 @query(f"""
 WITH RECURSIVE {_summary_sql()},
 doc_pairs AS (
@@ -348,9 +358,13 @@ SELECT doc_id AS id, {_round_sql('rouge1', 'rouge2', 'bleu', 'meteor')}
 FROM rouge JOIN bleu_rows USING (doc_id) JOIN meteor_rows USING (doc_id)
 """)
 def summaries_scored(spark, sf_dir):
-    """Summaries of all documents against their first sentences."""
-    pairs = spread_docs(spark, sf_dir).select(
-        F.col("doc_id").alias("id"), F.col("text").alias("body"), first_sentence().alias("abstract")
-    )
-    wide = evaluate_summaries(pairs, include_texts=False).drop("rougeL")
+    """Summaries of all documents against their first sentences; ROUGE-L is in :func:`summaries_rouge_l`."""
+    wide = evaluate_summaries(_summary_pairs(spark, sf_dir), include_texts=False).drop("rougeL")
     return _rounded(wide, "rouge1", "rouge2", "bleu", "meteor")
+
+
+@query()
+def summaries_rouge_l(spark, sf_dir):
+    """ROUGE-L of the same summaries; as recursive SQL it takes too long on whole tables."""
+    wide = evaluate_summaries(_summary_pairs(spark, sf_dir), include_texts=False, bleu=False, meteor=False)
+    return _rounded(wide.select("id", "rougeL"), "rougeL")

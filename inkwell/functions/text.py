@@ -150,6 +150,10 @@ def alnum_tokens(text: Column) -> Column:
     return _nonempty(F.split(F.lower(text), r"[^a-z0-9]+"))
 
 
+# One run as :func:`word_tokens` cuts them.
+WORD_TOKEN = rf"[{_WORD}']+"
+
+
 def word_tokens(text: Column) -> Column:
     """Runs of letters, digits and apostrophes, case kept."""
     return _nonempty(F.split(text, rf"[^{_WORD}']+"))

@@ -20,15 +20,16 @@ def pair_texts(
 ) -> DataFrame:
     """``{id, body, abstract}`` for listed pairs with both sides present.
 
-    Paths are unique in both text tables. Which side is broadcast is left to the
-    sizes Spark sees; ``strict`` raises on a missing side.
+    Paths are unique in both text tables. The list meets the abstracts first, so
+    the bodies are exchanged once. Which side is broadcast is left to the sizes
+    Spark sees; ``strict`` raises on a missing side.
     """
     if strict:
         pair_rejects(path_list, articles, abstracts, strict=True)
     bodies = articles.select(F.col("path").alias("article_path"), F.col("text").alias("body"))
     shorts = abstracts.select(F.col("path").alias("abstract_path"), F.col("text").alias("abstract"))
     return (
-        path_list.join(bodies, "article_path").join(shorts, "abstract_path")
+        path_list.join(shorts, "abstract_path").join(bodies, "article_path")
         .select("id", "body", "abstract")
     )
 

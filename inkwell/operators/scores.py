@@ -80,9 +80,10 @@ def corpus_intervals(
 
     Each row gets a resampling weight per replicate from its key. A task sends
     one sum per replicate, and the percentiles are taken over the replicates.
-    ``replicates`` is a multiple of four.
     """
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(replicates // 4 - 1)))
+    if replicates < 1:
+        raise ValueError("at least one replicate is needed")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4)))
     name = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.col("block").cast("string"))
     weighted = (
         scores.select(*keys, *columns, blocks.alias("block"))
@@ -91,6 +92,7 @@ def corpus_intervals(
             *columns, (F.col("block") * 4 + F.col("place")).alias("replicate"),
             _poisson_weight(F.col("drawn")).alias("w"),
         )
+        .where(F.col("replicate") < replicates)
     )
     means = weighted.groupBy("replicate").agg(*[
         F.try_divide(F.sum(F.col(c) * F.col("w")), F.sum("w")).alias(c) for c in columns

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import ngrams, space_tokens, split_sentences, word_tokens
+from inkwell.functions.text import WORD_TOKEN, ngrams, space_tokens, split_sentences, word_tokens
 from inkwell.operators.lookup import lookup
 from inkwell.session import durable, spread
 
@@ -34,6 +34,13 @@ def token_weights(df: DataFrame, key: str, column: str = "text") -> DataFrame:
     return counts.withColumn("weight", F.round(weight * WEIGHT_UNIT).cast("long"))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """A text up to the end of its ``n``-th word token."""
+    words = F.regexp_extract_all(text, F.lit(WORD_TOKEN), F.lit(0))
+    gaps = F.split(text, WORD_TOKEN, -1)
+    return F.array_join(F.slice(F.zip_with(gaps, words, lambda gap, word: F.concat(gap, word)), F.lit(1), n.cast("int")), "")
+
+
 def summarize(
     df: DataFrame,
     key: str,
@@ -46,8 +53,9 @@ def summarize(
     """``{key, summary}``: the best sentences in the order of the text.
 
     A sentence scores the mean of count-in-text times weight over its tokens.
-    The best are taken, earlier ones first among equals, while their tokens
-    together stay within ``max_tokens``. Texts are exchanged once by key and all
+    The best are taken, earlier ones first among equals, up to ``max_tokens``
+    tokens together; the sentence in which that ends is cut there. A text with a
+    token never has an empty summary. Texts are exchanged once by key and all
     groupings and windows keep that partitioning.
     """
     if weights is None:
@@ -68,11 +76,17 @@ def summarize(
         scored.withColumn("place", F.row_number().over(best_first))
         .where(F.col("place") <= sentences)
         .withColumn("used", F.sum("size").over(Window.partitionBy(key).orderBy("place")))
-        .where(F.col("used") <= max_tokens)
+        .withColumn("left", F.least("size", F.lit(max_tokens) - F.col("used") + F.col("size")))
+        .where(F.col("left") > 0)
         .groupBy(key)
-        .agg(F.sort_array(F.collect_list("sentence")).alias("chosen"))
+        .agg(F.sort_array(F.collect_list(F.struct("sentence", "left", "size"))).alias("chosen"))
+    )
+    picked = F.transform(
+        "chosen",
+        lambda c: F.when(c["left"] == c["size"], F.get("parts", c["sentence"])).otherwise(
+            first_words(F.get("parts", c["sentence"]), c["left"])
+        ),
     )
-    picked = F.transform("chosen", lambda i: F.get("parts", i))
     return texts.join(best, key, "left").select(
         key, F.coalesce(F.concat_ws(" ", picked), F.lit("")).alias(name)
     )

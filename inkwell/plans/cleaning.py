@@ -47,13 +47,13 @@ def cleaned_articles(
     start: str = t.START_MARKER,
     body: str = t.BODY_MARKER,
     end: str = t.END_MARKER,
-    per_folder: int | None = 10,
+    per_folder: int | None = None,
     language: str | None = None,
 ) -> DataFrame:
-    """Well-formed articles, some per folder, one per file name, cleaned.
+    """Well-formed articles, one per file name, cleaned.
 
-    The number per folder counts copies, as they are dropped after it. Add a
-    language to keep only texts detected as such.
+    All are kept; ``per_folder`` is for showing samples, and counts copies, as
+    they are dropped after it. Add a language to keep only texts detected as such.
     """
     valid = well_formed(texts, column, start, body, end)
     if language:

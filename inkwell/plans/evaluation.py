@@ -9,6 +9,7 @@ from inkwell.operators.pairing import pair_by_key
 from inkwell.operators.perplexity import count_words
 from inkwell.operators.scores import score_table
 from inkwell.operators.summary import summarize
+from inkwell.session import durable
 
 
 def evaluate_summaries(
@@ -18,6 +19,8 @@ def evaluate_summaries(
     """Summarize each body, set it beside its abstract, and score it."""
     generated = summarize(pairs.select(key, "body"), key, "body", sentences)
     matched = pair_by_key(pairs, generated, [key], F.col("abstract"), F.col("summary"))
+    # Stored once: each metric would otherwise summarize again.
+    matched = durable(matched, "matched")
     model = None
     if perplexity:
         model = count_words(pairs, "body")

@@ -27,10 +27,16 @@ def write_articles(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 def append_abstracts(df: DataFrame, path: str, key: str = "id") -> str:
     """Add the abstracts whose key is not stored yet, under ``prefix=../date=..``.
 
-    Only the key is read of what exists, and only in folders that receive rows:
-    the list of those folders prunes the scan at run time.
+    Of several rows with one key in a batch the smallest is added, by the other
+    columns in their order. Only the key is read of what exists, and only in
+    folders that receive rows: the list of those folders prunes the scan at run
+    time.
     """
     spark = df.sparkSession
+    place = [key, "prefix", "date"]
+    rest = [c for c in df.columns if c not in place]
+    least = df.groupBy(*place).agg(F.min(F.struct(*rest)).alias("_least")) if rest else df.select(*place).distinct()
+    df = least.select(*place, *[F.col(f"_least.{c}").alias(c) for c in rest]).select(df.columns)
     try:
         stored = spark.read.schema(df.schema).parquet(path).select(key, "prefix", "date")
         folders = df.select("prefix", "date").distinct()

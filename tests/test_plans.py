@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry_points
-from bindings.registry import turn_pairs
+from bindings.registry import QUERIES, turn_pairs
 from inkwell.operators import overlap
 from inkwell.operators.alignment import meteor
 from inkwell.operators.scores import score_table
@@ -65,7 +65,7 @@ def test_scan_reads_only_what_is_needed(spark):
 
 
 def test_no_cartesian_products(spark):
-    for name in entry_points.queries():
+    for name in QUERIES:
         plan = planned(spark, name)
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 

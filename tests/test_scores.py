@@ -182,3 +182,39 @@ def test_limits(spark):
     df = spark.createDataFrame([("a b c a b c",), ("a b c d",), ("a",)], "summary string")
     rows = [tuple(r)[1:] for r in check_limits(df, min_tokens=2, max_tokens=5).collect()]
     assert rows == [(6, True, False), (4, False, True), (1, False, False)]
+
+
+def test_any_number_of_replicates(spark):
+    from inkwell.operators.scores import corpus_intervals
+
+    rows = spark.createDataFrame([(i, float(i % 7)) for i in range(60)], "id int, s double")
+    for n in (1, 3, 6, 1003):
+        row = corpus_intervals(rows, ["id"], ["s"], n).first()
+        assert row["low"] <= row["mid"] <= row["high"]
+    one = corpus_intervals(rows, ["id"], ["s"], 1).first()
+    assert one["low"] == one["high"]
+    with pytest.raises(ValueError):
+        corpus_intervals(rows, ["id"], ["s"], 0)
+
+
+def test_long_sentence_is_cut_to_the_budget(spark):
+    from inkwell.operators.summary import summarize
+
+    long = " ".join(f"w{i}" for i in range(600)) + "."
+    rows = spark.createDataFrame([(1, long), (2, f"Short one here. {long} Short two."), (3, ""), (4, "One.")], "id int, text string")
+    found = {r["id"]: r["summary"] for r in summarize(rows, "id", sentences=1).collect()}
+    assert found[1].split() == [f"w{i}" for i in range(512)] and found[2] and found[3] == "" and found[4] == "One."
+
+
+def test_summaries_rouge_l(spark):
+    import __spark_entry__ as entry_points
+
+    tables = "/root/testdata/sf0.001"
+    found = {r["id"]: r["rougeL"] for r in entry_points.queries()["summaries_rouge_l"](spark, tables).collect()}
+    made = {r["doc_id"]: r["summary"] for r in entry_points.queries()["extractive_summary"](spark, tables).collect()}
+    from bindings.registry import first_sentence
+    firsts = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", first_sentence().alias("f")).collect()
+    assert len(found) == len(firsts)
+    for r in firsts[:60]:
+        ref, gen = alnum(r["f"]), alnum(made[r["doc_id"]])
+        assert found[r["doc_id"]] == pytest.approx(f_score(lcs(ref, gen), len(ref), len(gen)), abs=1e-6)

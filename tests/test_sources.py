@@ -123,3 +123,15 @@ def test_not_yet_present(spark):
 def test_without_abstract(spark):
     pairs = spark.createDataFrame([("head. tail head.", "head.")], "body string, abstract string")
     assert pairing.without_abstract(pairs).select(F.col("body_only")).first()[0] == " tail "
+
+
+def test_one_abstract_per_key_in_a_batch(spark, tmp_path):
+    from inkwell.sources import writers
+
+    rows = [("1", "b", "p", "d"), ("1", "a", "p", "d"), ("2", "c", "p", "d")]
+    df = spark.createDataFrame(rows, "id string, abstract string, prefix string, date string")
+    path = str(tmp_path / "abstracts")
+    for _ in range(2):
+        writers.append_abstracts(df, path)
+    stored = spark.read.schema(df.schema).parquet(path).collect()
+    assert sorted((r["id"], r["abstract"]) for r in stored) == [("1", "a"), ("2", "c")]
