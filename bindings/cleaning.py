@@ -166,8 +166,8 @@ def basic_profile(spark, sf_dir):
     return _each(spark, sf_dir, clean_basic(F.col("text"), BODY, END), "body")
 
 
-def _resegment_sql(sentences: str, source: str, most_words: int = 4) -> str:
-    """The segmentation as a bounded recursive query over ``source(doc_id, ..)``."""
+def _resegment_sql(sentences: str, source: str) -> str:
+    """The segmentation of ``source(doc_id, ..)``, one recursion step per place in a token."""
     return f"""lists AS (SELECT doc_id, {sentences} AS s FROM {source}),
 lines AS (
     SELECT doc_id, i AS line, list_extract(s, i) AS content
@@ -184,32 +184,29 @@ costs AS (
         * 1000000)::BIGINT AS cost
     FROM counted
 ),
-longest AS (SELECT max(length(word)) AS m FROM costs),
-unknown AS (
-    SELECT DISTINCT token FROM tokens, longest
-    WHERE lower(token) NOT IN (SELECT word FROM costs) AND length(token) <= {most_words} * m
-),
+unknown AS (SELECT DISTINCT token FROM tokens WHERE lower(token) NOT IN (SELECT word FROM costs)),
 starts AS (SELECT token, unnest(range(0, length(token))) AS start FROM unknown),
 stops AS (
-    SELECT token, start, unnest(range(start + 1, least(start + m, length(token)) + 1)) AS stop
-    FROM starts, longest
+    SELECT token, start, start + m AS stop
+    FROM starts JOIN (SELECT DISTINCT length(word) AS m FROM costs) ON start + m <= length(token)
 ),
 spans AS (
     SELECT token, start, stop, substr(token, start + 1, stop - start) AS piece, cost
     FROM stops JOIN costs ON word = lower(substr(token, start + 1, stop - start))
 ),
-routes(token, pos, cost, words, k) AS (
-    SELECT token, 0::BIGINT, 0::BIGINT, '', 0 FROM unknown
+endings AS (SELECT token, stop, list({{start: start, cost: cost, piece: piece}}) AS spans FROM spans GROUP BY token, stop),
+routes(token, pos, best) AS (
+    SELECT token, 0::BIGINT, [{{cost: 0::BIGINT, words: ''}}] FROM (SELECT DISTINCT token FROM spans)
     UNION ALL
-    SELECT r.token, s.stop, r.cost + s.cost,
-        CASE WHEN r.words = '' THEN s.piece ELSE r.words || ' ' || s.piece END, r.k + 1
-    FROM routes r JOIN spans s ON s.token = r.token AND s.start = r.pos WHERE r.k < {most_words}
+    SELECT r.token, r.pos + 1, list_append(r.best, list_min(list_transform(
+        list_filter(coalesce(e.spans, []), lambda s: r.best[s.start + 1] IS NOT NULL),
+        lambda s: {{cost: r.best[s.start + 1].cost + s.cost, words: CASE WHEN r.best[s.start + 1].words = '' THEN s.piece
+            ELSE r.best[s.start + 1].words || ' ' || s.piece END}})))
+    FROM routes r LEFT JOIN endings e ON e.token = r.token AND e.stop = r.pos + 1 WHERE r.pos < length(r.token)
 ),
 chosen AS (
-    SELECT token, words FROM (
-        SELECT token, words, row_number() OVER (PARTITION BY token ORDER BY cost, words) AS place
-        FROM routes WHERE pos = length(token))
-    WHERE place = 1
+    SELECT token, best[length(token) + 1].words AS words FROM routes
+    WHERE pos = length(token) AND best[length(token) + 1] IS NOT NULL
 ),
 rebuilt AS (
     SELECT doc_id, line, string_agg(coalesce(words, token), ' ' ORDER BY pos) AS content

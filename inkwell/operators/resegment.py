@@ -34,69 +34,57 @@ def word_costs(tokens: DataFrame, min_count: int = 2) -> DataFrame:
     )
 
 
-def _cheapest(spans: Column, length: Column, most_words: int) -> Column:
-    """Best split of one token from its known spans ``{start, stop, cost, word}``.
+def _cheapest(spans: Column, length: Column) -> Column:
+    """Best split of one token from its known spans ``{start, stop, cost, word}``; null if there is none.
 
-    Holds the best ``{cost, words}`` per position and extends all of them by
-    one word per round, so after the last round each is the best of at most
-    ``most_words`` words; equal costs fall to the smaller text.
+    Goes through the token once: the best ``{cost, words}`` up to a place is the
+    least over the spans that end there, each added to the best up to its start.
+    Equal costs fall to the smaller text.
     """
     kind = "struct<cost:bigint,words:string>"
     nowhere = F.lit(None).cast(kind)
     origin = F.struct(F.lit(0).cast("long").alias("cost"), F.lit("").alias("words")).cast(kind)
-    begin = F.concat(F.array(origin), F.array_repeat(nowhere, length))
-    ending_at = F.transform(
-        F.sequence(F.lit(0), length), lambda place: F.filter(spans, lambda s: s["stop"] == place)
-    )
 
-    def extended(best: Column, endings: Column) -> Column:
-        def arrive(here: Column, place: Column) -> Column:
-            steps = F.transform(
-                F.filter(F.get(endings, place), lambda s: F.get(best, s["start"]).isNotNull()),
-                lambda s: F.struct(
-                    (F.get(best, s["start"])["cost"] + s["cost"]).alias("cost"),
-                    F.ltrim(F.concat_ws(" ", F.get(best, s["start"])["words"], s["word"])).alias("words"),
-                ).cast(kind),
-            )
-            return F.array_min(F.concat(F.array(here), steps))
-
-        return F.transform(best, arrive)
-
-    # The spans by end ride along with the state, so they are sorted out once.
-    final = F.aggregate(
-        F.sequence(F.lit(1), F.lit(most_words)),
-        F.struct(begin.alias("best"), ending_at.alias("endings")),
-        lambda state, _: F.struct(
-            extended(state["best"], state["endings"]).alias("best"), state["endings"].alias("endings")
-        ),
-        lambda state: F.get(state["best"], length)["words"],
+    def extended(best: Column, place: Column) -> Column:
+        ending = F.filter(spans, lambda s: (s["stop"] == place) & F.get(best, s["start"]).isNotNull())
+        steps = F.transform(
+            ending,
+            lambda s: F.struct(
+                (F.get(best, s["start"])["cost"] + s["cost"]).alias("cost"),
+                F.ltrim(F.concat_ws(" ", F.get(best, s["start"])["words"], s["word"])).alias("words"),
+            ).cast(kind),
+        )
+        return F.array_append(best, F.array_min(F.concat(F.array(nowhere), steps)))
+
+    return F.aggregate(
+        F.sequence(F.lit(1), length), F.array(origin), extended, lambda best: F.get(best, length)["words"]
     )
-    return final
 
 
-def replacements(tokens: DataFrame, costs: DataFrame, most_words: int = 4) -> DataFrame:
-    """``{token, n, words}`` for unknown tokens that split into known words.
+def word_lengths(costs: DataFrame) -> list[int]:
+    """The distinct lengths of the known words, at most as many as the longest has letters."""
+    return sorted(r["m"] for r in costs.select(F.length("word").alias("m")).distinct().collect())
+
+
+def replacements(tokens: DataFrame, costs: DataFrame) -> DataFrame:
+    """``{token, n, words}`` for unknown tokens that split into known words, however many.
 
-    Each distinct unknown token is cut into the substrings that could be a
-    word; those that are one are gathered per token, at most a few hundred. The
-    tokens are spread before they are cut, so gathering needs no exchange. A
-    token longer than ``most_words`` of the longest known word has no split and
-    is left out early.
+    Each distinct unknown token is cut into the pieces that have the length of a
+    known word, as one long known word does not make all shorter lengths worth
+    trying; those that are known are gathered per token. The tokens are spread
+    before they are cut, so gathering needs no exchange.
     """
-    longest = costs.agg(F.max(F.length("word")).alias("m")).first()["m"] or 0
+    lengths = F.array(*[F.lit(m) for m in word_lengths(costs)]).cast("array<int>")
     unknown = (
-        tokens.where(F.length("token") <= most_words * longest)
-        .withColumn("low", F.lower("token"))
+        tokens.withColumn("low", F.lower("token"))
         .join(costs.select(F.col("word").alias("low")), "low", "left_anti")
         .select("token", F.col("n").alias("seen"), F.length("token").alias("size"))
     )
     starts = spread(unknown, "token").select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("start"))
-    spans = starts.select(
-        "*",
-        F.explode(
-            F.sequence(F.col("start") + 1, F.least(F.col("start") + longest, F.col("size")))
-        ).alias("stop"),
-    ).withColumn("piece", F.substring("token", F.col("start") + 1, F.col("stop") - F.col("start")))
+    stops = F.transform(F.filter(lengths, lambda m: F.col("start") + m <= F.col("size")), lambda m: F.col("start") + m)
+    spans = starts.select("*", F.explode(stops).alias("stop")).withColumn(
+        "piece", F.substring("token", F.col("start") + 1, F.col("stop") - F.col("start"))
+    )
     priced = lookup(
         spans.withColumn("word", F.lower("piece")), costs, "word", ["token", "start"]
     ).where(F.col("cost").isNotNull())
@@ -105,9 +93,7 @@ def replacements(tokens: DataFrame, costs: DataFrame, most_words: int = 4) -> Da
         F.max("size").alias("size"),
         F.collect_list(F.struct("start", "stop", "cost", F.col("piece").alias("word"))).alias("spans"),
     )
-    split = gathered.select(
-        "token", "n", _cheapest(F.col("spans"), F.col("size"), most_words).alias("words")
-    )
+    split = gathered.select("token", "n", _cheapest(F.col("spans"), F.col("size")).alias("words"))
     return durable(split.where(F.col("words").isNotNull()), "replacements")
 
 
@@ -116,7 +102,6 @@ def resegment(
     key: str,
     sentences: str = "sentences",
     min_count: int = 2,
-    most_words: int = 4,
     costs: DataFrame | None = None,
 ) -> DataFrame:
     """``{key, sentences}`` with each sentence as known words and single blanks.
@@ -129,7 +114,7 @@ def resegment(
     tokens = sentence_token_counts(df, sentences)
     if costs is None:
         costs = word_costs(tokens, min_count)
-    table = replacements(tokens, costs, most_words)
+    table = replacements(tokens, costs)
     placed = spread(df, key).select(
         key, F.posexplode_outer(sentences).alias("sentence", "content")
     ).select(key, "sentence", F.posexplode_outer(word_tokens(F.col("content"))).alias("pos", "token"))

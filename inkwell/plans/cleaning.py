@@ -31,11 +31,10 @@ def clean_strict(
     body: str = t.BODY_MARKER,
     end: str = t.END_MARKER,
     min_count: int = 2,
-    most_words: int = 4,
 ) -> DataFrame:
     """``{key, text}``: strict sentences, glued words split, rejoined with full stops."""
     sentences = df.select(key, strict_sentences(F.col(column), body, end).alias("sentences"))
-    split = resegment(sentences, key, min_count=min_count, most_words=most_words)
+    split = resegment(sentences, key, min_count=min_count)
     return resegmented_text(split, key)
 
 

@@ -111,12 +111,21 @@ def test_replacements_are_the_cheapest_splits(spark):
         spark.createDataFrame([(w, 1, c) for w, c in costs.items()], "word string, n long, cost long"), "costs"
     )
     token_table = spark.createDataFrame([(t, 1) for t in tokens], "token string, n long")
-    found = {r["token"]: r["words"] for r in rs.replacements(token_table, cost_table, most_words=3).collect()}
+    found = {r["token"]: r["words"] for r in rs.replacements(token_table, cost_table).collect()}
     unknown = [t for t in tokens if t.lower() not in costs]
-    expected = {t: brute_split(t, costs, 3) for t in unknown}
+    expected = {t: brute_split(t, costs, 9) for t in unknown}
     assert found == {t: w for t, w in expected.items() if w}
 
 
+def test_splits_of_any_number_of_words(spark):
+    words = ["one", "two", "red", "big", "cat", "x" * 400]
+    costs = durable(spark.createDataFrame([(w, 1, 1000) for w in words], "word string, n long, cost long"), "costs")
+    tokens = {"onetworedbigcat": "one two red big cat", "onetwoQ": None, "x" * 1600: " ".join(["x" * 400] * 4), "OneCat" * 20: " ".join(["One Cat"] * 20)}
+    table = spark.createDataFrame([(t, 1) for t in tokens], "token string, n long")
+    found = {r["token"]: r["words"] for r in rs.replacements(table, costs).collect()}
+    assert found == {t: w for t, w in tokens.items() if w}
+
+
 def test_language(spark):
     df = spark.createDataFrame(
         [("en", "The cat is on the mat with a dog"), ("de", "Der Hund und die Katze sind nicht auf dem Baum"),
