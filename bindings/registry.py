@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.text import split_sentences
 from inkwell.operators.pairing import pair_by_key
-from inkwell.sources.readers import balanced
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,8 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def spread_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents for costly text steps; the test tables are a single row group."""
-    return balanced(table(spark, sf_dir, "documents", "doc_id", "text"))
+    """Documents as they are scanned; scan settings alone decide the splits."""
+    return table(spark, sf_dir, "documents", "doc_id", "text")
 
 
 def paper_id() -> Column:

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+# Compact bytes that one partition of a spread table holds, by the plan's estimate.
+SPREAD_BYTES = 128 << 20
 
 
 def build_session(app: str = "inkwell", master: str | None = None, **settings: str) -> SparkSession:
@@ -74,7 +76,11 @@ def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     The later groupings and windows on the same keys (or on more keys that
     start from them) then need no further exchange. The partition count is
     given, since adaptive coalescing would judge the compact size and not the
-    exploded one.
+    exploded one: it follows the plan's size estimate, with the setting as the
+    least.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, *keys)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # Without statistics Spark's estimate is boundless; it is then no guide.
+    wanted = -(-estimate // SPREAD_BYTES) if estimate < 1 << 50 else 0
+    return df.repartition(max(least, wanted), *keys)

@@ -21,24 +21,6 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-# Splits per core from which a scan counts as wide.
-WIDE_SCAN = 4
-
-
-def balanced(scan: DataFrame) -> DataFrame:
-    """Spread a scan that has few splits for the cores there are.
-
-    Few large files or row groups would leave most cores idle in the costly
-    text steps that follow; splits that hold no row group's start are empty, so
-    the number of splits alone overstates what a small scan offers. A wide scan
-    is returned as it is. Meant for a bare scan, whose splits are known without
-    running anything.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    narrow = scan.rdd.getNumPartitions() < WIDE_SCAN * cores
-    return scan.repartition(cores) if narrow else scan
-
-
 def read_metadata(spark: SparkSession, path: str, schema: str = METADATA_SCHEMA) -> DataFrame:
     """Paper metadata, one JSON object per line; no inference pass."""
     return spark.read.schema(schema).json(path)

@@ -34,7 +34,23 @@ def test_no_python_in_plan(spark, name):
     "section_filter", "basic_profile", "object_paths", "split", "language_detect", "generation_limits", "sentences",
 ])
 def test_row_functions_do_not_regroup(spark, name):
-    assert "hashpartitioning" not in planned(spark, name)
+    assert "Exchange" not in planned(spark, name).replace("BroadcastExchange", "")
+
+
+def test_bodies_move_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        exchanged = re.findall(r"Exchange hashpartitioning\((\w+)#", planned(spark, "pairs"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert exchanged.count("article_path") == 2 and exchanged.count("abstract_path") == 2
+
+
+def test_nothing_is_written_to_the_temporary_folder(spark, monkeypatch):
+    import tempfile
+
+    monkeypatch.setattr(tempfile, "mkdtemp", lambda *a, **k: pytest.fail("a temporary folder was made"))
+    entry_points.queries()["vocabulary"](spark, TABLES).count()
 
 
 def test_group_limit_before_exchange(spark):

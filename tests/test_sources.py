@@ -92,13 +92,6 @@ def test_metadata_scan_and_head(spark, tmp_path):
         readers.require_columns(readers.read_metadata(spark, str(path)), "title")
 
 
-def test_balanced_spreads_only_narrow_scans(spark):
-    scan = spark.range(0, 100, 1, numPartitions=1)
-    assert readers.balanced(scan).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 100, 1, numPartitions=50)
-    assert readers.balanced(wide) is wide
-
-
 def test_pairs_and_rejects(spark):
     path_list = spark.createDataFrame(
         [("1", "a1", "b1"), ("2", "a2", "b2"), ("3", "a3", "b3")],
