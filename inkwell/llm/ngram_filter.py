@@ -39,7 +39,7 @@ from inkwell.session import discard, durable
 # Parameters: bytes of one segment, largest filter, bits per training token,
 # probes per entry, most levels, pseudo-count of the smoothing, words of exact
 # counts that are shipped, and words that a task remembers.
-SEGMENT, MOST_BYTES, TOKEN_BITS, PROBES, LEVELS, MU = 1 << 18, 64 << 20, 8, 4, 40, 64.0
+SEGMENT, MOST_BYTES, TOKEN_BITS, PROBES, LEVELS, MU = 1 << 14, 64 << 20, 8, 4, 40, 64.0
 HEAD, REMEMBERED = 1 << 20, 1 << 20
 CHUNK_CHARS = 16 << 20
 BLOCK_BITS = 512
@@ -227,13 +227,13 @@ def built(rows: DataFrame, segments: int) -> np.ndarray:
         for keys, n in totals(batches):
             levels = 1 + np.floor(np.log2(n)).astype(np.int64)
             segment = segment_of(keys, segments).astype(np.int64)
-            for s in np.unique(segment.view(np.int64)) if len(keys) else ():
-                if s != now:
+            starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(keys) else []
+            for a, b in zip(starts, [*starts[1:], len(keys)]):
+                if segment[a] != now:
                     if now >= 0:
                         yield packed(now, bits)
-                    now, bits = int(s), np.zeros(SEGMENT * 8, bool)
-                own = segment == s
-                some, level = keys[own], levels[own]
+                    now, bits = int(segment[a]), np.zeros(SEGMENT * 8, bool)
+                some, level = keys[a:b], levels[a:b]
                 for q in range(1, int(level.max()) + 1):
                     some, level = some[level >= q], level[level >= q]
                     base, hashes = blocks_of(some), level_hashes(some, q)
@@ -245,8 +245,9 @@ def built(rows: DataFrame, segments: int) -> np.ndarray:
     first = F.shiftrightunsigned(F.shiftrightunsigned("key", 1), 63 - segment_bits(segments))
     placed = rows.repartition(first).sortWithinPartitions("key")
     whole = np.zeros((segments, SEGMENT), np.uint8)
-    for row in placed.mapInPandas(run, "segment int, bits binary").toLocalIterator():
-        whole[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
+    parts = placed.mapInPandas(run, "segment int, bits binary").toArrow()
+    for segment, bits in zip(parts["segment"].to_pylist(), parts["bits"]):
+        whole[segment] = np.frombuffer(bits.as_buffer(), np.uint8)
     return whole.reshape(-1)
 
 

@@ -55,7 +55,7 @@ def test_filter_holds_quantised_counts(spark):
     keys = np.unique(rng.integers(-(2**62), 2**62, 3000))
     counts = rng.integers(1, 5000, len(keys))
     rows = spark.createDataFrame([(int(k), 1) for k in keys] + [(int(k), int(n) - 1) for k, n in zip(keys, counts) if n > 1], "key long, n long")
-    built = lm.Filter(lm.built(rows, 2))
+    built = lm.Filter(lm.built(rows, 32))
     got = built.counts(keys.view(np.uint64))
     exact = 0.75 * np.exp2(1 + np.floor(np.log2(counts))) - 0.5
     assert (got >= exact).all() and np.mean(got == exact) > 0.99
