@@ -26,30 +26,34 @@ def lookup(
     spread_by: list[str],
     weight: str = "n",
     broadcast_bytes: int = BROADCAST_BYTES,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Left join of ``rows`` with a stored ``table`` unique on ``key``.
 
     The table's size is measured. If it is small it is broadcast, and the rows
     stay where they are. If not, both sides are exchanged on the key, and hot
     keys are salted: a key counted (in ``weight``) in more than 1/1024 of all
-    rows is split by ``spread_by``, as are rows without a key. There can be at
-    most 1024 hot keys, so their list is always small enough to broadcast.
+    rows is split by ``spread_by``, as are rows without a key. The counts are
+    those of ``counts``, a stored table of the rows' own keys that may hold keys
+    which ``table`` lacks; without it, those of ``table``, and keys it lacks are
+    left to adaptive skew splitting. There can be at most 1024 hot keys, so their
+    list is always small enough to broadcast.
     """
     keys = [key] if isinstance(key, str) else key
     if table_bytes(table) <= broadcast_bytes:
         return rows.join(F.broadcast(table), keys, "left")
 
     salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = table.agg(F.sum(weight).alias("t")).first()["t"] or 0
-    is_hot = F.col(weight) * HOT_SHARE > total
-    hot = table.where(is_hot).select(*keys, F.lit(True).alias("_hot"))
+    counted = table if counts is None else counts
+    total = counted.agg(F.sum(weight).alias("t")).first()["t"] or 0
+    hot = counted.where(F.col(weight) * HOT_SHARE > total).select(*keys, F.lit(True).alias("_hot"))
     split = F.col("_hot") | F.col(keys[0]).isNull()
     salted = rows.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt",
         F.when(split, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")).otherwise(0),
     )
-    copies = table.withColumn(
-        "_salt",
-        F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-    )
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    copies = table.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
+    ).drop("_hot")
     return salted.join(copies, [*keys, "_salt"], "left").drop("_hot", "_salt")

@@ -118,7 +118,7 @@ def resegment(
     placed = spread(df, key).select(
         key, F.posexplode_outer(sentences).alias("sentence", "content")
     ).select(key, "sentence", F.posexplode_outer(word_tokens(F.col("content"))).alias("pos", "token"))
-    found = lookup(placed, table, "token", [key])
+    found = lookup(placed, table, "token", [key], counts=tokens)
     word = F.coalesce("words", "token")
     lines = found.groupBy(key, "sentence").agg(
         F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", word.alias("w"))))).alias("ws")

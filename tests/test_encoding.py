@@ -140,3 +140,23 @@ def test_language_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     agreed = with_language(docs).agg(F.avg((F.col("lang") == F.col("detected")).cast("double"))).first()[0]
     assert agreed > 0.9
+
+
+def test_hot_keys_are_spread_even_if_the_table_lacks_them(spark):
+    from inkwell.operators.lookup import lookup
+
+    rows = spark.createDataFrame([(i, ["the", "cat", f"w{i}", None][i % 4]) for i in range(4000)], "doc int, token string")
+    counts = durable(rows.where("token IS NOT NULL").groupBy("token").agg(F.count("*").alias("n")), "counts")
+    table = durable(spark.createDataFrame([("cat", 1000, 7), ("w2", 1, 8)], "token string, n long, id int"), "table")
+    small = {r["doc"]: r["id"] for r in lookup(rows, table, "token", ["doc"]).collect()}
+    big = lookup(rows, table, "token", ["doc"], broadcast_bytes=0, counts=counts)
+    assert {r["doc"]: r["id"] for r in big.collect()} == small
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spread = lookup(rows, table, "token", ["doc"], broadcast_bytes=0, counts=counts)
+        parts = spread.where("token = 'the'").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert parts > 1
