@@ -63,10 +63,11 @@ def test_odd_rows(spark):
 
 
 def test_toxic_documents_of_the_tables(spark):
+    """Fitted on the labels of even ids, judged on those of odd ids; the toxic words of three languages are stems with endings."""
     tables = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "labels"))
-    insults = r"(?i)\b(stupid|idiot|scum|pathetic|disgusting|worthless|loser|trash|clown|moron)\b"
-    out = chains.judged(docs, labels).selectExpr("rejected", f"regexp_count(text, '{insults.replace(chr(92), chr(92) * 2)}') AS n").collect()
-    clean = [r for r in out if r["n"] == 0]
-    toxic = [r for r in out if r["n"] > 0]
-    assert np.mean([r["rejected"] for r in toxic]) > 0.97 and np.mean([r["rejected"] for r in clean]) < 0.01
+    odd = labels.where("doc_id % 2 = 1").select("doc_id", "toxic")
+    out = chains.judged(docs, labels.where("doc_id % 2 = 0")).join(odd, "doc_id").collect()
+    toxic = [r["rejected"] for r in out if r["toxic"]]
+    clean = [r["rejected"] for r in out if not r["toxic"]]
+    assert np.mean(toxic) > 0.85 and np.mean(clean) < 0.01
