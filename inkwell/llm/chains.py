@@ -6,16 +6,16 @@ log-odds come from models that did not see the document (out-of-fold), so a
 later model is not taught to trust an earlier one more than it deserves.
 
 Features are words, and beginnings of longer words (``stem~``), so that a new
-ending does not hide a known stem. They are chosen by counting, over all labelled
-documents, in how many each occurs per category; those whose rate departs most
-from the category's own, by z-score, are used. The fit itself uses at most ``fit_rows`` labelled
-documents, those with the smallest hash, and at most ``features`` words; both
+ending does not hide a known stem. They are chosen by counting in how many
+documents each occurs per category; those whose rate departs most from the
+category's own, by z-score, are used. The fit uses at most ``fit_rows`` labelled
+documents, those with the smallest hash, and at most ``features`` features; both
 are parameters, so what reaches the driver is bounded. Scoring reads every whole
 text.
 
 Defined cases: a null or empty text has no words and gets the chain's base rate;
 a null label is left out; a doc_id labelled twice counts once with its highest
-label; equal texts count once in the fit. Without labels of both kinds in a
+label; equal texts of different ids count once in the fit. Without labels of both kinds in a
 category its probability is the smoothed rate. Columns of the input other than
 doc_id and text are carried along by ``score`` untouched.
 """
@@ -32,6 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkwell.llm.common import broadcast_if_small
+from inkwell.session import durable
+
 # Parameters: labelled rows and features that one fit may use, folds, ridge,
 # the least z-score and documents of a feature, and lengths of beginnings.
 FIT_ROWS, FEATURES, FOLDS, RIDGE = 20_000, 256, 5, 0.3
@@ -128,18 +131,26 @@ def fit_chain(
     return Chain(words, categories, weights)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, categories: list[str]) -> DataFrame:
-    """``{text, words, hash, <categories>}`` of labelled documents, equal texts once."""
-    per_id = labels.groupBy("doc_id").agg(*[F.max(F.col(c).cast("int")).alias(f"_{c}") for c in categories])
-    rows = docs.select("doc_id", "text").join(per_id.dropna(), "doc_id")
-    keyed = rows.where(F.col("text").isNotNull()).groupBy("text").agg(*[F.max(f"_{c}").alias(c) for c in categories])
-    return with_features(keyed).select(F.xxhash64("text").alias("hash"), "words", *categories)
+def labelled(docs: DataFrame, labels: DataFrame, categories: list[str], fit_rows: int) -> DataFrame:
+    """``{hash, words, <categories>}`` of at most ``fit_rows`` labelled texts, those with the smallest hash.
+
+    Texts of different ids that are equal count once. Which texts take part is
+    settled on hashes; their number is bounded, so texts stay where they are.
+    """
+    per_id = labels.groupBy("doc_id").agg(*[F.max(F.col(c).cast("int")).alias(c) for c in categories]).dropna()
+    hashed = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("hash"))
+    texts = hashed.join(broadcast_if_small(durable(per_id, "labels")), "doc_id").groupBy("hash").agg(
+        F.min("doc_id").alias("doc_id"), *[F.max(c).alias(c) for c in categories]
+    )
+    chosen = durable(texts.orderBy(F.xxhash64("hash"), "hash").limit(fit_rows), "fit-rows")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).join(broadcast_if_small(chosen), ["doc_id", "hash"])
+    return with_features(rows).select("hash", "words", *categories)
 
 
 def choose_words(
     rows: DataFrame, categories: list[str], features: int, least_z: float, least_docs: int
 ) -> list[list[str]]:
-    """For each category the words whose share of it departs most from its rate, over all labelled rows."""
+    """For each category the words whose share of it departs most from its rate."""
     total = rows.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
     if not total["n"]:
         return [[] for _ in categories]
@@ -168,14 +179,12 @@ def fit(
     least_docs: int = LEAST_DOCS,
 ) -> Chain:
     """A chain over ``categories``, 0/1 columns of ``labels``, in the order given."""
-    rows = labelled(docs, labels, categories)
+    rows = labelled(docs, labels, categories, fit_rows)
     chosen = choose_words(rows, categories, features, least_z, least_docs)
     words = sorted({w for each in chosen for w in each})
     own = [np.isin(words, each) if words else np.zeros(0, bool) for each in chosen]
     known = F.array(*[F.lit(w) for w in words]).cast("array<string>")
-    sample = rows.select("hash", F.array_intersect("words", known).alias("words"), *categories).orderBy(
-        F.xxhash64("hash"), "hash"
-    ).limit(fit_rows).toPandas()
+    sample = rows.select("hash", F.array_intersect("words", known).alias("words"), *categories).toArrow().to_pandas()
     if not len(sample):
         return Chain(words, categories, [np.r_[np.log(1e-3), np.zeros(len(words) + k)] for k in range(len(categories))])
     index = {word: i for i, word in enumerate(words)}

@@ -44,7 +44,7 @@ from inkwell.session import discard, durable
 WORDS, SIMILARITY, PLACES, ROWS = 5, 0.8, 100, 5
 TILE = 512
 # Shingles handled at a time, and words whose hashes a task remembers.
-CHUNK, REMEMBERED = 1 << 18, 1 << 20
+CHUNK, REMEMBERED = 1 << 17, 1 << 17
 
 _U = np.uint64
 

@@ -40,7 +40,7 @@ from inkwell.session import discard, durable
 # probes per entry, most levels, pseudo-count of the smoothing, words of exact
 # counts that are shipped, and words that a task remembers.
 SEGMENT, MOST_BYTES, TOKEN_BITS, PROBES, LEVELS, MU = 1 << 14, 64 << 20, 8, 4, 40, 64.0
-HEAD, REMEMBERED = 1 << 20, 1 << 20
+HEAD, REMEMBERED = 1 << 20, 1 << 18
 CHUNK_CHARS = 16 << 20
 BLOCK_BITS = 512
 
