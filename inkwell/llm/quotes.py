@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.session import discard, durable
+from inkwell.session import durable
 
 # A quote mark with its blanks, and the mark put between a line's
 # level and the line. Parameter: words from which a single line can link.
@@ -93,28 +93,27 @@ def parents(read: DataFrame) -> DataFrame:
 
 
 def threads(replies: DataFrame) -> DataFrame:
-    """``{conv_id, turn, parent, thread, depth}`` of ``{conv_id, turn, parent}``; stored.
+    """``{conv_id, turn, parent, thread, depth}`` of ``{conv_id, turn, parent}``.
 
     Each message knows a message above it and how far; joining that to itself
-    doubles the distance until all point to their thread's first message.
+    doubles the distance until it points to its thread's first message. Messages
+    that do are done and not joined again, so a long thread costs its own rows.
     """
-    spark = replies.sparkSession
-    first = F.coalesce("parent", "turn")
-    steps = durable(
-        replies.select("conv_id", "turn", "parent", first.alias("up"), F.col("parent").isNotNull().cast("int").alias("hops")), "steps"
-    )
-    while True:
-        above = steps.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("hops").alias("more"))
-        doubled = durable(
-            steps.join(above, ["conv_id", "up"]).select(
-                "conv_id", "turn", "parent", F.col("next").alias("up"), (F.col("hops") + F.col("more")).alias("hops"),
-                (F.col("next") != F.col("up")).alias("moved"),
-            ), "steps",
+    steps = durable(replies.select(
+        "conv_id", "turn", "parent", F.coalesce("parent", "turn").alias("up"), F.col("parent").isNotNull().cast("int").alias("hops")
+    ), "steps")
+    done, climbing = steps.where("parent IS NULL"), steps.where("parent IS NOT NULL")
+    while not climbing.isEmpty():
+        above = done.unionByName(climbing).select(
+            "conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("hops").alias("more")
         )
-        discard(spark, steps)
-        steps = doubled.drop("moved")
-        if doubled.where("moved").isEmpty():
-            return steps.select("conv_id", "turn", "parent", F.col("up").alias("thread"), F.col("hops").alias("depth"))
+        climbed = durable(climbing.join(above, ["conv_id", "up"]).select(
+            "conv_id", "turn", "parent", F.col("next").alias("up"), (F.col("hops") + F.col("more")).alias("hops"),
+            (F.col("next") != F.col("up")).alias("moved"),
+        ), "steps")
+        done = done.unionByName(climbed.where("NOT moved").drop("moved"))
+        climbing = climbed.where("moved").drop("moved")
+    return done.select("conv_id", "turn", "parent", F.col("up").alias("thread"), F.col("hops").alias("depth"))
 
 
 def linked(messages: DataFrame) -> DataFrame:
