@@ -87,7 +87,8 @@ def corpus(spark):
 
 def test_terms_that_give_an_entity_away(spark, corpus):
     found = {r["doc_id"]: r for r in disclosure.find_personal_data(corpus).collect()}
-    assert found[0]["n_term"] == 2 and found[0]["n_email"] == 1
+    # Both names, and "end", which no other text holds.
+    assert found[0]["n_term"] == 3 and found[0]["n_email"] == 1
     assert found[205]["spans"] == "term:6:13"
     assert all(found[i]["n_term"] == 0 for i in range(5, 205)) and found[206]["spans"] == ""
 
