@@ -4,10 +4,12 @@ Word and word-pair counts of the training texts are quantised to powers of two,
 and a pair seen 2^(q-1) times or more is put into one Bloom filter q times, as
 (pair, 1) .. (pair, q). A count is read back by probing (pair, 1), (pair, 2), ..
 until one is missing. The filter is built in segments, each by the task that has
-the segment's counts, and its size follows the corpus up to ``most_bytes``, so
-what is broadcast is bounded; past that bound probes err more often, upwards and
-by powers of two, and nothing is left out. A pair's probability is smoothed
-towards its word's: (c(v, w) + mu p(w)) / (c(v) + mu).
+the segment's counts, and its size follows the training tokens at every size. Up
+to ``most_bytes`` it is broadcast. A larger one stays a stored table: the distinct
+keys of each chunk of texts go to their segment and the levels found come back to
+the chunk, so a key comes at most once per chunk, however frequent it is; the
+scores are the same either way. A pair's probability is smoothed towards its
+word's: (c(v, w) + mu p(w)) / (c(v) + mu).
 
 The base score needs exact word counts. The most frequent words, ``head`` at
 most, are shipped to the tasks; the other words of a text go through an exchange.
@@ -28,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -36,12 +39,13 @@ from pyspark.sql import functions as F
 from inkwell.llm.minhash import mixed
 from inkwell.session import discard, durable
 
-# Parameters: bytes of one segment, largest filter, bits per training token,
+# Parameters: bytes of one segment, largest filter that is broadcast, bits per training token,
 # probes per entry, most levels, pseudo-count of the smoothing, words of exact
 # counts that are shipped, and words that a task remembers.
 SEGMENT, MOST_BYTES, TOKEN_BITS, PROBES, LEVELS, MU = 1 << 14, 64 << 20, 8, 4, 40, 64.0
 HEAD, REMEMBERED = 1 << 20, 1 << 18
-CHUNK_CHARS = 16 << 20
+# Characters that are worked on at once: where keys then move, and where nothing does.
+CHUNK_CHARS, SCORED_CHARS = 16 << 20, 4 << 20
 BLOCK_BITS = 512
 
 _U = np.uint64
@@ -90,12 +94,12 @@ class WordPlaces(dict):
         return out
 
 
-def chunks(texts: pd.Series) -> Iterator[tuple[int, int]]:
+def chunks(texts: pd.Series, chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows of bounded total length, one row at least."""
     start, held = 0, 0
     for i, text in enumerate(texts):
         held += len(text) if text else 0
-        if held >= CHUNK_CHARS:
+        if held >= chars:
             yield start, i + 1
             start, held = i + 1, 0
     if start < len(texts):
@@ -138,6 +142,27 @@ def bit_of(hashes: np.ndarray, i: int) -> np.ndarray:
     return (hashes >> _U(9 * i)) & _U(BLOCK_BITS - 1)
 
 
+def levels_at(bits: np.ndarray, base: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The highest level of each key, whose block starts at bit ``base``; 0 if absent."""
+    level = np.zeros(len(keys), np.int64)
+    at = np.arange(len(keys))
+    for q in range(1, LEVELS + 1):
+        hashes = level_hashes(keys[at], q)
+        for i in range(PROBES):
+            bit = base[at] + bit_of(hashes, i)
+            found = (bits[bit >> _U(3)] >> (bit & _U(7)).astype(np.uint8)) & 1 == 1
+            at, hashes = at[found], hashes[found]
+        if not len(at):
+            break
+        level[at] = q
+    return level
+
+
+def quantised(level: np.ndarray) -> np.ndarray:
+    """The middle of a level's range, 0 for none."""
+    return np.where(level > 0, 0.75 * np.exp2(level) - 0.5, 0.0)
+
+
 @dataclass(frozen=True)
 class Filter:
     """The whole filter: segments one after the other, eight bits a byte."""
@@ -147,19 +172,8 @@ class Filter:
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Quantised counts: the middle of the level's range, 0 if absent."""
         segments = len(self.bits) // SEGMENT
-        level = np.zeros(len(keys), np.int64)
-        at = np.arange(len(keys))
         base = segment_of(keys, segments) * _U(SEGMENT * 8) + blocks_of(keys)
-        for q in range(1, LEVELS + 1):
-            hashes = level_hashes(keys[at], q)
-            for i in range(PROBES):
-                bit = base[at] + bit_of(hashes, i)
-                found = (self.bits[bit >> _U(3)] >> (bit & _U(7)).astype(np.uint8)) & 1 == 1
-                at, hashes = at[found], hashes[found]
-            if not len(at):
-                break
-            level[at] = q
-        return np.where(level > 0, 0.75 * np.exp2(level) - 0.5, 0.0)
+        return quantised(levels_at(self.bits, base, keys))
 
 
 def word_rows(texts: DataFrame) -> DataFrame:
@@ -216,8 +230,14 @@ def totals(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.nda
     yield key.view(np.uint64), n
 
 
-def built(rows: DataFrame, segments: int) -> np.ndarray:
-    """The filter's bits from ``{key, n}``; each segment's counts meet in one task, the segments on the driver."""
+def segment_column(segments: int) -> Column:
+    """:func:`segment_of` the column ``key``."""
+    first = F.shiftrightunsigned(F.shiftrightunsigned("key", 1), 63 - segment_bits(segments))
+    return first.cast("int")
+
+
+def segment_rows(rows: DataFrame, segments: int) -> DataFrame:
+    """``{segment, bits}`` from ``{key, n}``, without empty segments; each segment's counts meet in one task."""
 
     def packed(segment: int, bits: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"segment": [segment], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
@@ -242,10 +262,14 @@ def built(rows: DataFrame, segments: int) -> np.ndarray:
         if now >= 0:
             yield packed(now, bits)
 
-    first = F.shiftrightunsigned(F.shiftrightunsigned("key", 1), 63 - segment_bits(segments))
-    placed = rows.repartition(first).sortWithinPartitions("key")
+    placed = rows.repartition(segment_column(segments)).sortWithinPartitions("key")
+    return placed.mapInPandas(run, "segment int, bits binary")
+
+
+def built(rows: DataFrame, segments: int) -> np.ndarray:
+    """The filter's bits from ``{key, n}``, brought together on the driver."""
     whole = np.zeros((segments, SEGMENT), np.uint8)
-    parts = placed.mapInPandas(run, "segment int, bits binary").toArrow()
+    parts = segment_rows(rows, segments).toArrow()
     for segment, bits in zip(parts["segment"].to_pylist(), parts["bits"]):
         whole[segment] = np.frombuffer(bits.as_buffer(), np.uint8)
     return whole.reshape(-1)
@@ -253,12 +277,16 @@ def built(rows: DataFrame, segments: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """What scoring needs: totals, shipped parts, and the exact counts that were not shipped."""
+    """What scoring needs: totals, shipped parts, and the exact counts that were not shipped.
+
+    The filter is broadcast, or is a stored table of segments.
+    """
 
     tokens: int
     distinct: int
     least: int
-    filter: Broadcast
+    segments: int
+    filter: Broadcast | DataFrame
     head: Broadcast
     vocabulary: DataFrame
 
@@ -282,10 +310,14 @@ def train(docs: DataFrame, most_bytes: int = MOST_BYTES, head: int = HEAD) -> Mo
     known = vocabulary.where(F.col("n") >= least).toArrow()
     keys, counts = known["key"].to_numpy(), known["n"].to_numpy().astype(np.float64)
     order = np.argsort(keys)
-    wanted = max(1, min(most_bytes, tokens * TOKEN_BITS // 8) // SEGMENT)
+    wanted = max(1, tokens * TOKEN_BITS // 8 // SEGMENT)
     segments = 1 << (wanted.bit_length() - 1)
-    bits = built(pair_rows(texts).unionByName(filter_rows(vocabulary)), segments)
-    return Model(tokens, distinct, least, context.broadcast(bits), context.broadcast((keys[order], counts[order])), vocabulary)
+    rows = pair_rows(texts).unionByName(filter_rows(vocabulary))
+    if segments * SEGMENT <= most_bytes:
+        bits = context.broadcast(built(rows, segments))
+    else:
+        bits = durable(segment_rows(rows, segments), "segments")
+    return Model(tokens, distinct, least, segments, bits, context.broadcast((keys[order], counts[order])), vocabulary)
 
 
 def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
@@ -293,49 +325,177 @@ def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
     return F.crc32(text.cast("binary")) % parts == part
 
 
-def score(docs: DataFrame, model: Model, mu: float = MU) -> DataFrame:
-    """``{doc_id, n_tokens, n_known, base_score, score}``, one row per row of ``docs``.
-
-    Everything but the exact counts of rare words is found where the text is.
-    """
+@dataclass(frozen=True)
+class Chunk:
+    """Some texts: the hashes of their words, and per token the places of the word before and its own."""
+
+    word: np.ndarray
+    before: np.ndarray
+    at: np.ndarray
+    sizes: np.ndarray
+    in_head: np.ndarray
+    base: np.ndarray
+
+    @classmethod
+    def read(cls, texts: pd.Series, head: tuple[np.ndarray, np.ndarray], total: float) -> Chunk:
+        keys, exact = head
+        places = WordPlaces()
+        tokens = [places.tokens(text) for text in texts]
+        word = np.array(places.hashes, np.uint64)
+        place = np.minimum(np.searchsorted(keys, word.view(np.int64)), max(len(keys) - 1, 0))
+        in_head = keys[place] == word.view(np.int64) if len(keys) else np.zeros(len(word), bool)
+        count = np.where(in_head, exact[place], 0.0) if len(keys) else np.zeros(len(word))
+        base = np.where(in_head, np.log10((count + 1) / total), 0.0)
+        before = np.concatenate([before_of(t) for t in tokens])
+        return cls(word, before, np.concatenate(tokens), np.array([len(t) for t in tokens]), in_head, base)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Per text, from values per token."""
+        return text_sums(values, self.sizes)
+
+    def columns(self) -> dict[str, np.ndarray]:
+        return {
+            "n_tokens": self.sizes, "known": self.sums(self.in_head[self.at].astype(np.int64)), "base": self.sums(self.base[self.at])
+        }
+
+    def rest(self) -> list[np.ndarray]:
+        """Per text, the words whose counts were not shipped."""
+        each = np.split(self.at, np.cumsum(self.sizes)[:-1])
+        return [self.word[t[~self.in_head[t]]].view(np.int64) for t in each]
+
+
+def text_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, np.cumsum(sizes) - sizes)
+
+
+def log_chance(both: np.ndarray, context: np.ndarray, alone: np.ndarray, mu: float, total: float) -> np.ndarray:
+    return np.log10((np.minimum(both, context) + mu * (alone + 1) / total) / (context + mu))
+
+
+def scored_by_broadcast(docs: DataFrame, model: Model, mu: float, total: float) -> DataFrame:
+    """``{doc_id, n_tokens, known, base, score, rest}``; everything is found where the text is."""
     shipped, head = model.filter, model.head
-    total = float(model.tokens + model.distinct + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bloom = Filter(shipped.value)
-        keys, exact = head.value
         for batch in batches:
-            for a, b in chunks(batch["text"]):
-                places = WordPlaces()
-                texts = [places.tokens(text) for text in batch["text"].iloc[a:b]]
-                word = np.array(places.hashes, np.uint64)
-                rough = bloom.counts(word_keys(word))
-                place = np.minimum(np.searchsorted(keys, word.view(np.int64)), max(len(keys) - 1, 0))
-                in_head = keys[place] == word.view(np.int64) if len(keys) else np.zeros(len(word), bool)
-                count = np.where(in_head, exact[place], 0.0) if len(keys) else np.zeros(len(word))
-                base = np.where(in_head, np.log10((count + 1) / total), 0.0)
-
-                sizes = np.array([len(t) for t in texts])
-                starts = np.cumsum(sizes) - sizes
-                at, before = np.concatenate(texts), np.concatenate([before_of(t) for t in texts])
-                both = bloom.counts(pair_keys(word[before], word[at]))
-                context = rough[before]
-                chance = (np.minimum(both, context) + mu * (rough[at] + 1) / total) / (context + mu)
-                known = in_head[at]
-                yield pd.DataFrame({
-                    "doc_id": batch["doc_id"].iloc[a:b].array,
-                    "n_tokens": sizes,
-                    "known": np.add.reduceat(known.astype(np.int64), starts),
-                    "base": np.add.reduceat(base[at], starts),
-                    "score": np.add.reduceat(np.log10(chance), starts),
-                    "rest": [word[t[~in_head[t]]].view(np.int64) for t in texts],
-                })
+            for a, b in chunks(batch["text"], SCORED_CHARS):
+                c = Chunk.read(batch["text"].iloc[a:b], head.value, total)
+                rough = bloom.counts(word_keys(c.word))
+                both = bloom.counts(pair_keys(c.word[c.before], c.word[c.at]))
+                found = c.sums(log_chance(both, rough[c.before], rough[c.at], mu, total))
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].array, **c.columns(), "score": found, "rest": c.rest()})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, known long, base double, score double, rest array<long>"
-    scored = durable(
-        docs.select("doc_id", "text").mapInPandas(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored"
+    return docs.select("doc_id", "text").mapInPandas(run, schema)
+
+
+def chunk_rows(docs: DataFrame, model: Model, total: float) -> DataFrame:
+    """One row per chunk of texts: their columns, the distinct words and pairs, and each token's pair; stored."""
+    head = model.head
+
+    def one(values: pa.Array) -> pa.Array:
+        return pa.LargeListArray.from_arrays([0, len(values)], values).cast(pa.list_(values.type))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pandas()
+            for a, b in chunks(texts):
+                c = Chunk.read(texts.iloc[a:b], head.value, total)
+                pairs, pair = np.unique(c.before * len(c.word) + c.at, return_inverse=True)
+                row = {name: pa.array(values) for name, values in c.columns().items()}
+                row |= {
+                    "doc_id": batch.column("doc_id").slice(a, b - a),
+                    "rest": pa.array(c.rest(), pa.list_(pa.int64())),
+                    "word": pa.array(c.word.view(np.int64)),
+                    "before": pa.array((pairs // len(c.word)).astype(np.int32)),
+                    "at": pa.array((pairs % len(c.word)).astype(np.int32)),
+                    "pair": pa.array(pair.astype(np.int32)),
+                }
+                yield pa.RecordBatch.from_pydict({name: one(values) for name, values in row.items()})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = (
+        f"n_tokens array<long>, known array<long>, base array<double>, doc_id array<{kind}>, rest array<array<long>>, "
+        "word array<long>, before array<int>, at array<int>, pair array<int>"
     )
+    rows = docs.select("doc_id", "text").mapInArrow(run, schema)
+    return durable(rows.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+
+
+def key_rows(stored: DataFrame) -> DataFrame:
+    """``{chunk, place, key}``: the filter's keys of each chunk's words, then of its pairs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                word = row.word.view(np.uint64)
+                keys = np.concatenate([word_keys(word), pair_keys(word[row.before], word[row.at])])
+                yield pd.DataFrame({"chunk": row.chunk, "place": np.arange(len(keys), dtype=np.int32), "key": keys.view(np.int64)})
+
+    return stored.select("chunk", "word", "before", "at").mapInPandas(run, "chunk long, place int, key long")
+
+
+def found_levels(asked: DataFrame, model: Model) -> DataFrame:
+    """``{chunk, place, level}`` of the keys asked for that the stored segments hold."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # The last segment seen is kept, as its keys may go on in the next rows.
+        ids, bits = np.array([-1]), np.zeros(SEGMENT, np.uint8)
+        for batch in batches:
+            is_key = batch["bits"].isna().to_numpy()
+            ids = np.append(ids[-1:], batch["segment"].to_numpy()[~is_key])
+            bits = np.concatenate([bits[-SEGMENT:], *(np.frombuffer(x, np.uint8) for x in batch["bits"][~is_key])])
+            of_keys = batch[is_key]
+            at = np.searchsorted(ids, of_keys["segment"].to_numpy(), "right") - 1
+            there = ids[at] == of_keys["segment"].to_numpy()
+            of_keys, at = of_keys[there], at[there]
+            keys = of_keys["key"].to_numpy().astype(np.int64).view(np.uint64)
+            level = levels_at(bits, at.astype(np.uint64) * _U(SEGMENT * 8) + blocks_of(keys), keys)
+            out = pd.DataFrame({"chunk": of_keys["chunk"].to_numpy(), "place": of_keys["place"].to_numpy(), "level": level})
+            yield out[level > 0]
+
+    rows = asked.withColumn("segment", segment_column(model.segments)).unionByName(model.filter, allowMissingColumns=True)
+    # Segments carry zeros in the other columns: a null would turn longs into doubles.
+    rows = rows.select("segment", "bits", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("chunk", "place", "key")])
+    placed = rows.repartition("segment").sortWithinPartitions("segment", F.col("bits").isNull())
+    return placed.mapInPandas(run, "chunk long, place int, level int")
+
+
+def scored_by_segments(docs: DataFrame, model: Model, mu: float, total: float) -> DataFrame:
+    """As :func:`scored_by_broadcast`, with the filter as a stored table; stored."""
+    stored = chunk_rows(docs, model, total)
+
+    def run(chunk: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
+        row = chunk.iloc[0]
+        words = len(row["word"])
+        level = np.zeros(words + len(row["before"]), np.int64)
+        level[levels["place"].to_numpy()] = levels["level"].to_numpy()
+        counts = quantised(level)
+        rough, both = counts[:words], counts[words:]
+        found = log_chance(both, rough[row["before"]], rough[row["at"]], mu, total)
+        return pd.DataFrame({"chunk": [row["chunk"]], "score": [text_sums(found[row["pair"]], row["n_tokens"])]})
+
+    levels = found_levels(key_rows(stored), model)
+    sides = stored.select("chunk", "n_tokens", "word", "before", "at", "pair"), levels
+    scores = sides[0].groupBy("chunk").cogroup(sides[1].groupBy("chunk")).applyInPandas(run, "chunk long, score array<double>")
+    columns = ["doc_id", "n_tokens", "known", "base", "score", "rest"]
+    whole = stored.select("chunk", *[c for c in columns if c != "score"]).join(scores, "chunk")
+    out = durable(whole.select(F.inline(F.arrays_zip(*columns))), "chunk-scores")
+    discard(docs.sparkSession, stored)
+    return out
+
+
+def score(docs: DataFrame, model: Model, mu: float = MU) -> DataFrame:
+    """``{doc_id, n_tokens, n_known, base_score, score}``, one row per row of ``docs``.
+
+    With a broadcast filter everything but the exact counts of rare words is found
+    where the text is.
+    """
+    total = float(model.tokens + model.distinct + 1)
+    by = scored_by_segments if isinstance(model.filter, DataFrame) else scored_by_broadcast
+    scored = durable(by(docs, model, mu, total).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     counts = model.vocabulary.where(F.col("n") < model.least)
     each = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(total)) * F.col("times")

@@ -82,3 +82,18 @@ def test_odd_rows(spark):
     assert len({(r["base_score"], r["score"]) for r in out if r["doc_id"] == 3}) == 1
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score_documents(empty).count() == 0
+
+
+def test_filter_beyond_the_broadcast_follows_the_tokens(spark, docs):
+    """A stored filter is as large as a broadcast one would be, and gives the same scores."""
+    rows = [*docs, (None, "x y"), (None, "x y"), (200_000, docs[0][1])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.train(table, most_bytes=lm.SEGMENT)
+    assert model.tokens * lm.TOKEN_BITS // 16 < model.segments * lm.SEGMENT * 8 <= model.tokens * lm.TOKEN_BITS
+    assert model.segments > 1
+    shipped, stored = (
+        sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in lm.score_documents(table, most_bytes=n).collect())
+        for n in (1 << 30, lm.SEGMENT)
+    )
+    assert len(stored) == len(rows) and stored == shipped
+    assert lm.score(table.limit(0), model).count() == 0
