@@ -7,8 +7,8 @@ later model is not taught to trust an earlier one more than it deserves.
 
 Features are words, and beginnings of longer words (``stem~``), so that a new
 ending does not hide a known stem. They are chosen by counting in how many
-documents each occurs per category; those whose rate departs most from the
-category's own, by z-score, are used. The fit uses at most ``fit_rows`` labelled
+labelled documents, all of them, each occurs per category; those whose rate
+departs most from the category's own, by z-score, are used. The fit uses at most ``fit_rows`` labelled
 documents, those with the smallest hash, and at most ``features`` features; both
 are parameters, so what reaches the driver is bounded. Scoring reads every whole
 text.
@@ -131,19 +131,24 @@ def fit_chain(
     return Chain(words, categories, weights)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, categories: list[str], fit_rows: int) -> DataFrame:
-    """``{hash, words, <categories>}`` of at most ``fit_rows`` labelled texts, those with the smallest hash.
+def labelled(docs: DataFrame, labels: DataFrame, categories: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``{doc_id, hash, <categories>}`` of all labelled texts, stored, and ``{hash, words, <categories>}`` of the same.
 
     Texts of different ids that are equal count once. Which texts take part is
-    settled on hashes; their number is bounded, so texts stay where they are.
+    settled on hashes, so texts stay where they are as long as those are small.
     """
     per_id = labels.groupBy("doc_id").agg(*[F.max(F.col(c).cast("int")).alias(c) for c in categories]).dropna()
     hashed = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("hash"))
     texts = hashed.join(broadcast_if_small(durable(per_id, "labels")), "doc_id").groupBy("hash").agg(
         F.min("doc_id").alias("doc_id"), *[F.max(c).alias(c) for c in categories]
     )
-    chosen = durable(texts.orderBy(F.xxhash64("hash"), "hash").limit(fit_rows), "fit-rows")
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).join(broadcast_if_small(chosen), ["doc_id", "hash"])
+    settled = durable(texts, "labelled-texts")
+    return settled, with_words(docs, settled, categories)
+
+
+def with_words(docs: DataFrame, settled: DataFrame, categories: list[str]) -> DataFrame:
+    """``{hash, words, <categories>}`` of settled texts."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).join(broadcast_if_small(settled), ["doc_id", "hash"])
     return with_features(rows).select("hash", "words", *categories)
 
 
@@ -179,8 +184,10 @@ def fit(
     least_docs: int = LEAST_DOCS,
 ) -> Chain:
     """A chain over ``categories``, 0/1 columns of ``labels``, in the order given."""
-    rows = labelled(docs, labels, categories, fit_rows)
-    chosen = choose_words(rows, categories, features, least_z, least_docs)
+    settled, whole = labelled(docs, labels, categories)
+    chosen = choose_words(whole, categories, features, least_z, least_docs)
+    fitted = durable(settled.orderBy(F.xxhash64("hash"), "hash").limit(fit_rows), "fit-rows")
+    rows = with_words(docs, fitted, categories)
     words = sorted({w for each in chosen for w in each})
     own = [np.isin(words, each) if words else np.zeros(0, bool) for each in chosen]
     known = F.array(*[F.lit(w) for w in words]).cast("array<string>")

@@ -71,3 +71,12 @@ def test_toxic_documents_of_the_tables(spark):
     toxic = [r["rejected"] for r in out if r["toxic"]]
     clean = [r["rejected"] for r in out if not r["toxic"]]
     assert np.mean(toxic) > 0.85 and np.mean(clean) < 0.01
+
+
+def test_features_are_counted_over_all_labelled_texts(spark):
+    """A word too rare in the fitted rows to be chosen there is chosen by its counts over all of them."""
+    made = [(i, f"w{i} plain text" + " grimly" * (i % 100 == 0), 1, int(i % 100 == 0)) for i in range(3000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in made], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, x) for i, _, q, x in made], "doc_id long, quality int, toxic int")
+    chain = chains.fit(docs, chains.label_categories(labels), chains.CATEGORIES, fit_rows=200)
+    assert "grimly" in chain.words
