@@ -155,19 +155,25 @@ def mentions(texts: DataFrame) -> DataFrame:
 def co_occurrences(texts: DataFrame, total: int, least: int, generalise: float) -> DataFrame:
     """``{entity, term, both, n_entity}``: distinct contexts of an entity, and of both together; stored.
 
-    A text counts once per entity, and texts with the same context count once.
+    A text counts once per entity, with the terms of all its mentions of it, and
+    texts with the same set of contexts count once.
 
     A mention gives a bounded number of terms, so the pairs grow with the
     mentions and not with the square of a text. A term can reach ``generalise``
     only if few texts hold it; terms that more texts hold already near mentions
     cannot, and are left out here.
     """
-    per_row = mentions(texts).groupBy("entity", "row").agg(F.min(F.struct("context", "terms")).alias("x"))
-    seen = durable(
-        per_row.groupBy("entity", "x.context").agg(F.min("row").alias("row"), F.first("x.terms").alias("terms")), "mentions"
-    )
+    found = durable(mentions(texts), "mentions")
+    # A text may hold one value a million times: its contexts are told by two sums
+    # over their distinct hashes, and its terms stay rows.
+    contexts = found.select("entity", "row", "context").distinct()
+    per_row = contexts.groupBy("entity", "row").agg(*[
+        F.sum(F.xxhash64("context", F.lit(k)).cast("decimal(20,0)")).alias(f"set{k}") for k in (0, 1)
+    ])
+    seen = durable(per_row.groupBy("entity", "set0", "set1").agg(F.min("row").alias("row")).select("entity", "row"), "seen")
     often = seen.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= least)
-    terms = seen.select("row", "entity", F.explode("terms").alias("term"))
+    each = found.select("entity", "row", F.explode("terms").alias("term")).distinct()
+    terms = durable(each.join(broadcast_if_small(seen), ["entity", "row"], "left_semi"), "near-terms")
     pairs = terms.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= least)
     near = terms.groupBy("term").agg(F.count_distinct("row").alias("n_near"))
     most = F.col("both") / F.col("n_entity") * total / F.pow(F.lit(float(total)) / F.col("n_entity"), F.lit(generalise))

@@ -112,3 +112,16 @@ def test_sanitise_keeps_nulls_columns_and_empty_tables(spark):
     assert out.columns == rows.columns
     assert sorted((r["text"] or "") for r in out.collect()) == ["", "call [PHONE]"]
     assert disclosure.find_personal_data(rows.limit(0)).count() == 0
+
+
+def test_all_mentions_of_a_text_are_read(spark):
+    """The name stands beside one of six mentions in each text."""
+    mail = "jane.roe@mail.example.org"
+    far = " ".join(["word"] * 40)
+    told = [
+        " ".join(f"{far} {'Karolin' if k == i % 6 else 'plain'} {mail} v{chr(97 + i)}{chr(97 + k)}x {far}" for k in range(6))
+        for i in range(12)
+    ]
+    rows = list(enumerate(told + [f"{far} plain text{i}" for i in range(300)] + ["Karolin was seen alone"]))
+    found = {r["doc_id"]: r for r in disclosure.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("term:" in found[i]["spans"] for i in range(12)) and found[312]["spans"] == "term:0:7"
