@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import chains, disclosure, edits, minhash, mixing, ngram_filter, pstable, quotes, separators, url_rules
+from inkwell.llm import (
+    alignment, blockjoin, chains, disclosure, edits, minhash, mixing, ngram_filter, pstable, quotes, resample, separators, url_rules,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,3 +156,69 @@ FROM based LEFT JOIN met USING (url)"""
 @query(_url_sql())
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
+
+
+# Sums run in the order of the components on both sides.
+NEAREST_SQL = f"""WITH good AS (
+    SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e, len(embedding) AS size FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+    SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)
+        / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(c.e, c.e))) AS score
+    FROM good q JOIN good c ON q.r <> c.r AND q.size = c.size WHERE q.vec_id % {blockjoin.EVERY} = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {blockjoin.K}"""
+
+
+@query(NEAREST_SQL)
+def op11_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blockjoin.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op12_lockstep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.token_links(table(spark, sf_dir, "documents"))
+
+
+# DuckDB has no CRC: the table of remainders is built by eight shifts per byte.
+RESAMPLE_SQL = rf"""WITH crc AS (
+    SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), words AS (
+    SELECT 0 AS target, doc_id, rn, unnest(ws) AS word FROM (
+        SELECT doc_id, row_number() OVER () AS rn, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents)
+    UNION ALL
+    SELECT 1, item_id, 0, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+), hashed AS (
+    SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h) // 2 + 1),
+        lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)
+        % {resample.BUCKETS} AS bucket
+    FROM (SELECT DISTINCT word, hex(encode(word)) AS h FROM words), crc
+), counted AS (
+    SELECT bucket, count(*) FILTER (target = 0) AS s, count(*) FILTER (target = 1) AS t
+    FROM words JOIN hashed USING (word) GROUP BY bucket
+), gains AS (
+    SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + {resample.BUCKETS})::DOUBLE)
+        / ((s + 1)::DOUBLE * (sum(t) OVER () + {resample.BUCKETS})::DOUBLE)))::BIGINT AS gain FROM counted
+), sums AS (
+    SELECT rn, count(*) AS n_features, sum(gain)::BIGINT AS weight
+    FROM words JOIN hashed USING (word) JOIN gains USING (bucket) WHERE target = 0 GROUP BY rn
+), scored AS (
+    SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+        coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resample.SALT}:'
+            || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM (SELECT doc_id, row_number() OVER () AS rn FROM documents) LEFT JOIN sums USING (rn)
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= count(*) FILTER (n_features >= {resample.LEAST_WORDS}) OVER ()
+        * {resample.PERCENT} // 100 AND n_features >= {resample.LEAST_WORDS} THEN place END AS rank
+FROM (SELECT *, row_number() OVER (ORDER BY n_features >= {resample.LEAST_WORDS} DESC, score DESC, doc_id NULLS LAST) AS place FROM scored)"""
+
+
+@query(RESAMPLE_SQL)
+def op13_overlapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
