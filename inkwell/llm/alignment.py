@@ -27,6 +27,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -159,7 +160,7 @@ def merged(texts: list[str], one: Side, other: Side, labels: list[bytes], lane:
     owner = owner[used]
     sizes = [np.array([len(side[i]) for i in used], np.int64) for side in encoded]
     ids_a, ids_b = (
-        np.fromiter((t for i in used for t in side[i]), np.int64, int(size.sum())) for side, size in zip(encoded, sizes)
+        np.fromiter(chain.from_iterable(side[i] for i in used), np.int64, int(size.sum())) for side, size in zip(encoded, sizes)
     )
     stops = [np.cumsum(size) for size in sizes]
     starts = [stop - size for stop, size in zip(stops, sizes)]
