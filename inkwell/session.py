@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
-# Compact bytes that one partition of a spread table holds, by the plan's estimate.
-SPREAD_BYTES = 128 << 20
+# Bytes of scanned (packed) files per partition of a spread table; texts are some
+# three times that in memory.
+SPREAD_BYTES = 48 << 20
 
 
 def build_session(app: str = "inkwell", master: str | None = None, **settings: str) -> SparkSession:
@@ -70,17 +71,25 @@ def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
             system.delete(target, True)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes that the scans below ``df`` may read, by their own statistics; unknown sizes count as none.
+
+    Spark's size of a join is the product of its sides, so only leaves are asked.
+    """
+    unknown = df.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes()
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(size for size in sizes if size < unknown)
+
+
 def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Hash-partition compact rows by key before they are exploded.
 
     The later groupings and windows on the same keys (or on more keys that
     start from them) then need no further exchange. The partition count is
     given, since adaptive coalescing would judge the compact size and not the
-    exploded one: it follows the plan's size estimate, with the setting as the
+    exploded one: it follows the bytes of the scans, with the setting as the
     least.
     """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    # Without statistics Spark's estimate is boundless; it is then no guide.
-    wanted = -(-estimate // SPREAD_BYTES) if estimate < 1 << 50 else 0
-    return df.repartition(max(least, wanted), *keys)
+    return df.repartition(max(least, -(-input_bytes(df) // SPREAD_BYTES)), *keys)

@@ -85,3 +85,18 @@ def test_no_cartesian_products(spark):
         plan = planned(spark, name)
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
+
+
+def test_partitions_follow_the_bytes_of_the_scans(spark, tmp_path, monkeypatch):
+    from inkwell import session
+
+    for sf in ("sf0.01", "sf0.1"):
+        pairs = turn_pairs(spark, f"/root/testdata/{sf}")
+        assert session.spread(pairs, "conv_id", "turn").rdd.getNumPartitions() == 4
+    size = session.input_bytes(pairs)
+    assert 0 < size <= 4 * 1_731_503
+    monkeypatch.setattr(session, "SPREAD_BYTES", size // 9)
+    assert 9 <= session.spread(pairs, "conv_id", "turn").rdd.getNumPartitions() <= 10
+    # A table without statistics has the setting.
+    local = spark.createDataFrame([(1, "a")], "k int, t string")
+    assert session.spread(local, "k").rdd.getNumPartitions() == 4
