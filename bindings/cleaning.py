@@ -10,7 +10,7 @@ from inkwell.functions.stopwords import STOP_WORDS
 from inkwell.operators.filters import well_formed
 from inkwell.operators.language import in_language, with_language
 from inkwell.operators.pairing import without_abstract
-from inkwell.operators.resegment import resegment, resegmented_text
+from inkwell.operators.resegment import UNKNOWN_COST, resegment, resegmented_text
 from inkwell.plans.cleaning import clean_basic, clean_strict, cleaned_articles
 
 
@@ -166,19 +166,27 @@ def basic_profile(spark, sf_dir):
     return _each(spark, sf_dir, clean_basic(F.col("text"), BODY, END), "body")
 
 
-def _resegment_sql(sentences: str, source: str) -> str:
+def _resegment_sql(sentences: str, source: str, drop_blanks: bool = False) -> str:
     """The segmentation of ``source(doc_id, ..)``, one recursion step per place in a token."""
+    cut, lone = "lines", ""
+    if drop_blanks:
+        cut = "(SELECT doc_id, line, replace(content, ' ', '') AS content FROM lines)"
+        lone = f"""
+    UNION ALL
+    SELECT token, start, start + 1, substr(token, start + 1, 1), {UNKNOWN_COST} FROM starts
+    WHERE lower(substr(token, start + 1, 1)) NOT IN (SELECT word FROM costs)"""
     return f"""lists AS (SELECT doc_id, {sentences} AS s FROM {source}),
 lines AS (
     SELECT doc_id, i AS line, list_extract(s, i) AS content
     FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM lists)
 ),
-token_lists AS (SELECT doc_id, line, regexp_extract_all(content, '[\\p{{L}}\\p{{N}}'']+') AS ts FROM lines),
+words AS (SELECT unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}'']+')) AS word FROM lines),
+token_lists AS (SELECT doc_id, line, regexp_extract_all(content, '[\\p{{L}}\\p{{N}}'']+') AS ts FROM {cut}),
 tokens AS (
     SELECT doc_id, line, i AS pos, list_extract(ts, i) AS token
     FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM token_lists)
 ),
-counted AS (SELECT lower(token) AS word, count(*) AS n FROM tokens GROUP BY 1 HAVING count(*) >= 2),
+counted AS (SELECT word, count(*) AS n FROM words GROUP BY 1 HAVING count(*) >= 2),
 costs AS (
     SELECT word, round(ln(row_number() OVER (ORDER BY n DESC, word) * ln((SELECT count(*) FROM counted)::DOUBLE))
         * 1000000)::BIGINT AS cost
@@ -192,7 +200,7 @@ stops AS (
 ),
 spans AS (
     SELECT token, start, stop, substr(token, start + 1, stop - start) AS piece, cost
-    FROM stops JOIN costs ON word = lower(substr(token, start + 1, stop - start))
+    FROM stops JOIN costs ON word = lower(substr(token, start + 1, stop - start)){lone}
 ),
 endings AS (SELECT token, stop, list({{start: start, cost: cost, piece: piece}}) AS spans FROM spans GROUP BY token, stop),
 routes(token, pos, best) AS (
@@ -225,6 +233,17 @@ def resegmented(spark, sf_dir):
     return resegmented_text(resegment(docs, "doc_id"), "doc_id")
 
 
+@query(f"""WITH RECURSIVE turns AS (SELECT conv_id || ':' || turn AS doc_id, text FROM conversations),
+{_resegment_sql(sentence_list_sql('text'), 'turns', drop_blanks=True)}""")
+def resegmented_whole(spark, sf_dir):
+    """Sentences of all turns without their blanks, cut into words again."""
+    turns = table(spark, sf_dir, "conversations").select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"),
+        t.split_sentences(F.col("text")).alias("sentences"),
+    )
+    return resegmented_text(resegment(turns, "doc_id", drop_blanks=True), "doc_id")
+
+
 @query(f"WITH RECURSIVE {SLICES_SQL}, {_resegment_sql(STRICT_SQL, 'slices')}")
 def strict_profile(spark, sf_dir):
     return clean_strict(spread_docs(spark, sf_dir), "doc_id", "text", BODY, END)

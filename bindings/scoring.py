@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindings.registry import FIRST_SENTENCE_SQL, TURN_PAIRS_SQL, first_sentence, query, sentence_list_sql, spread_docs, turn_pairs
-from inkwell.operators import alignment, overlap, scores, subsequence, summary
+from inkwell.operators import alignment, overlap, scores, stemming, subsequence, summary
 from inkwell.operators import perplexity as ppl
 from inkwell.plans.evaluation import evaluate_summaries
+from inkwell.session import durable
 
 KEYS = ["conv_id", "turn"]
 DIGITS = 9
@@ -167,6 +168,99 @@ def rouge_l(spark, sf_dir):
     )
 
 
+def _stems_sql(words: str) -> str:
+    """Stems of the table ``words(token)``, a step per CTE, as ``stems(token, stem)``."""
+    def measured(less: int, least: int) -> str:
+        return f"left(s, greatest(length(s) - {less}, 0)) LIKE '{'%vc' * least}%'"
+
+    def head(less: int) -> str:
+        return f"left(w, greatest(length(w) - {less}, 0))"
+
+    def suffixes(rules, least: int) -> str:
+        return " ".join(
+            f"WHEN ends_with(w, '{e}') THEN CASE WHEN {measured(len(e), least)} THEN {head(len(e))} || '{p}' ELSE w END" for e, p in rules
+        )
+
+    closed = "((left(s, length(s) - 1) LIKE '%cvc' AND right(left(w, length(w) - 1), 1) NOT IN ('w', 'x', 'y')) OR left(s, length(s) - 1) = 'vc')"
+    endings = " ".join(
+        f"WHEN ends_with(w, '{e}') THEN CASE WHEN {measured(len(e), 2)}"
+        + (f" AND right({head(3)}, 1) IN ('s', 't')" if e == "ion" else "") + f" THEN {head(len(e))} ELSE w END" for e in stemming.ENDINGS
+    )
+    base = head(1)
+    steps = [
+        f"WHEN ends_with(w, 'ies') AND length(w) = 4 THEN {base} " + " ".join(
+            f"WHEN ends_with(w, '{e}') THEN {head(len(e))} || '{p}'" for e, p in stemming.PLURALS),
+        f"WHEN ends_with(w, 'ied') THEN CASE WHEN length(w) = 4 THEN {base} ELSE {head(2)} END"
+        f" WHEN ends_with(w, 'eed') THEN CASE WHEN {measured(3, 1)} THEN {base} ELSE w END"
+        f" WHEN ends_with(w, 'ed') AND left(s, length(s) - 2) LIKE '%v%' THEN {head(2)} || '+'"
+        f" WHEN ends_with(w, 'ing') AND left(s, length(s) - 3) LIKE '%v%' THEN {head(3)} || '+'",
+        f"WHEN NOT ends_with(w, '+') THEN w WHEN right({base}, 2) IN ('at', 'bl', 'iz') THEN {base} || 'e'"
+        f" WHEN length({base}) > 1 AND right({base}, 1) = left(right({base}, 2), 1) AND left(s, length(s) - 1) LIKE '%c'"
+        f" THEN CASE WHEN right({base}, 1) IN ('l', 's', 'z') THEN {base} ELSE {head(2)} END"
+        f" WHEN {measured(1, 1)} AND NOT {measured(1, 2)} AND {closed} THEN {base} || 'e' ELSE {base}",
+        f"WHEN ends_with(w, 'y') AND length(w) > 2 AND left(s, length(s) - 1) LIKE '%c' THEN {base} || 'i'",
+        f"WHEN ends_with(w, 'alli') AND {measured(4, 1)} THEN {head(2)}",
+        suffixes(stemming.LONG, 1) + f" WHEN ends_with(w, 'logi') THEN CASE WHEN {measured(3, 1)} THEN {base} ELSE w END",
+        suffixes(stemming.SHORT, 1),
+        endings,
+        f"WHEN ends_with(w, 'e') AND ({measured(1, 2)} OR ({measured(1, 1)} AND NOT {closed})) THEN {base}",
+        f"WHEN ends_with(w, 'll') AND {measured(1, 2)} THEN {base}",
+    ]
+    marks = (
+        f"replace(replace(regexp_replace(translate(w, '{stemming.VOWELS + stemming.CONSONANTS}',"
+        f" '{'v' * len(stemming.VOWELS) + 'c' * len(stemming.CONSONANTS)}'), '(^|v)y', '\\1c', 'g'), 'yy', 'vc'), 'y', 'v')"
+    )
+    parts = [f"st_0 AS (SELECT token, token AS w FROM {words})"]
+    for i, cases in enumerate(steps):
+        other = "" if " ELSE " + base == cases[-len(" ELSE " + base):] else " ELSE w"
+        parts.append(f"st_{i + 1} AS (SELECT token, CASE {cases}{other} END AS w FROM (SELECT token, w, {marks} AS s FROM st_{i}))")
+    own = " ".join(f"WHEN token = '{w}' THEN '{x}'" for w, x in stemming.EXCEPTIONS.items())
+    parts.append(
+        f"stems AS (SELECT token, CASE WHEN length(token) <= {stemming.WHOLE_LENGTH} THEN token {own} ELSE w END AS stem FROM st_{len(steps)})"
+    )
+    return ", ".join(parts)
+
+
+def _stemmed_pairs_sql(k: str, source: str) -> str:
+    """``scored`` with both texts as stems joined by blanks."""
+    def side(name: str) -> str:
+        return f"""SELECT {k}, '{name}' AS side, i, list_extract(ts, i) AS token
+        FROM (SELECT {k}, ts, unnest(range(1, len(ts) + 1)) AS i FROM (SELECT {k}, {_alnum(name)} AS ts FROM {source}))"""
+
+    return f"""sp_tokens AS ({side('reference')} UNION ALL {side('generated')}),
+sp_words AS (SELECT DISTINCT token FROM sp_tokens), {_stems_sql('sp_words')},
+sp_texts AS (
+    SELECT {k}, string_agg(stem, ' ' ORDER BY i) FILTER (side = 'reference') AS r,
+        string_agg(stem, ' ' ORDER BY i) FILTER (side = 'generated') AS g
+    FROM sp_tokens JOIN stems USING (token) GROUP BY {k}
+),
+scored AS (
+    SELECT {k}, coalesce(r, '') AS reference, coalesce(g, '') AS generated FROM {source} LEFT JOIN sp_texts USING ({k})
+)"""
+
+
+ROUGE_L_COLUMNS = ["rougeL_precision", "rougeL_recall", "rougeL"]
+
+
+@query(f"""
+WITH RECURSIVE {TURN_PAIRS_SQL}, {_stemmed_pairs_sql(K, 'turn_pairs')}, {_rouge_sql(K)}, {_rouge_l_sql(K)}
+SELECT {K}, {_round_sql(*ROUGE_COLUMNS, *ROUGE_L_COLUMNS)} FROM rouge JOIN rouge_l USING ({K})
+""")
+def rouge_stemmed(spark, sf_dir):
+    """All ROUGE scores by stems, the scorer's usual setting."""
+    pairs = turn_pairs(spark, sf_dir)
+    stems = stemming.stem_table(pairs, "reference", "generated")
+    texts = durable(overlap.stemmed(pairs, KEYS, stems), "stemmed")
+    both = overlap.rouge_n(texts, KEYS).join(subsequence.rouge_l(texts, KEYS), KEYS)
+    return _rounded(both, *ROUGE_COLUMNS, *ROUGE_L_COLUMNS)
+
+
+@query(f"WITH words AS (SELECT DISTINCT unnest({_alnum('text')}) AS token FROM documents), {_stems_sql('words')} SELECT token, stem FROM stems")
+def word_stems(spark, sf_dir):
+    """The stem of every different word of all documents."""
+    return stemming.stem_table(spread_docs(spark, sf_dir), "text").select("token", "stem")
+
+
 @query(f"WITH {TURNS}, {_bleu_sql(K)} SELECT {K}, {_round_sql('bleu')} FROM bleu_rows")
 def bleu(spark, sf_dir):
     return _rounded(overlap.bleu(turn_pairs(spark, sf_dir), KEYS), "bleu")

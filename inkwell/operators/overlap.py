@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import alnum_tokens, ngrams, space_tokens
+from inkwell.operators.lookup import lookup
 from inkwell.session import spread
 
 ROUGE, BLEU = "rouge", "bleu"
@@ -35,21 +36,23 @@ def _grams(tokens: Column, family: str, n: int, from_reference: int) -> Column:
 
 
 def stemmed(pairs: DataFrame, keys: list[str], stems: DataFrame) -> DataFrame:
-    """Replace the ROUGE tokens of both texts by stems from a ``{token, stem}`` table.
+    """``{keys, reference, generated}`` with every token replaced by its stem.
 
-    The table is a dictionary, one row per token; Spark picks the join from its
-    size. Tokens are gathered again inside the exchange by key.
+    ``stems`` is a stored ``{token, n, stem}`` with how often a token occurs, as
+    :func:`~inkwell.operators.stemming.stem_table` makes it; tokens it lacks stay.
+    The lookup broadcasts the table or salts its common tokens. A text that is
+    null becomes empty.
     """
     def listed(side: str) -> Column:
         return F.transform(
-            alnum_tokens(F.col(side)),
+            F.coalesce(alnum_tokens(F.col(side)), F.array().cast("array<string>")),
             lambda t, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), t.alias("token")),
         )
 
-    placed = spread(pairs, *keys).select(
+    placed = spread(pairs.select(*keys, "reference", "generated"), *keys).select(
         *keys, F.inline_outer(F.concat(listed("reference"), listed("generated")))
     )
-    found = placed.join(stems, "token", "left").withColumn("word", F.coalesce("stem", "token"))
+    found = lookup(placed, stems, "token", [*keys, "side", "pos"]).withColumn("word", F.coalesce("stem", "token"))
 
     def gathered(side: str) -> Column:
         held = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "word"))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from inkwell.session import durable, spread
 
 # Costs are whole millionths, so that sums compare the same everywhere.
 COST_UNIT = 1_000_000
+# Letters of a token that are cut at a time, and what a letter of no known word costs.
+BLOCK, UNKNOWN_COST = 256, 100 * COST_UNIT
 
 
 def _sentence_tokens(sentences: str) -> Column:
@@ -34,31 +38,43 @@ def word_costs(tokens: DataFrame, min_count: int = 2) -> DataFrame:
     )
 
 
-def _cheapest(spans: Column, length: Column) -> Column:
-    """Best split of one token from its known spans ``{start, stop, cost, word}``; null if there is none.
+def _cheapest(unknown_cost: int | None):
+    """Arrow function: the best split of each token from its known spans; null if there is none.
 
-    Goes through the token once: the best ``{cost, words}`` up to a place is the
-    least over the spans that end there, each added to the best up to its start.
-    Equal costs fall to the smaller text.
+    One pass from a token's end to its start: the least cost from a place on is
+    the least over the spans that start there, each added to the least from where
+    it stops, and a back pointer keeps the nearest such stop. So equal costs fall
+    to the split whose first words are shorter, the smaller text. The work is one
+    step per letter and span. With ``unknown_cost`` a letter that is no known word
+    may stand alone at that cost.
     """
-    kind = "struct<cost:bigint,words:string>"
-    nowhere = F.lit(None).cast(kind)
-    origin = F.struct(F.lit(0).cast("long").alias("cost"), F.lit("").alias("words")).cast(kind)
-
-    def extended(best: Column, place: Column) -> Column:
-        ending = F.filter(spans, lambda s: (s["stop"] == place) & F.get(best, s["start"]).isNotNull())
-        steps = F.transform(
-            ending,
-            lambda s: F.struct(
-                (F.get(best, s["start"])["cost"] + s["cost"]).alias("cost"),
-                F.ltrim(F.concat_ws(" ", F.get(best, s["start"])["words"], s["word"])).alias("words"),
-            ).cast(kind),
-        )
-        return F.array_append(best, F.array_min(F.concat(F.array(nowhere), steps)))
-
-    return F.aggregate(
-        F.sequence(F.lit(1), length), F.array(origin), extended, lambda best: F.get(best, length)["words"]
-    )
+    def splits(token: pd.Series, starts: pd.Series, stops: pd.Series, costs: pd.Series) -> pd.Series:
+        def one(text: str, start, stop, cost) -> str | None:
+            order = np.lexsort((stop, start))
+            start, stop, cost = start[order], stop[order].tolist(), cost[order].tolist()
+            size = len(text)
+            first = np.searchsorted(start, np.arange(size + 1)).tolist()
+            best, after = [None] * size + [0], [0] * size
+            for i in range(size - 1, -1, -1):
+                least, to = None, 0
+                if unknown_cost is not None and best[i + 1] is not None and stop[first[i] : first[i] + 1] != [i + 1]:
+                    least, to = best[i + 1] + unknown_cost, i + 1
+                for k in range(first[i], first[i + 1]):
+                    rest = best[stop[k]]
+                    if rest is not None and (least is None or rest + cost[k] < least):
+                        least, to = rest + cost[k], stop[k]
+                best[i], after[i] = least, to
+            if best[0] is None:
+                return None
+            words, at = [], 0
+            while at < size:
+                words.append(text[at : after[at]])
+                at = after[at]
+            return " ".join(words)
+
+        return pd.Series([one(*row) for row in zip(token, starts, stops, costs)], dtype=object)
+
+    return F.pandas_udf(splits, "string")
 
 
 def word_lengths(costs: DataFrame) -> list[int]:
@@ -66,34 +82,50 @@ def word_lengths(costs: DataFrame) -> list[int]:
     return sorted(r["m"] for r in costs.select(F.length("word").alias("m")).distinct().collect())
 
 
-def replacements(tokens: DataFrame, costs: DataFrame) -> DataFrame:
+def known_spans(tokens: DataFrame, costs: DataFrame) -> DataFrame:
+    """``{id, start, stop, cost}`` of every piece of a token ``{id, token}`` that is a known word.
+
+    Only pieces as long as some known word are cut, as one long word does not make
+    all shorter lengths worth trying. A token is first cut into blocks that
+    overlap by the longest word, so that a piece costs its own length and not that
+    of a long token; spans carry the id alone.
+    """
+    lengths = word_lengths(costs)
+    longest = max(lengths, default=1)
+    size, at = F.col("size"), F.col("block") + F.col("off")
+    blocks = spread(tokens, "id").withColumn("size", F.length("token")).select(
+        "id", "token", "size", F.explode(F.sequence(F.lit(0), size - 1, F.lit(BLOCK))).alias("block")
+    ).withColumn("chunk", F.substring("token", F.col("block") + 1, F.lit(BLOCK + longest)))
+    places = F.sequence(F.lit(0), F.least(F.lit(BLOCK), size - F.col("block")) - 1)
+    windows = blocks.select("id", "size", "block", "chunk", F.explode(places).alias("off")).select(
+        "id", "size", at.alias("start"), F.lower(F.substring("chunk", F.col("off") + 1, F.lit(longest))).alias("window")
+    )
+    fitting = F.filter(F.array(*[F.lit(m) for m in lengths]).cast("array<int>"), lambda m: F.col("start") + m <= size)
+    pieces = windows.select("id", "start", "window", F.explode(fitting).alias("m")).select(
+        "id", "start", (F.col("start") + F.col("m")).alias("stop"), F.substring("window", F.lit(1), F.col("m")).alias("word")
+    )
+    priced = lookup(pieces, costs, "word", ["id", "start"])
+    return priced.where(F.col("cost").isNotNull()).select("id", "start", "stop", "cost")
+
+
+def replacements(tokens: DataFrame, costs: DataFrame, unknown_cost: int | None = None) -> DataFrame:
     """``{token, n, words}`` for unknown tokens that split into known words, however many.
 
-    Each distinct unknown token is cut into the pieces that have the length of a
-    known word, as one long known word does not make all shorter lengths worth
-    trying; those that are known are gathered per token. The tokens are spread
-    before they are cut, so gathering needs no exchange.
+    ``tokens`` is ``{token, n}``. Each distinct unknown token gathers its known
+    spans; tokens are spread before they are cut, so gathering needs no exchange.
+    With ``unknown_cost`` every unknown token has a split.
     """
-    lengths = F.array(*[F.lit(m) for m in word_lengths(costs)]).cast("array<int>")
-    unknown = (
+    unknown = durable(
         tokens.withColumn("low", F.lower("token"))
         .join(costs.select(F.col("word").alias("low")), "low", "left_anti")
-        .select("token", F.col("n").alias("seen"), F.length("token").alias("size"))
-    )
-    starts = spread(unknown, "token").select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("start"))
-    stops = F.transform(F.filter(lengths, lambda m: F.col("start") + m <= F.col("size")), lambda m: F.col("start") + m)
-    spans = starts.select("*", F.explode(stops).alias("stop")).withColumn(
-        "piece", F.substring("token", F.col("start") + 1, F.col("stop") - F.col("start"))
+        .select(F.monotonically_increasing_id().alias("id"), "token", "n"), "unknown-tokens"
     )
-    priced = lookup(
-        spans.withColumn("word", F.lower("piece")), costs, "word", ["token", "start"]
-    ).where(F.col("cost").isNotNull())
-    gathered = priced.groupBy("token").agg(
-        F.max("seen").alias("n"),
-        F.max("size").alias("size"),
-        F.collect_list(F.struct("start", "stop", "cost", F.col("piece").alias("word"))).alias("spans"),
-    )
-    split = gathered.select("token", "n", _cheapest(F.col("spans"), F.col("size")).alias("words"))
+    spans = known_spans(unknown.select("id", "token"), costs)
+    gathered = unknown.join(
+        spans.groupBy("id").agg(F.collect_list(F.struct("start", "stop", "cost")).alias("spans")), "id", "inner" if unknown_cost is None else "left"
+    ).withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int,cost:bigint>>")))
+    parts = [F.col(f"spans.{c}") for c in ("start", "stop", "cost")]
+    split = gathered.select("token", "n", _cheapest(unknown_cost)("token", *parts).alias("words"))
     return durable(split.where(F.col("words").isNotNull()), "replacements")
 
 
@@ -103,18 +135,27 @@ def resegment(
     sentences: str = "sentences",
     min_count: int = 2,
     costs: DataFrame | None = None,
+    drop_blanks: bool = False,
 ) -> DataFrame:
     """``{key, sentences}`` with each sentence as known words and single blanks.
 
     Known tokens stay whole; an unknown one is replaced by its cheapest split,
     or kept if it has none. Punctuation is dropped. Texts are exchanged once, by
     key, before they are exploded.
+
+    With ``drop_blanks`` the blanks between words, true and false ones, go first,
+    and each sentence is segmented anew as a whole; letters that belong to no
+    known word then stand alone. The words and their costs are still those of the
+    sentences as they came.
     """
     df = df.select(key, sentences)
     tokens = sentence_token_counts(df, sentences)
     if costs is None:
         costs = word_costs(tokens, min_count)
-    table = replacements(tokens, costs)
+    if drop_blanks:
+        df = df.withColumn(sentences, F.transform(sentences, lambda x: F.replace(x, F.lit(" "), F.lit(""))))
+        tokens = sentence_token_counts(df, sentences)
+    table = replacements(tokens, costs, UNKNOWN_COST if drop_blanks else None)
     placed = spread(df, key).select(
         key, F.posexplode_outer(sentences).alias("sentence", "content")
     ).select(key, "sentence", F.posexplode_outer(word_tokens(F.col("content"))).alias("pos", "token"))

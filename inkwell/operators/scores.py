@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.operators.alignment import meteor as meteor_scores
-from inkwell.operators.overlap import bleu_column, overlap_counts, rouge_columns
+from inkwell.operators.overlap import bleu_column, overlap_counts, rouge_columns, stemmed
 from inkwell.operators.perplexity import WordModel, perplexity as perplexities
 from inkwell.operators.subsequence import with_rouge_l
-from inkwell.session import spread
+from inkwell.session import durable, spread
 
 
 def score_table(
@@ -25,18 +25,27 @@ def score_table(
     perplexity: bool = False,
     model: WordModel | None = None,
     include_texts: bool = True,
+    stems: DataFrame | None = None,
 ) -> DataFrame:
     """One row per pair with the chosen scores.
 
     ``pairs`` has unique keys and ``reference, generated``, and ``source`` if
     perplexity is asked for. A metric that is not chosen is not in the plan. All
-    parts are partitioned by the keys alike, so joining them moves nothing.
+    parts are partitioned by the keys alike, so joining them moves nothing. With a
+    table of ``stems`` all three ROUGE scores compare stems; the stemmed texts are
+    stored once.
     """
     if perplexity and model is None:
         raise ValueError("perplexity needs a word model")
     texts = [c for c in ("reference", "generated", "source") if c in pairs.columns]
     shown = texts if include_texts else []
     parts = []
+    if rouge and stems is not None:
+        words = durable(stemmed(pairs, keys, stems), "stemmed")
+        counts = overlap_counts(words, keys, (1, 2))
+        parts.append(counts.select(*keys, *[rouge_columns(n)[f"rouge{n}"].alias(f"rouge{n}") for n in (1, 2)]))
+        parts.append(with_rouge_l(spread(words, *keys)).select(*keys, "rougeL"))
+        rouge = False
     if rouge or bleu:
         columns = {f"rouge{n}": rouge_columns(n)[f"rouge{n}"] for n in (1, 2)} if rouge else {}
         if bleu:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import alnum_tokens
-from inkwell.operators.overlap import f_measure
+from inkwell.operators.overlap import f_measure, stemmed
 
 
 def _common_length():
@@ -36,7 +36,8 @@ def _common_length():
 
 def with_rouge_l(df: DataFrame) -> DataFrame:
     """Add ``rougeL_precision, rougeL_recall, rougeL`` to a frame of text pairs."""
-    ref, gen = alnum_tokens(F.col("reference")), alnum_tokens(F.col("generated"))
+    none = F.array().cast("array<string>")
+    ref, gen = (F.coalesce(alnum_tokens(F.col(c)), none) for c in ("reference", "generated"))
     zero = F.lit(0.0).cast("double")
 
     def share(size: str) -> Column:
@@ -52,6 +53,7 @@ def with_rouge_l(df: DataFrame) -> DataFrame:
     )
 
 
-def rouge_l(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """``{keys, rougeL_precision, rougeL_recall, rougeL}`` per pair."""
-    return with_rouge_l(pairs).select(*keys, "rougeL_precision", "rougeL_recall", "rougeL")
+def rouge_l(pairs: DataFrame, keys: list[str], stems: DataFrame | None = None) -> DataFrame:
+    """``{keys, rougeL_precision, rougeL_recall, rougeL}`` per pair, of words or of their stems."""
+    texts = stemmed(pairs, keys, stems) if stems is not None else pairs
+    return with_rouge_l(texts).select(*keys, "rougeL_precision", "rougeL_recall", "rougeL")

@@ -31,10 +31,11 @@ def clean_strict(
     body: str = t.BODY_MARKER,
     end: str = t.END_MARKER,
     min_count: int = 2,
+    drop_blanks: bool = False,
 ) -> DataFrame:
-    """``{key, text}``: strict sentences, glued words split, rejoined with full stops."""
+    """``{key, text}``: strict sentences, glued words split (or all words anew), rejoined with full stops."""
     sentences = df.select(key, strict_sentences(F.col(column), body, end).alias("sentences"))
-    split = resegment(sentences, key, min_count=min_count)
+    split = resegment(sentences, key, min_count=min_count, drop_blanks=drop_blanks)
     return resegmented_text(split, key)
 
 

@@ -83,6 +83,30 @@ def test_resegment(spark):
     assert found[3] == []
 
 
+def test_resegment_without_blanks(spark):
+    known = "data base data base the market the market is is a a. " * 2
+    df = spark.createDataFrame(
+        [(1, known), (2, "The dat abase is qx Market data. Fine, isa!"), (3, ""), (4, None)], "id int, text string"
+    )
+    sentences = df.select("id", split_sentences(F.col("text")).alias("sentences"))
+    found = {r["id"]: r["sentences"] for r in rs.resegment(sentences, "id", drop_blanks=True).collect()}
+    # Letters of no known word stand alone; "a" is one.
+    assert found[2] == ["The data base is q x Market data", "F i n e is a"]
+    assert found[3] == [] and len(found) == 4
+
+
+def test_a_very_long_run_is_split_in_one_pass(spark):
+    import time
+
+    words = spark.createDataFrame([(w, 9, c) for w, c in (("ab", 5), ("abc", 7), ("c", 1), ("a", 2), ("b", 2))], "word string, n long, cost long")
+    run = "abcab" * 20_000
+    tokens = durable(spark.createDataFrame([(run, 1), ("xab", 2)], "token string, n long"), "run")
+    started = time.time()
+    found = {r["token"]: r["words"] for r in rs.replacements(tokens, durable(words, "costs")).collect()}
+    # a b c and a b are the cheapest: 5 + 4 a turn.
+    assert set(found) == {run} and found[run] == " ".join(run) and time.time() - started < 60
+
+
 def brute_split(token, costs, most):
     best = None
 
