@@ -9,7 +9,8 @@ and a pair at the threshold is missed with a probability of at most ``miss``.
 
 Only vectors with equal labels meet. Equal vectors of a label are one class with
 a count from the start. In a bucket all cosines are taken in double precision,
-inside tiles of bounded size. A pair is counted in the first table that has it,
+inside tiles of bounded size; a task goes through its buckets in order, a batch at
+a time, and takes all small buckets of a batch in one pass. A pair is counted in the first table that has it,
 so counts add up over tables without listing pairs.
 
 Defined cases: a vector that is null, zero, or holds a null, NaN or infinity, or
@@ -33,8 +34,9 @@ from inkwell.llm.minhash import mixed
 from inkwell.session import discard, durable
 
 # Parameters: least cosine, step width, chance to miss a pair at the threshold,
-# classes that one tile holds, and the seed of the directions.
-COSINE, WIDTH, MISS, TILE, SEED = 0.98, 1.4, 1e-3, 512, 20
+# classes that one tile holds, rows of a group whose pairs are listed in memory
+# rather than multiplied as a matrix, and the seed of the directions.
+COSINE, WIDTH, MISS, TILE, SMALL, SEED = 0.98, 1.4, 1e-3, 512, 32, 20
 
 
 def same_step(distance: float, width: float) -> float:
@@ -89,25 +91,87 @@ def scaled(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def tile_links(cosine: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, count = group["class"].to_numpy(), group["count"].to_numpy()
-        own, keys = group["_own"].to_numpy(), np.stack(group["keys"].to_list())
-        table = int(group["table"].iloc[0])
-        across = group["lo"].iloc[0] != group["hi"].iloc[0]
-        unit = scaled(np.stack(group["embedding"].to_list()).astype(np.float64))
-        linked = unit @ unit.T >= cosine
-        np.fill_diagonal(linked, False)
-        if across:
-            linked &= own[:, None] != own[None, :]
-        one, other = np.nonzero(linked)
-        for start in range(0, len(one), 1 << 16):
-            a, b = one[start : start + (1 << 16)], other[start : start + (1 << 16)]
-            seen = (keys[a, :table] == keys[b, :table]).any(axis=1)
-            linked[a[seen], b[seen]] = False
-        links = linked.astype(np.int64) @ count
-        out = pd.DataFrame({"class": ids, "links": links, "to": smallest_linked(ids, linked)})
-        return out[out["links"] > 0]
+def small_groups(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows inside groups of neighbouring rows, as two arrays of places."""
+    first = np.repeat(starts, sizes) + np.concatenate([np.arange(s) for s in sizes]) if len(sizes) else np.empty(0, np.int64)
+    partners = np.repeat(starts + sizes, sizes) - first - 1
+    one = np.repeat(first, partners)
+    return one, one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(partners) - partners, partners)
+
+
+def linked_rows(rows: pd.DataFrame, starts: np.ndarray, cosine: float, small: int) -> pd.DataFrame:
+    """``{class, links, to}`` of the rows of whole groups, which begin at ``starts``.
+
+    Groups of a few rows are one pass of dot products over all their pairs
+    together; larger ones are a matrix product each. A pair that an earlier table
+    has, or that lies in one of two tiles, is left out.
+    """
+    ids, count, own = (rows[c].to_numpy() for c in ("class", "count", "_own"))
+    keys, table = np.stack(rows["keys"].to_list()), rows["table"].to_numpy()
+    across = (rows["lo"] != rows["hi"]).to_numpy()
+    sizes = np.diff(np.r_[starts, len(rows)])
+    links, to = np.zeros(len(rows), np.int64), ids.copy()
+
+    def fresh(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        seen = (keys[a] == keys[b]) & (np.arange(keys.shape[1]) < table[a, None])
+        return ~seen.any(axis=1) & ~(across[a] & (own[a] == own[b]))
+
+    few = sizes <= small
+    one, other = small_groups(starts[few], sizes[few])
+    shapes = rows["embedding"].map(len).to_numpy()
+    near_a, near_b = [one[:0]], [one[:0]]
+    for size in np.unique(shapes):
+        place = np.flatnonzero(shapes == size)
+        unit = np.empty((len(rows), size)) if len(place) == len(rows) else np.zeros((len(rows), size))
+        unit[place] = scaled(np.stack(rows["embedding"].iloc[place].to_list()).astype(np.float64))
+        for i in range(0, len(one), 1 << 15):
+            a, b = one[i : i + (1 << 15)], other[i : i + (1 << 15)]
+            close = (np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine) & (shapes[a] == size)
+            a, b = a[close], b[close]
+            kept = fresh(a, b)
+            near_a.append(a[kept])
+            near_b.append(b[kept])
+        for start, n in zip(starts[~few], sizes[~few]):
+            if shapes[start] != size:
+                continue
+            group = slice(start, start + n)
+            linked = unit[group] @ unit[group].T >= cosine
+            np.fill_diagonal(linked, False)
+            x, y = np.nonzero(linked)
+            for i in range(0, len(x), 1 << 16):
+                a, b = x[i : i + (1 << 16)], y[i : i + (1 << 16)]
+                gone = ~fresh(a + start, b + start)
+                linked[a[gone], b[gone]] = False
+            links[group] = linked.astype(np.int64) @ count[group]
+            to[group] = smallest_linked(ids[group], linked)
+    a, b = np.concatenate(near_a), np.concatenate(near_b)
+    np.add.at(links, a, count[b])
+    np.add.at(links, b, count[a])
+    while True:
+        before = to.copy()
+        np.minimum.at(to, a, before[b])
+        np.minimum.at(to, b, before[a])
+        if (before == to).all():
+            break
+    found = links > 0
+    return pd.DataFrame({"class": ids[found], "links": links[found], "to": to[found]})
+
+
+def partition_links(group: list[str], cosine: float, small: int):
+    """Links of a whole partition sorted by group, a batch at a time; the last group of a batch waits for the next."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_rows = None
+        for batch in batches:
+            rows = batch if open_rows is None else pd.concat([open_rows, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            names = rows[group].to_numpy()
+            starts = np.r_[0, 1 + np.flatnonzero((names[1:] != names[:-1]).any(axis=1))]
+            open_rows = rows.iloc[starts[-1] :]
+            if len(starts) > 1:
+                yield linked_rows(rows.iloc[: starts[-1]], starts[:-1], cosine, small)
+        if open_rows is not None and len(open_rows):
+            yield linked_rows(open_rows, np.array([0]), cosine, small)
 
     return run
 
@@ -131,11 +195,9 @@ def near_vectors(
     full = placed.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > 1)
     members = durable(placed.join(full, group), "vector-members")
     payload = members.join(keyed, "class").join(classes.select("class", "count", "embedding"), "class")
-    in_tiles = tiled(payload, group, "class", tile)
-    found = durable(
-        in_tiles.groupBy(*group, "lo", "hi").applyInPandas(tile_links(cosine), "class long, links long, to long"),
-        "vector-links",
-    )
+    tiles = [*group, "lo", "hi"]
+    in_tiles = tiled(payload, group, "class", tile).repartition(*tiles).sortWithinPartitions(*tiles)
+    found = durable(in_tiles.mapInPandas(partition_links(tiles, cosine, SMALL), "class long, links long, to long"), "vector-links")
     linked = found.groupBy("class").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("class").alias("a"), F.col("to").alias("b")))
     discard(spark, members)

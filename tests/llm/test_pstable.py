@@ -29,7 +29,7 @@ def expected(rows):
     return near, {i: i for i in near} | plain(links)
 
 
-def test_links_counts_and_components(spark):
+def test_links_counts_and_components(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = []
     for group in range(25):
@@ -38,7 +38,8 @@ def test_links_counts_and_components(spark):
             noise = rng.normal(size=64) * rng.choice([0, 0.05, 0.1, 0.14])
             rows.append((len(rows), (base + noise) * rng.uniform(0.5, 3), int(group % 3)))
     near, classes = expected(rows)
-    for tile in (512, 7):
+    for tile, small in ((512, 32), (512, 1), (7, 32)):
+        monkeypatch.setattr(pstable, "SMALL", small)
         out = pstable.near_vectors(frame(spark, rows), tile=tile).collect()
         assert len(out) == len(rows)
         found = sum(r["n_links"] for r in out)
@@ -69,3 +70,22 @@ def test_shape_keeps_the_promised_recall():
         parts, tables = pstable.table_shape(n, 0.98, 1.4, 1e-3)
         near = pstable.same_step(0.2, 1.4) ** parts
         assert (1 - near) ** tables <= 1e-3 and n * pstable.same_step(2**0.5, 1.4) ** parts <= 1
+
+
+def test_pairs_at_the_threshold_meet_at_every_size():
+    rng = np.random.default_rng(8)
+    for n in (1_000, 50_000, 2_000_000):
+        parts, tables = pstable.table_shape(n, 0.98, pstable.WIDTH, pstable.MISS)
+        one = pstable.scaled(rng.normal(size=(3000, 64)))
+        side = rng.normal(size=one.shape)
+        side = pstable.scaled(side - (side * one).sum(1, keepdims=True) * one)
+        other = 0.98 * one + np.sqrt(1 - 0.98**2) * side
+        met = (pstable.keys_of(one, parts, tables, pstable.WIDTH) == pstable.keys_of(other, parts, tables, pstable.WIDTH)).any(axis=1)
+        assert met.mean() >= 0.997
+
+
+def test_small_groups_list_every_pair():
+    starts, sizes = np.array([2, 5, 6]), np.array([3, 1, 4])
+    a, b = pstable.small_groups(starts, sizes)
+    wanted = [(s + i, s + j) for s, n in zip(starts, sizes) for i in range(n) for j in range(i + 1, n)]
+    assert sorted(zip(a.tolist(), b.tolist())) == sorted(wanted)
