@@ -65,6 +65,17 @@ def answers(docs, **settings):
     return collections.Counter(map(tuple, out.collect()))
 
 
+def test_ranks_give_the_tokens_of_the_file(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(alignment.VOCABULARY_A)
+    tokenizer.encode_special_tokens = True
+    side = alignment.byte_level(alignment.VOCABULARY_A)
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts += ["<|endoftext|>", "it's we'LL  two\t\n\n x", "日本語 🙂 é ² Ⅷ ½", "\x00\x85\u00a0\u3000x", "aaaa" * 999, "a\u0301 ' 's"]
+    assert side.encode(texts) == [e.ids for e in tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("lane", [64, alignment.LANE])
 def test_tables_agree_with_a_plain_merge(spark, lane):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
