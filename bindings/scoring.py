@@ -316,6 +316,28 @@ def perplexity_bigram(spark, sf_dir):
     return rows.withColumn("perplexity", F.round("perplexity", 6))
 
 
+@query(f"""
+WITH {DOC_MODEL},
+kn_pairs AS (SELECT before, token, count(*) AS n2 FROM pp_tokens WHERE before IS NOT NULL GROUP BY before, token),
+kn_places AS (SELECT (SELECT count(*) FROM kn_pairs) + (SELECT count(*) FROM pp_words) + 1 AS places),
+kn_words AS (
+    SELECT token, (count(before) + 1)::DOUBLE / any_value(places) AS p_word
+    FROM pp_words LEFT JOIN kn_pairs USING (token), kn_places GROUP BY token
+),
+kn_lefts AS (SELECT before, sum(n2)::DOUBLE AS n_left, 0.75::DOUBLE * count(*) / sum(n2)::DOUBLE AS rest FROM kn_pairs GROUP BY before),
+kn_rows AS (
+    SELECT doc_id, sum(ln((n2 - 0.75::DOUBLE) / n_left + rest * p_word)) AS lp, count(*) AS scored
+    FROM pp_tokens JOIN kn_pairs USING (before, token) JOIN kn_lefts USING (before) JOIN kn_words USING (token) GROUP BY doc_id
+)
+SELECT doc_id, round(exp(-lp / scored), 6) AS perplexity FROM documents LEFT JOIN kn_rows USING (doc_id)
+""")
+def perplexity_backoff(spark, sf_dir):
+    """Pairs with a discount, backed off to how many words a word follows."""
+    docs = spread_docs(spark, sf_dir)
+    rows = ppl.backoff_perplexity(docs, ppl.count_backoff(docs), ["doc_id"], counted=True)
+    return rows.withColumn("perplexity", F.round("perplexity", 6))
+
+
 @query(f"WITH {DOC_MODEL} SELECT round(exp(-sum(lp) / sum(scored)), 6) AS perplexity FROM pp_rows")
 def corpus_perplexity(spark, sf_dir):
     docs = spread_docs(spark, sf_dir)

@@ -56,7 +56,8 @@ def count_words(
             .agg(F.count("*").alias("n_pair"))
         )
         lefts = words.select(F.col("token").alias("left"), F.col("n").alias("n_left"))
-        pairs = durable(counted.join(lefts, "left"), "word-pairs")
+        # A common left word has many pairs, so its count is looked up with salt.
+        pairs = durable(lookup(durable(counted, "pair-counts"), lefts, "left", ["token"], weight="n_left"), "word-pairs")
     return WordModel(words, pairs, sums["total"] or 0, sums["size"])
 
 
@@ -103,3 +104,74 @@ def corpus_perplexity(
     """One row: perplexity over all tokens of all rows."""
     sums = _log_likelihood(df, model, keys, column, max_tokens, counted)
     return sums.agg(F.exp(-F.sum("lp") / F.sum("n_scored")).alias("perplexity"))
+
+
+@dataclass(frozen=True)
+class BackoffModel:
+    """Stored counts of an interpolated pair model with one discount.
+
+    ``words`` is ``{token, p_word}``: a word's share of all different pairs, by the
+    different words it follows. ``lefts`` is ``{left, n_left, rest}``, where ``rest``
+    is the share of a context that goes to words by ``p_word``. ``pairs`` is
+    ``{left, token, n_pair, p}`` with the whole probability of each seen pair.
+    """
+
+    words: DataFrame
+    lefts: DataFrame
+    pairs: DataFrame
+    discount: float
+    p_unknown: float
+
+
+def count_backoff(corpus: DataFrame, column: str = "text", discount: float = 0.75, max_tokens: int | None = None) -> BackoffModel:
+    """Count pairs, contexts and continuations; every table has one row per word or pair.
+
+    A pair's count less the discount is its own share of its context; what the
+    discounts free is dealt by how many different words a word follows, smoothed
+    by one, with one place for all unknown words. A context's probabilities add
+    up to 1.
+    """
+    neighbours = _placed(corpus, [], column, max_tokens, 2).where(F.col("left").isNotNull())
+    counted = durable(neighbours.groupBy("left", "token").agg(F.count("*").alias("n_pair")), "pair-counts")
+    tokens = corpus.select(_tokens(F.col(column), max_tokens).alias("ts")).select(F.explode("ts").alias("token")).distinct()
+    followed = counted.groupBy("token").agg(F.count("*").alias("n_before"))
+    words = durable(tokens.join(followed, "token", "left").withColumn("n_before", F.coalesce("n_before", F.lit(0))), "continuations")
+    sums = words.agg(F.coalesce(F.sum("n_before"), F.lit(0)).alias("pairs"), F.count("*").alias("size")).first()
+    places = float(sums["pairs"] + sums["size"] + 1)
+    words = words.select("token", ((F.col("n_before") + 1).cast("double") / F.lit(places)).alias("p_word"), (F.col("n_before") + 1).alias("n"))
+    lefts = durable(
+        counted.groupBy("left").agg(F.sum("n_pair").alias("n_left"), F.count("*").alias("n_after"))
+        .select("left", "n_left", (F.lit(discount) * F.col("n_after") / F.col("n_left")).alias("rest")), "contexts"
+    )
+    words = durable(words, "words")
+    with_left = lookup(counted, lefts, "left", ["token"], weight="n_left")
+    # A word that follows very many others is salted by what it follows.
+    whole = lookup(with_left, words, "token", ["left"]).select(
+        "left", "token", "n_pair", ((F.col("n_pair") - F.lit(discount)) / F.col("n_left") + F.col("rest") * F.col("p_word")).alias("p")
+    )
+    return BackoffModel(words, lefts, durable(whole, "word-pairs"), discount, 1 / places)
+
+
+def _pair_chances(df: DataFrame, model: BackoffModel, keys: list[str], column: str, max_tokens: int | None, counted: bool) -> DataFrame:
+    """``{keys, left, token, p}``, one row per pair of neighbours, and one without a pair for a row that has none."""
+    placed = _placed(df, keys, column, max_tokens, 2)
+    found = lookup(placed, model.pairs, ["left", "token"], keys, weight="n_pair")
+    if not counted:
+        found = lookup(found, model.lefts, "left", keys, weight="n_left")
+        found = lookup(found, model.words, "token", keys)
+        by_word = F.coalesce("p_word", F.lit(model.p_unknown))
+        found = found.withColumn("p", F.coalesce("p", F.coalesce("rest", F.lit(1.0)) * by_word))
+    return found.select(*keys, "left", "token", "p")
+
+
+def backoff_perplexity(
+    df: DataFrame, model: BackoffModel, keys: list[str], column: str = "text", max_tokens: int | None = None, counted: bool = False,
+) -> DataFrame:
+    """``{keys, perplexity}`` per row over its pairs of neighbours; null where there is none.
+
+    Say ``counted`` if the model was counted from these very texts.
+    """
+    rows = _pair_chances(df, model, keys, column, max_tokens, counted)
+    scored = F.col("token").isNotNull()
+    sums = rows.groupBy(*keys).agg(F.sum(F.when(scored, F.log("p"))).alias("lp"), F.count_if(scored).alias("n"))
+    return sums.select(*keys, F.exp(-F.col("lp") / F.col("n")).alias("perplexity"))
