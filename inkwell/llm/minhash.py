@@ -33,10 +33,12 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from inkwell.llm.clusters import smallest_linked, tiled
-from inkwell.llm.common import broadcast_if_small
+from inkwell.llm.common import broadcast_if_small, row_key
 from inkwell.llm.components import components
+from inkwell.operators.ranking import rank_globally
 from inkwell.session import discard, durable
 
 # Parameters: words of a shingle, similarity, places and places per band, and
@@ -307,16 +309,27 @@ def near_duplicates(
 
 
 def deduplicated(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that stay: one per class, and one of rows that repeat a doc_id.
+    """The rows of ``docs`` that stay: of each class the one with the smallest doc_id.
 
-    Rows without a doc_id stay. All columns stay.
+    Where rows repeat an id, their texts are judged each on its own: ties of ids go
+    to the smaller hash of the text, and of rows with equal id and text the one with
+    the smallest hash of all columns stays. Rows without a doc_id stay. All columns stay.
     """
-    judged = durable(near_duplicates(docs, **settings).where("doc_id IS NOT NULL"), "judged")
-    ids = judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
-    gone = durable(ids.where("NOT kept").select("doc_id"), "gone")
-    several = durable(ids.where("kept AND n > 1").select("doc_id"), "several")
-    kept = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(docs.columns)
-    # Ids that rows repeat are few or none, so texts stay where they are.
-    single = kept.join(broadcast_if_small(several), "doc_id", "left_anti").select(docs.columns)
-    repeated = kept.join(broadcast_if_small(several), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return single.unionByName(repeated)
+    named = docs.where("doc_id IS NOT NULL")
+    repeated = durable(named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        judged = near_duplicates(named, **settings).where("NOT kept")
+        gone = durable(judged.select("doc_id"), "gone")
+        return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(docs.columns)
+
+    # Every different text of an id gets a number of its own, in the order of ids.
+    texts = named.select("doc_id", row_key().alias("key")).distinct()
+    places = rank_globally(texts, "doc_id", "key", name="place", label="named").select("key", "place")
+    rows = named.select(F.struct(*named.columns).alias("row"), row_key().alias("key"), F.xxhash64(*named.columns).alias("tie"))
+    rows = rows.join(broadcast_if_small(places), "key")
+    first = Window.partitionBy("place").orderBy("tie")
+    alone = durable(rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select("row", "place"), "different")
+    judged = near_duplicates(alone.select(F.col("place").alias("doc_id"), F.col("row.text").alias("text")), **settings)
+    gone = durable(judged.where("NOT kept").select(F.col("doc_id").alias("place")), "gone")
+    kept = alone.join(broadcast_if_small(gone), "place", "left_anti").select("row.*")
+    return kept.unionByName(docs.where("doc_id IS NULL"))

@@ -96,7 +96,8 @@ def test_odd_rows(spark):
     assert out == sorted([("None", "None"), ("1", "1"), ("2", "2"), ("3", "3"), ("4", "3"), ("5", "5"), ("5", "5"), ("6", "6"), ("6", "6"), ("9", "6")])
     kept = minhash.deduplicated(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "5", "6", "None"]
+    # Both texts of 6 stay, as they are no copies of each other; 9 is a copy of one of them.
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "5", "6", "6", "None"]
     assert minhash.near_duplicates(docs.limit(0)).count() == 0 and minhash.deduplicated(docs.limit(0)).count() == 0
 
 
@@ -105,3 +106,14 @@ def test_documents_agree_with_all_pairs(spark):
     out = {r["doc_id"]: r["class_id"] for r in entry_points.queries()["op7_bag_minhash"](spark, tables).collect()}
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{tables}/documents.parquet").collect()]
     assert out == expected_classes(docs)
+
+
+def test_other_texts_of_a_repeated_id_stay(spark):
+    rows = [(1, "a b c d e f g", 0, ""), (1, "totally other words that copy nothing", 1, ""), (2, "a b c d e f g", 2, "x"),
+            (2, "one more text of two", 3, ""), (2, "one more text of two", 3, ""), (2, "one more text of two", 4, "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = minhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted(
+        [(1, rows[0][1]), (1, rows[1][1]), (2, "one more text of two")]
+    )
