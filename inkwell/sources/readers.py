@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,8 +73,18 @@ def read_table_csv(
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
+    """``{path, folder, file, content}`` of every file of a tree, those of no bytes too.
+
+    Spark's scan passes over empty files, but the index that plans it lists them;
+    a listed path that the scan does not give is an empty file. Only paths are
+    read for that.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return raw.select(
+    # Paths of the index are escaped, and name the local file system with more slashes.
+    names = [re.sub(r"^file:/+", "file:/", unquote(name)) for name in raw.inputFiles()]
+    listed = spark.createDataFrame([(name,) for name in names], "path string")
+    empty = listed.join(raw.select("path"), "path", "left_anti").withColumn("content", F.lit(b""))
+    return raw.select("path", "content").unionByName(empty).select(
         F.col("path"),
         F.substring_index(F.substring_index("path", "/", -2), "/", 1).alias("folder"),
         ids.file_name(F.col("path")).alias("file"),
@@ -82,7 +95,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 def read_texts(spark: SparkSession, path: str, encoding: str = "cp1252") -> DataFrame:
     """``{folder, file, text}`` of every file in a tree, lines joined by a blank.
 
-    ``folder`` is the file's parent. Spark's scan passes over files of no bytes.
+    ``folder`` is the file's parent. A file of no bytes has an empty text.
     """
     return _files(spark, path).select(
         "folder", "file", text.join_lines(text.decode_bytes(F.col("content"), encoding)).alias("text")

@@ -128,3 +128,16 @@ def test_one_abstract_per_key_in_a_batch(spark, tmp_path):
         writers.append_abstracts(df, path)
     stored = spark.read.schema(df.schema).parquet(path).collect()
     assert sorted((r["id"], r["abstract"]) for r in stored) == [("1", "a"), ("2", "c")]
+
+
+def test_empty_files_and_odd_names_are_read(spark, tmp_path):
+    folder = tmp_path / "a b%20c"
+    folder.mkdir()
+    texts = {"one v1.txt": "caf\u00e9\nline", "empty.txt": "", "100%.txt": "x", "none#.txt": "", "\u00fc.txt": ""}
+    for name, content in texts.items():
+        (folder / name).write_bytes(content.encode("cp1252"))
+    found = {(r["folder"], r["file"]): r["text"] for r in readers.read_texts(spark, str(tmp_path)).collect()}
+    assert len(found) == 5 and {k[0] for k in found} == {"a b%20c"}
+    assert sorted(found.values()) == sorted(["caf\u00e9\n line", "", "x", "", ""])
+    routed = readers.read_documents(spark, str(tmp_path)).where("text = ''")
+    assert routed.count() == 3 and routed.where("reason IS NULL").count() == 3
