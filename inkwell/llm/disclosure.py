@@ -300,7 +300,8 @@ def sanitise(
     terms are removed, or become ``[NAME]`` if capitalised and ``[WORD]`` if not.
     """
     columns = docs.columns
-    prepared = docs.withColumn("_text", F.coalesce("text", F.lit("")))
+    # The row goes along as one value, so that none of its columns can clash.
+    prepared = docs.select(F.struct(*columns).alias("_row"), "doc_id", F.coalesce("text", F.lit("")).alias("_text"))
     disclosure = disclosing_terms(with_matches(prepared.select("doc_id", "_text")), least, generalise)
     out = with_terms(prepared, disclosure, remove)
     for kind in PATTERNS:
@@ -311,4 +312,6 @@ def sanitise(
     out = out.withColumn("_text", text)
     general_text = F.regexp_replace(F.regexp_replace("_text", capital, F.lit("[NAME]")), general, F.lit("[WORD]"))
     out = out.withColumn("_text", F.when(F.size("_general") > 0, general_text).otherwise(F.col("_text")))
-    return out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("_text"))).select(*columns)
+    row = F.col("_row")
+    cleaned = F.when(row.getField("text").isNotNull(), F.col("_text")).alias("text")
+    return out.select(*[cleaned if c == "text" else row.getField(c).alias(c) for c in columns])

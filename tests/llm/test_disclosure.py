@@ -125,3 +125,11 @@ def test_all_mentions_of_a_text_are_read(spark):
     rows = list(enumerate(told + [f"{far} plain text{i}" for i in range(300)] + ["Karolin was seen alone"]))
     found = {r["doc_id"]: r for r in disclosure.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all("term:" in found[i]["spans"] for i in range(12)) and found[312]["spans"] == "term:0:7"
+
+
+def test_no_column_of_a_row_clashes(spark):
+    names = ["_key", "_gone", "_general", "_text", "_row", "_m_email"]
+    schema = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(1, "mail a@b.co", *names), (2, None, *names)], schema)
+    rows = sorted(disclosure.sanitise(docs).collect())
+    assert [tuple(r) for r in rows] == [(1, "mail [EMAIL]", *names), (2, None, *names)]
