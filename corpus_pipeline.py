@@ -24,8 +24,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not reject."""
-    scored = chains.judged(docs, _table(spark, sf_dir, "labels"))
-    return scored.where(~F.col("rejected")).select(docs.columns)
+    # The row goes along as one value, so that columns named like scores stay its own.
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    return chains.judged(rows, _table(spark, sf_dir, "labels")).where(~F.col("rejected")).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
