@@ -139,5 +139,5 @@ def test_empty_files_and_odd_names_are_read(spark, tmp_path):
     found = {(r["folder"], r["file"]): r["text"] for r in readers.read_texts(spark, str(tmp_path)).collect()}
     assert len(found) == 5 and {k[0] for k in found} == {"a b%20c"}
     assert sorted(found.values()) == sorted(["caf\u00e9\n line", "", "x", "", ""])
-    routed = readers.read_documents(spark, str(tmp_path)).where("text = ''")
+    routed = readers.read_documents(spark, str(tmp_path), "cp1252").where("text = ''")
     assert routed.count() == 3 and routed.where("reason IS NULL").count() == 3
