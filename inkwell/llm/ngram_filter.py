@@ -1,18 +1,31 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Word and word-pair counts of the training texts are quantised to powers of two,
-and a pair seen 2^(q-1) times or more is put into one Bloom filter q times, as
-(pair, 1) .. (pair, q). A count is read back by probing (pair, 1), (pair, 2), ..
-until one is missing. The filter is built in segments, each by the task that has
-the segment's counts, and its size follows the training tokens at every size. Up
-to ``most_bytes`` it is broadcast. A larger one stays a stored table: the distinct
-keys of each chunk of texts go to their segment and the levels found come back to
-the chunk, so a key comes at most once per chunk, however frequent it is; the
-scores are the same either way. A pair's probability is smoothed towards its
-word's: (c(v, w) + mu p(w)) / (c(v) + mu).
-
-The base score needs exact word counts. The most frequent words, ``head`` at
-most, are shipped to the tasks; the other words of a text go through an exchange.
+Word-pair counts of the training texts are quantised to powers of two and the
+middles between them (1, 2, 3, 4, 6, 8, 12, ..), and a pair that reaches the q-th of
+these counts is put into one Bloom filter q times, as (pair, 1) .. (pair, q). A count is read back by probing (pair, 1), (pair, 2), .. until one is
+missing. The first level has more probes than the others, as it alone tells what
+was never seen. The counts are added up once and stored by prefix of their keys;
+the filter's size follows the entries found, and its segments are made from that
+table where it lies. Up to ``most_bytes`` it is broadcast. A larger one stays a
+stored table: the distinct keys of each chunk of texts go to their segment and the
+levels found come back to the chunk, so a key comes at most once per chunk,
+however frequent it is; the scores are the same either way.
+
+A level q that is read stands for (m(q) - u m(q+1)) / (1 - u), where m is the mean
+count of a level and u the chance of one level too many: so the expected reading of
+a pair is its level's mean. A pair that was never seen is read as e on average, from
+the chances of false levels; all words together add s = e (V + 1) to a context. The
+model takes that share away and gives it to the words alone:
+
+    p(w | v) = (c(v, w) c(v) / (c(v) + s) + (mu + s) p(w)) / (c(v) + s + mu)
+
+with p(w) = (c(w) + 1) / (N + V + 1). Over the known words and one unknown it adds
+up to one; a context too rare for the filter falls back to p(w). e and u are taken
+from the fill of every block.
+
+The most frequent words, ``head`` at most, are shipped to the tasks with exact
+counts; rarer words are in the filter, and for the base score their exact counts
+come through an exchange.
 
 Tokens are the words between ASCII blanks with A-Z in lower case, then one end.
 Words are told apart by a 64-bit hash.
@@ -39,14 +52,16 @@ from pyspark.sql import functions as F
 from inkwell.llm.minhash import mixed
 from inkwell.session import discard, durable
 
-# Parameters: bytes of one segment, largest filter that is broadcast, bits per training token,
-# probes per entry, most levels, pseudo-count of the smoothing, words of exact
-# counts that are shipped, and words that a task remembers.
-SEGMENT, MOST_BYTES, TOKEN_BITS, PROBES, LEVELS, MU = 1 << 14, 64 << 20, 8, 4, 40, 64.0
-HEAD, REMEMBERED = 1 << 20, 1 << 18
+# Parameters: bytes of one segment, largest filter that is broadcast, bits per bit that is set,
+# probes of the first level and of each further one, most levels, pseudo-count of the
+# smoothing, words of exact counts that are shipped, words that a task remembers, and
+# training tokens per prefix of the stored counts.
+SEGMENT, MOST_BYTES, ROOM, FIRST, MORE, LEVELS, MU = 1 << 14, 128 << 20, 1.75, 7, 3, 80, 64.0
+HEAD, REMEMBERED, PREFIX_TOKENS = 1 << 20, 1 << 18, 1 << 17
 # Characters that are worked on at once: where keys then move, and where nothing does.
 CHUNK_CHARS, SCORED_CHARS = 16 << 20, 4 << 20
 BLOCK_BITS = 512
+STRAY_LEVELS = 12  # false levels beyond have no weight
 
 _U = np.uint64
 _MULTIPLIER = _U(0x9E3779B97F4A7C15)
@@ -119,13 +134,14 @@ def before_of(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate([tokens[-1:], tokens[:-1]])
 
 
-def segment_bits(segments: int) -> int:
-    return segments.bit_length() - 1
+def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of a key by its first bits, so that sorted keys come segment by segment."""
+    return ((keys >> _U(32)) * _U(segments)) >> _U(32)
 
 
-def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    """The segment of a key: its first bits, so that sorted keys come segment by segment."""
-    return keys >> _U(64 - segment_bits(segments)) if segments > 1 else np.zeros_like(keys)
+def segment_column(segments: int) -> Column:
+    """:func:`segment_of` the column ``key``."""
+    return F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * F.lit(segments).cast("long"), 32).cast("int")
 
 
 def blocks_of(keys: np.ndarray) -> np.ndarray:
@@ -138,17 +154,21 @@ def level_hashes(keys: np.ndarray, level: int) -> np.ndarray:
 
 
 def bit_of(hashes: np.ndarray, i: int) -> np.ndarray:
-    """The ``i``-th bit inside the block."""
+    """The ``i``-th bit inside the block, of the seven that a hash gives."""
     return (hashes >> _U(9 * i)) & _U(BLOCK_BITS - 1)
 
 
+def probes_at(level: int) -> int:
+    return FIRST if level == 1 else MORE
+
+
 def levels_at(bits: np.ndarray, base: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The highest level of each key, whose block starts at bit ``base``; 0 if absent."""
     level = np.zeros(len(keys), np.int64)
     at = np.arange(len(keys))
     for q in range(1, LEVELS + 1):
         hashes = level_hashes(keys[at], q)
-        for i in range(PROBES):
+        for i in range(probes_at(q)):
             bit = base[at] + bit_of(hashes, i)
             found = (bits[bit >> _U(3)] >> (bit & _U(7)).astype(np.uint8)) & 1 == 1
             at, hashes = at[found], hashes[found]
@@ -158,9 +178,15 @@ def levels_at(bits: np.ndarray, base: np.ndarray, keys: np.ndarray) -> np.ndarra
     return level
 
 
-def quantised(level: np.ndarray) -> np.ndarray:
-    """The middle of a level's range, 0 for none."""
-    return np.where(level > 0, 0.75 * np.exp2(level) - 0.5, 0.0)
+def level_of(n: np.ndarray) -> np.ndarray:
+    """The level of counts of one and more."""
+    octave = np.floor(np.log2(n)).astype(np.int64)
+    return np.clip(2 * octave + (2 * n >= 3 * np.exp2(octave)), 1, LEVELS)
+
+
+def least_of(level: np.ndarray) -> np.ndarray:
+    """The least count of a level."""
+    return np.where(level < 2, level, np.exp2(level // 2) * np.where(level % 2, 1.5, 1.0))
 
 
 @dataclass(frozen=True)
@@ -169,11 +195,11 @@ class Filter:
 
     bits: np.ndarray
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts: the middle of the level's range, 0 if absent."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each key, 0 if absent."""
         segments = len(self.bits) // SEGMENT
         base = segment_of(keys, segments) * _U(SEGMENT * 8) + blocks_of(keys)
-        return quantised(levels_at(self.bits, base, keys))
+        return levels_at(self.bits, base, keys)
 
 
 def word_rows(texts: DataFrame) -> DataFrame:
@@ -230,56 +256,128 @@ def totals(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.nda
     yield key.view(np.uint64), n
 
 
-def segment_column(segments: int) -> Column:
-    """:func:`segment_of` the column ``key``."""
-    first = F.shiftrightunsigned(F.shiftrightunsigned("key", 1), 63 - segment_bits(segments))
-    return first.cast("int")
+def grouped(batches: Iterator[pd.DataFrame], prefixes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each prefix with all its keys and their counts, from rows sorted by key."""
+    now, held = -1, []
+    for keys, n in totals(batches):
+        prefix = segment_of(keys, prefixes).astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]]) if len(keys) else []
+        for a, b in zip(starts, [*starts[1:], len(keys)]):
+            if held and prefix[a] != now:
+                yield now, *map(np.concatenate, zip(*held))
+                held = []
+            now = int(prefix[a])
+            held.append((keys[a:b], n[a:b]))
+    if held:
+        yield now, *map(np.concatenate, zip(*held))
+
+
+def count_rows(rows: DataFrame, prefixes: int) -> DataFrame:
+    """``{prefix, keys, levels, number, seen}`` from ``{key, n}``: packed keys and their levels, and
+    by level how many keys there are and how often they were seen."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for prefix, keys, n in grouped(batches, prefixes):
+            level = level_of(n)
+            number, seen = np.bincount(level, minlength=LEVELS + 1), np.bincount(level, n, LEVELS + 1)
+            yield pd.DataFrame({
+                "prefix": [prefix], "keys": [keys.tobytes()], "levels": [level.astype(np.uint8).tobytes()],
+                "number": [number], "seen": [seen.astype(np.int64)],
+            })
+
+    placed = rows.repartition(segment_column(prefixes)).sortWithinPartitions("key")
+    return placed.mapInPandas(run, "prefix int, keys binary, levels binary, number array<long>, seen array<long>")
 
 
-def segment_rows(rows: DataFrame, segments: int) -> DataFrame:
-    """``{segment, bits}`` from ``{key, n}``, without empty segments; each segment's counts meet in one task."""
+def segment_rows(counts: DataFrame, segments: int) -> DataFrame:
+    """``{segment, bits, stray, over, weight}`` from stored counts, without empty segments.
+
+    ``stray`` sums over the blocks the chances that what was never seen is read as level
+    1, 2, .. at least, ``over`` that of one level too many, weighted by how much a block holds.
+    """
 
-    def packed(segment: int, bits: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"segment": [segment], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+    def one(segment: int, keys: np.ndarray, levels: np.ndarray) -> pd.DataFrame:
+        bits = np.zeros(SEGMENT * 8, bool)
+        for q in range(1, int(levels.max()) + 1):
+            keys, levels = keys[levels >= q], levels[levels >= q]
+            base, hashes = blocks_of(keys), level_hashes(keys, q)
+            for i in range(probes_at(q)):
+                bits[(base + bit_of(hashes, i)).astype(np.int64)] = True
+        fill = bits.reshape(-1, BLOCK_BITS).mean(axis=1)
+        weight = -np.log1p(-np.minimum(fill, 1 - 1 / BLOCK_BITS))
+        return pd.DataFrame({
+            "segment": [segment], "bits": [np.packbits(bits, bitorder="little").tobytes()],
+            "stray": [(fill ** (FIRST + MORE * np.arange(STRAY_LEVELS)[:, None])).sum(axis=1)], "over": [(weight * fill**MORE).sum()], "weight": [weight.sum()],
+        })
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, bits = -1, np.empty(0, bool)
-        for keys, n in totals(batches):
-            levels = 1 + np.floor(np.log2(n)).astype(np.int64)
-            segment = segment_of(keys, segments).astype(np.int64)
-            starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(keys) else []
-            for a, b in zip(starts, [*starts[1:], len(keys)]):
-                if segment[a] != now:
-                    if now >= 0:
-                        yield packed(now, bits)
-                    now, bits = int(segment[a]), np.zeros(SEGMENT * 8, bool)
-                some, level = keys[a:b], levels[a:b]
-                for q in range(1, int(level.max()) + 1):
-                    some, level = some[level >= q], level[level >= q]
-                    base, hashes = blocks_of(some), level_hashes(some, q)
-                    for i in range(PROBES):
-                        bits[(base + bit_of(hashes, i)).astype(np.int64)] = True
-        if now >= 0:
-            yield packed(now, bits)
-
-    placed = rows.repartition(segment_column(segments)).sortWithinPartitions("key")
-    return placed.mapInPandas(run, "segment int, bits binary")
-
-
-def built(rows: DataFrame, segments: int) -> np.ndarray:
-    """The filter's bits from ``{key, n}``, brought together on the driver."""
+        for batch in batches:
+            for packed, level in zip(batch["keys"], batch["levels"]):
+                keys, levels = np.frombuffer(packed, np.uint64), np.frombuffer(level, np.uint8)
+                segment = segment_of(keys, segments).astype(np.int64)
+                starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+                for a, b in zip(starts, [*starts[1:], len(keys)]):
+                    yield one(int(segment[a]), keys[a:b], levels[a:b])
+
+    return counts.select("keys", "levels").mapInPandas(run, "segment int, bits binary, stray array<double>, over double, weight double")
+
+
+def by_level(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How many keys each level has, and how often they were seen."""
+    each = counts.select(F.posexplode(F.arrays_zip("number", "seen")).alias("level", "of")).groupBy("level")
+    number, seen = np.zeros(LEVELS + 1), np.zeros(LEVELS + 1)
+    for r in each.agg(F.sum("of.number").alias("number"), F.sum("of.seen").alias("seen")).collect():
+        number[r["level"]], seen[r["level"]] = r["number"], r["seen"]
+    return number, seen
+
+
+def segments_for(number: np.ndarray, prefixes: int) -> int:
+    """Segments for so many keys of each level: a whole number of them per prefix."""
+    set_bits = (number * (FIRST + MORE * (np.arange(LEVELS + 1) - 1.0)))[1:].sum()
+    return prefixes * max(1, int(np.ceil(ROOM * set_bits / 8 / SEGMENT / prefixes)))
+
+
+def built(parts: pa.Table, segments: int) -> np.ndarray:
+    """The filter's bits, brought together on the driver."""
     whole = np.zeros((segments, SEGMENT), np.uint8)
-    parts = segment_rows(rows, segments).toArrow()
     for segment, bits in zip(parts["segment"].to_pylist(), parts["bits"]):
         whole[segment] = np.frombuffer(bits.as_buffer(), np.uint8)
     return whole.reshape(-1)
 
 
+def fill_sums(parts: DataFrame | pa.Table) -> tuple[np.ndarray, float]:
+    """The sums of ``stray`` and the mean of ``over``, of segments stored or brought together."""
+    if isinstance(parts, DataFrame):
+        each = [F.sum(F.get("stray", F.lit(i))) for i in range(STRAY_LEVELS)]
+        *stray, over, weight = [x or 0.0 for x in parts.agg(*each, F.sum("over"), F.sum("weight")).first()]
+    else:
+        stray = sum(map(np.array, parts["stray"].to_pylist()), np.zeros(STRAY_LEVELS))
+        over, weight = (sum(parts[c].to_pylist()) for c in ("over", "weight"))
+    return np.array(stray), over / max(weight, 1e-9)
+
+
+def readings(number: np.ndarray, seen: np.ndarray, over: float) -> np.ndarray:
+    """What each level that is read stands for, 0 for none."""
+    level = np.arange(LEVELS + 2)
+    middle = (least_of(level) + least_of(level + 1) - 1) / 2
+    number, seen = np.append(number, 0), np.append(seen, 0)
+    mean = np.where(number > 0, seen / np.maximum(number, 1), middle)
+    out = np.maximum(mean[:-1] - over * mean[1:], 0.0) / (1 - over)
+    out[0] = 0.0
+    return out
+
+
+def stray_reading(reading: np.ndarray, reached: np.ndarray) -> float:
+    """What is read on average where nothing is, from the chances of level 1, 2, .. at least."""
+    return float((reading[1 : STRAY_LEVELS + 1] * (reached - np.append(reached[1:], 0.0))).sum())
+
+
 @dataclass(frozen=True)
 class Model:
     """What scoring needs: totals, shipped parts, and the exact counts that were not shipped.
 
-    The filter is broadcast, or is a stored table of segments.
+    The filter is broadcast, or is a stored table of segments. ``reading`` is what its levels
+    stand for, ``false_hits`` the chance of one, ``stray`` what they add to any context.
     """
 
     tokens: int
@@ -289,6 +387,9 @@ class Model:
     filter: Broadcast | DataFrame
     head: Broadcast
     vocabulary: DataFrame
+    reading: np.ndarray
+    false_hits: float
+    stray: float
 
 
 def train(docs: DataFrame, most_bytes: int = MOST_BYTES, head: int = HEAD) -> Model:
@@ -310,14 +411,27 @@ def train(docs: DataFrame, most_bytes: int = MOST_BYTES, head: int = HEAD) -> Mo
     known = vocabulary.where(F.col("n") >= least).toArrow()
     keys, counts = known["key"].to_numpy(), known["n"].to_numpy().astype(np.float64)
     order = np.argsort(keys)
-    wanted = max(1, tokens * TOKEN_BITS // 8 // SEGMENT)
-    segments = 1 << (wanted.bit_length() - 1)
-    rows = pair_rows(texts).unionByName(filter_rows(vocabulary))
+    # Two at least: signed order then keeps every prefix, and so every segment, in one piece.
+    prefixes = 2 << (tokens // PREFIX_TOKENS).bit_length()
+    rows = pair_rows(texts).unionByName(filter_rows(vocabulary.where(F.col("n") < least)))
+    counted = durable(count_rows(rows, prefixes), "pair-counts")
+    number, seen = by_level(counted)
+    segments = segments_for(number, prefixes)
+    made = segment_rows(counted, segments)
     if segments * SEGMENT <= most_bytes:
-        bits = context.broadcast(built(rows, segments))
+        parts = made.toArrow()
+        bits = context.broadcast(built(parts, segments))
     else:
-        bits = durable(segment_rows(rows, segments), "segments")
-    return Model(tokens, distinct, least, segments, bits, context.broadcast((keys[order], counts[order])), vocabulary)
+        parts = durable(made, "segments")
+        bits = parts.select("segment", "bits")
+    stray, over = fill_sums(parts)
+    discard(docs.sparkSession, counted)
+    reached = stray / (segments * SEGMENT * 8 // BLOCK_BITS)
+    reading = readings(number, seen, over)
+    return Model(
+        tokens, distinct, least, segments, bits, context.broadcast((keys[order], counts[order])), vocabulary,
+        reading, float(reached[0]), stray_reading(reading, reached) * (distinct + 1),
+    )
 
 
 def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
@@ -327,13 +441,15 @@ def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
 
 @dataclass(frozen=True)
 class Chunk:
-    """Some texts: the hashes of their words, and per token the places of the word before and its own."""
+    """Some texts: the hashes and shipped counts (or -1) of their words, and per token the places of
+    the word before and its own."""
 
     word: np.ndarray
     before: np.ndarray
     at: np.ndarray
     sizes: np.ndarray
     in_head: np.ndarray
+    count: np.ndarray
     base: np.ndarray
 
     @classmethod
@@ -347,7 +463,13 @@ class Chunk:
         count = np.where(in_head, exact[place], 0.0) if len(keys) else np.zeros(len(word))
         base = np.where(in_head, np.log10((count + 1) / total), 0.0)
         before = np.concatenate([before_of(t) for t in tokens])
-        return cls(word, before, np.concatenate(tokens), np.array([len(t) for t in tokens]), in_head, base)
+        sizes = np.array([len(t) for t in tokens])
+        return cls(word, before, np.concatenate(tokens), sizes, in_head, np.where(in_head, count, -1.0), base)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct pairs' places of the word before and the word, and each token's pair."""
+        pairs, pair = np.unique(self.before * len(self.word) + self.at, return_inverse=True)
+        return pairs // len(self.word), pairs % len(self.word), pair
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Per text, from values per token."""
@@ -368,22 +490,26 @@ def text_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.cumsum(sizes) - sizes)
 
 
-def log_chance(both: np.ndarray, context: np.ndarray, alone: np.ndarray, mu: float, total: float) -> np.ndarray:
-    return np.log10((np.minimum(both, context) + mu * (alone + 1) / total) / (context + mu))
+def log_chance(both: np.ndarray, context: np.ndarray, alone: np.ndarray, mu: float, stray: float, total: float) -> np.ndarray:
+    """log10 p(w | v) from the counts read of the pair, its context and its word."""
+    paired = np.minimum(both, context) * context / np.maximum(context + stray, 1.0)
+    return np.log10((paired + (mu + stray) * (alone + 1) / total) / (context + stray + mu))
 
 
 def scored_by_broadcast(docs: DataFrame, model: Model, mu: float, total: float) -> DataFrame:
     """``{doc_id, n_tokens, known, base, score, rest}``; everything is found where the text is."""
-    shipped, head = model.filter, model.head
+    shipped, head, reading, stray = model.filter, model.head, model.reading, model.stray
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bloom = Filter(shipped.value)
         for batch in batches:
             for a, b in chunks(batch["text"], SCORED_CHARS):
                 c = Chunk.read(batch["text"].iloc[a:b], head.value, total)
-                rough = bloom.counts(word_keys(c.word))
-                both = bloom.counts(pair_keys(c.word[c.before], c.word[c.at]))
-                found = c.sums(log_chance(both, rough[c.before], rough[c.at], mu, total))
+                count = c.count.copy()
+                count[~c.in_head] = reading[bloom.levels(word_keys(c.word[~c.in_head]))]
+                before, at, pair = c.pairs()
+                both = reading[bloom.levels(pair_keys(c.word[before], c.word[at]))]
+                found = c.sums(log_chance(both, count[before], count[at], mu, stray, total)[pair])
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].array, **c.columns(), "score": found, "rest": c.rest()})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -403,14 +529,15 @@ def chunk_rows(docs: DataFrame, model: Model, total: float) -> DataFrame:
             texts = batch.column("text").to_pandas()
             for a, b in chunks(texts):
                 c = Chunk.read(texts.iloc[a:b], head.value, total)
-                pairs, pair = np.unique(c.before * len(c.word) + c.at, return_inverse=True)
+                before, at, pair = c.pairs()
                 row = {name: pa.array(values) for name, values in c.columns().items()}
                 row |= {
                     "doc_id": batch.column("doc_id").slice(a, b - a),
                     "rest": pa.array(c.rest(), pa.list_(pa.int64())),
                     "word": pa.array(c.word.view(np.int64)),
-                    "before": pa.array((pairs // len(c.word)).astype(np.int32)),
-                    "at": pa.array((pairs % len(c.word)).astype(np.int32)),
+                    "count": pa.array(c.count),
+                    "before": pa.array(before.astype(np.int32)),
+                    "at": pa.array(at.astype(np.int32)),
                     "pair": pa.array(pair.astype(np.int32)),
                 }
                 yield pa.RecordBatch.from_pydict({name: one(values) for name, values in row.items()})
@@ -418,23 +545,25 @@ def chunk_rows(docs: DataFrame, model: Model, total: float) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (
         f"n_tokens array<long>, known array<long>, base array<double>, doc_id array<{kind}>, rest array<array<long>>, "
-        "word array<long>, before array<int>, at array<int>, pair array<int>"
+        "word array<long>, count array<double>, before array<int>, at array<int>, pair array<int>"
     )
     rows = docs.select("doc_id", "text").mapInArrow(run, schema)
     return durable(rows.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
 
 
 def key_rows(stored: DataFrame) -> DataFrame:
-    """``{chunk, place, key}``: the filter's keys of each chunk's words, then of its pairs."""
+    """``{chunk, place, key}``: the filter's keys of each chunk's words that were not shipped, then of its pairs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 word = row.word.view(np.uint64)
-                keys = np.concatenate([word_keys(word), pair_keys(word[row.before], word[row.at])])
-                yield pd.DataFrame({"chunk": row.chunk, "place": np.arange(len(keys), dtype=np.int32), "key": keys.view(np.int64)})
+                asked = np.flatnonzero(row.count_ < 0)
+                place = np.concatenate([asked, len(word) + np.arange(len(row.before))]).astype(np.int32)
+                keys = np.concatenate([word_keys(word[asked]), pair_keys(word[row.before], word[row.at])])
+                yield pd.DataFrame({"chunk": row.chunk, "place": place, "key": keys.view(np.int64)})
 
-    return stored.select("chunk", "word", "before", "at").mapInPandas(run, "chunk long, place int, key long")
+    return stored.select("chunk", "word", F.col("count").alias("count_"), "before", "at").mapInPandas(run, "chunk long, place int, key long")
 
 
 def found_levels(asked: DataFrame, model: Model) -> DataFrame:
@@ -466,19 +595,20 @@ def found_levels(asked: DataFrame, model: Model) -> DataFrame:
 def scored_by_segments(docs: DataFrame, model: Model, mu: float, total: float) -> DataFrame:
     """As :func:`scored_by_broadcast`, with the filter as a stored table; stored."""
     stored = chunk_rows(docs, model, total)
+    reading, stray = model.reading, model.stray
 
     def run(chunk: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
         row = chunk.iloc[0]
         words = len(row["word"])
         level = np.zeros(words + len(row["before"]), np.int64)
         level[levels["place"].to_numpy()] = levels["level"].to_numpy()
-        counts = quantised(level)
-        rough, both = counts[:words], counts[words:]
-        found = log_chance(both, rough[row["before"]], rough[row["at"]], mu, total)
+        counts, exact = reading[level], row["count"]
+        alone, both = np.where(exact < 0, counts[:words], exact), counts[words:]
+        found = log_chance(both, alone[row["before"]], alone[row["at"]], mu, stray, total)
         return pd.DataFrame({"chunk": [row["chunk"]], "score": [text_sums(found[row["pair"]], row["n_tokens"])]})
 
     levels = found_levels(key_rows(stored), model)
-    sides = stored.select("chunk", "n_tokens", "word", "before", "at", "pair"), levels
+    sides = stored.select("chunk", "n_tokens", "word", "count", "before", "at", "pair"), levels
     scores = sides[0].groupBy("chunk").cogroup(sides[1].groupBy("chunk")).applyInPandas(run, "chunk long, score array<double>")
     columns = ["doc_id", "n_tokens", "known", "base", "score", "rest"]
     whole = stored.select("chunk", *[c for c in columns if c != "score"]).join(scores, "chunk")

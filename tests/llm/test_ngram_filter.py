@@ -5,6 +5,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from inkwell.llm import ngram_filter as lm
@@ -50,29 +51,85 @@ def test_model_is_better_on_what_it_has_not_seen(spark, docs):
     assert out and sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_filter_holds_quantised_counts(spark):
+def filter_of(rows, prefixes=4):
+    counts = rows.sparkSession.createDataFrame(lm.count_rows(rows, prefixes).toArrow())
+    number, seen = lm.by_level(counts)
+    segments = lm.segments_for(number, prefixes)
+    parts = lm.segment_rows(counts, segments).toArrow()
+    stray, over = lm.fill_sums(parts)
+    return lm.Filter(lm.built(parts, segments)), number, seen, stray / (segments * lm.SEGMENT * 8 // lm.BLOCK_BITS), over
+
+
+def test_filter_holds_levels(spark):
     rng = np.random.default_rng(2)
-    keys = np.unique(rng.integers(-(2**62), 2**62, 3000))
-    counts = rng.integers(1, 5000, len(keys))
-    rows = spark.createDataFrame([(int(k), 1) for k in keys] + [(int(k), int(n) - 1) for k, n in zip(keys, counts) if n > 1], "key long, n long")
-    built = lm.Filter(lm.built(rows, 32))
-    got = built.counts(keys.view(np.uint64))
-    exact = 0.75 * np.exp2(1 + np.floor(np.log2(counts))) - 0.5
-    assert (got >= exact).all() and np.mean(got == exact) > 0.99
-    absent = built.counts(rng.integers(2**62, 2**63 - 1, 20_000).astype(np.uint64))
-    assert np.mean(absent > 0) < 0.01
-
-
-def test_probabilities_add_up(spark):
-    """Over all known words and one unknown, p(. | context) is near one."""
-    texts = [(i, "a b c a b d a b c") for i in range(40)]
-    model = lm.train(spark.createDataFrame(texts, "doc_id long, text string"))
-    words = ["a", "b", "c", "d"]
-    probes = spark.createDataFrame([(i, f"a {w}") for i, w in enumerate(words)] + [(9, "a")], "doc_id long, text string")
-    score = {r["doc_id"]: r["score"] for r in lm.score(probes, model).collect()}
-    bits = lm.Filter(model.filter.value)
-    assert bits.counts(lm.word_keys(np.array([lm.END], np.uint64)))[0] >= 40
-    assert score[1] > score[0] and score[1] > score[2] > score[3] - 5
+    keys = np.unique(rng.integers(-(2**63), 2**63 - 1, 300_000))
+    counts = np.minimum(rng.zipf(1.7, len(keys)), 5000)
+    rows = spark.createDataFrame(pa.table({"key": np.r_[keys, keys], "n": np.r_[np.ones_like(counts), counts]}))
+    made, number, seen, reached, over = filter_of(rows)
+    exact = lm.level_of(counts + 1)
+    assert (lm.least_of(exact) <= counts + 1).all() and (lm.least_of(exact + 1) > counts + 1).all()
+    assert number.tolist() == np.bincount(exact, minlength=lm.LEVELS + 1).tolist()
+    assert seen.tolist() == np.bincount(exact, counts + 1, lm.LEVELS + 1).tolist()
+    got = made.levels(keys.view(np.uint64))
+    assert (got >= exact).all() and np.mean(got > exact) == pytest.approx(over, rel=0.1)
+    absent = made.levels(rng.integers(0, 2**63, 1_000_000).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    assert reached[0] < 0.01 and np.mean(absent > 0) == pytest.approx(reached[0], rel=0.2)
+    # What is read stands for the counts of a level, false levels included; a key of many levels
+    # fills its own block a little more than others.
+    reading = lm.readings(number, seen, over)
+    for q in range(2, 10):
+        assert reading[got[exact == q]].mean() == pytest.approx(seen[q] / number[q], rel=0.06)
+    assert reading[absent].mean() == pytest.approx(lm.stray_reading(reading, reached), rel=0.2)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_probabilities_add_up(spark, sf):
+    """Over all known words and one unknown, p(. | context) sums to one, for rare and frequent contexts."""
+    table = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    model = lm.train(table)
+    counts = Counter(lm.xxhash.xxh3_64_intdigest(w) for r in table.collect() for w in lm.words_of(r["text"]))
+    counts[lm.END] = table.count()
+    words = np.array([*counts, 12345], np.uint64)
+    n = np.array([*counts.values(), 0], float)
+    assert (len(counts), sum(n)) == (model.distinct, model.tokens)
+    bits, total, rng = lm.Filter(model.filter.value), float(sum(n) + len(counts) + 1), np.random.default_rng(1)
+    assert 0 < model.false_hits < 0.01 and model.stray == pytest.approx(model.false_hits * len(words), rel=0.2)
+    for low, high in ((1, 1), (2, 9), (10, 99), (100, 999), (1000, 10**9)):
+        some = np.flatnonzero((n >= low) & (n <= high))
+        sums = []
+        for v in rng.choice(some, min(len(some), 12), replace=False):
+            both = model.reading[bits.levels(lm.pair_keys(np.full(len(words), words[v]), words))]
+            sums.append((10 ** lm.log_chance(both, np.full(len(words), n[v]), n, lm.MU, model.stray, total)).sum())
+        assert not sums or np.mean(sums) == pytest.approx(1, abs=0.05), (low, sums)
+
+
+def test_scores_against_plain_counting(spark, docs):
+    """The formula with pair counts put to their levels by plain counting, and with the counts themselves."""
+    tokens = {d: lm.words_of(t) + [b" end"] for d, t in docs}
+    single = Counter(w for ws in tokens.values() for w in ws)
+    double = Counter(p for ws in tokens.values() for p in zip([ws[-1], *ws], ws))
+    model = lm.train(spark.createDataFrame(docs, "doc_id long, text string"))
+    total, s = float(sum(single.values()) + len(single) + 1), model.stray
+
+    def chance(both, v, w):
+        c = single[v]
+        return log10((min(both, c) * c / (c + s) + (lm.MU + s) * (single[w] + 1) / total) / (c + s + lm.MU))
+
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    for d, ws in tokens.items():
+        pairs = list(zip([ws[-1], *ws], ws))
+        by_level = sum(chance(model.reading[lm.level_of(np.array(double[p]))], *p) for p in pairs)
+        assert got[d] == pytest.approx(by_level, rel=0.03, abs=0.1), d
+        assert got[d] == pytest.approx(sum(chance(double[p], *p) for p in pairs), rel=0.06, abs=0.1), d
+
+
+def test_segments_are_whole(spark, docs):
+    """No pair of the training texts is missed, whatever the number of segments."""
+    model = lm.train(spark.createDataFrame(docs, "doc_id long, text string"))
+    hashes = lm.WordHashes()
+    tokens = [hashes.tokens(t) for _, t in docs]
+    keys, n = np.unique(np.concatenate([lm.pair_keys(lm.before_of(t), t) for t in tokens]), return_counts=True)
+    assert (lm.Filter(model.filter.value).levels(keys) >= lm.level_of(n)).all()
 
 
 def test_odd_rows(spark):
@@ -89,8 +146,8 @@ def test_filter_beyond_the_broadcast_follows_the_tokens(spark, docs):
     rows = [*docs, (None, "x y"), (None, "x y"), (200_000, docs[0][1])]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     model = lm.train(table, most_bytes=lm.SEGMENT)
-    assert model.tokens * lm.TOKEN_BITS // 16 < model.segments * lm.SEGMENT * 8 <= model.tokens * lm.TOKEN_BITS
-    assert model.segments > 1
+    pairs = {p for ws in (lm.words_of(t) + [b" end"] for _, t in rows) for p in zip([ws[-1], *ws], ws)}
+    assert model.segments * lm.SEGMENT * 8 >= lm.ROOM * lm.FIRST * len(pairs) and model.segments > 1
     shipped, stored = (
         sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in lm.score_documents(table, most_bytes=n).collect())
         for n in (1 << 30, lm.SEGMENT)
