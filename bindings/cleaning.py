@@ -10,6 +10,7 @@ from inkwell.functions.stopwords import STOP_WORDS
 from inkwell.operators.filters import well_formed
 from inkwell.operators.language import in_language, with_language
 from inkwell.operators.pairing import without_abstract
+from inkwell.operators.profiles import learn_profiles, likeliest
 from inkwell.operators.resegment import UNKNOWN_COST, resegment, resegmented_text
 from inkwell.plans.cleaning import clean_basic, clean_strict, cleaned_articles
 
@@ -284,6 +285,27 @@ def language_filter(spark, sf_dir):
     return in_language(spread_docs(spark, sf_dir), "en")
 
 
+@query("""
+WITH low AS (SELECT doc_id, lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+runs AS (SELECT doc_id, lang, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS run FROM low),
+counts AS (SELECT lang, run, count(*) AS n FROM runs WHERE lang IS NOT NULL GROUP BY lang, run),
+totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY lang),
+known AS (SELECT DISTINCT run FROM counts),
+weights AS (
+    SELECT run, lang AS code,
+        floor(ln((coalesce(n, 0) + 1)::DOUBLE / (total + (SELECT count(*) FROM known))::DOUBLE) * 1000)::BIGINT AS w
+    FROM known CROSS JOIN totals LEFT JOIN counts USING (run, lang)
+),
+sums AS (SELECT doc_id, code, sum(w) AS s FROM runs JOIN weights USING (run) GROUP BY doc_id, code),
+best AS (SELECT doc_id, code FROM sums QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, code) = 1)
+SELECT doc_id, code AS detected FROM documents LEFT JOIN best USING (doc_id)
+""")
+def language_learnt(spark, sf_dir):
+    """Profiles learnt from the labelled documents, and the likeliest language of each text."""
+    docs = _docs(spark, sf_dir, "lang")
+    return likeliest(docs, ["doc_id"], *learn_profiles(docs))
+
+
 @query(f"""
 WITH {SECTIONS_SQL}, {SLICES_SQL}
 SELECT valid.source, doc_id, {BASIC_SQL} AS body, length({BASIC_SQL})::INTEGER AS n_chars
