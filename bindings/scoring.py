@@ -84,7 +84,8 @@ bleu_rows AS (
 )"""
 
 
-def _meteor_sql(k: str) -> str:
+def _meteor_sql(k: str, stages: str = "", hits: str = "mt_hits") -> str:
+    """Rows ``meteor_rows``; ``stages`` are further CTEs that end in the matches ``hits(i, j)``."""
     def side(name: str, column: str) -> str:
         return f"""mt_{name} AS (
     SELECT {k}, token, pos, row_number() OVER (PARTITION BY {k}, token ORDER BY pos DESC) AS k
@@ -97,10 +98,10 @@ def _meteor_sql(k: str) -> str:
 {side('gen', 'generated')},
 mt_hits AS (
     SELECT {k}, r.pos AS i, g.pos AS j FROM mt_ref r JOIN mt_gen g USING ({k}, token, k)
-),
+),{stages}
 mt_marked AS (
     SELECT {k}, CASE WHEN j - lag(j) OVER w = 1 AND i - lag(i) OVER w = 1 THEN 0 ELSE 1 END AS opens
-    FROM mt_hits WINDOW w AS (PARTITION BY {k} ORDER BY j)
+    FROM {hits} WINDOW w AS (PARTITION BY {k} ORDER BY j)
 ),
 mt_counts AS (SELECT {k}, count(*)::DOUBLE AS m, sum(opens)::DOUBLE AS chunks FROM mt_marked GROUP BY {k}),
 mt_sizes AS (
@@ -271,6 +272,34 @@ def meteor(spark, sf_dir):
     return _rounded(alignment.meteor(turn_pairs(spark, sf_dir), KEYS), "meteor")
 
 
+def _meteor_stages_sql(k: str) -> str:
+    """What the exact stage leaves open, matched by stem."""
+    def left(name: str, at: str) -> str:
+        return f"""
+mt_left_{name} AS (
+    SELECT {k}, pos, form, row_number() OVER (PARTITION BY {k}, form ORDER BY pos DESC) AS k
+    FROM (SELECT {k}, pos, coalesce(stem, token) AS form FROM mt_{name} LEFT JOIN stems USING (token))
+    ANTI JOIN (SELECT {k}, {at} AS pos FROM mt_hits) USING ({k}, pos)
+),"""
+
+    return f"""
+mt_words AS (
+    SELECT token FROM mt_ref WHERE regexp_full_match(token, '[a-z0-9]+')
+    UNION SELECT token FROM mt_gen WHERE regexp_full_match(token, '[a-z0-9]+')
+), {_stems_sql('mt_words')},{left('ref', 'i')}{left('gen', 'j')}
+mt_staged AS (
+    SELECT {k}, i, j FROM mt_hits UNION ALL
+    SELECT {k}, r.pos AS i, g.pos AS j FROM mt_left_ref r JOIN mt_left_gen g USING ({k}, form, k)
+),"""
+
+
+@query(f"WITH {TURNS}, {_meteor_sql(K, _meteor_stages_sql(K), 'mt_staged')} SELECT {K}, {_round_sql('meteor')} FROM meteor_rows")
+def meteor_stemmed(spark, sf_dir):
+    """METEOR by words, then by stems of the words left over."""
+    pairs = turn_pairs(spark, sf_dir)
+    return _rounded(alignment.meteor(pairs, KEYS, stems=stemming.stem_table(pairs, "reference", "generated")), "meteor")
+
+
 def _model_sql(k: str, source: str, column: str) -> str:
     """Token lists and a unigram model of ``source``."""
     return f"""pp_lists AS (SELECT {k}, {_alnum(column)} AS ts FROM {source}),

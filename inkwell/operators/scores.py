@@ -32,8 +32,8 @@ def score_table(
     ``pairs`` has unique keys and ``reference, generated``, and ``source`` if
     perplexity is asked for. A metric that is not chosen is not in the plan. All
     parts are partitioned by the keys alike, so joining them moves nothing. With a
-    table of ``stems`` all three ROUGE scores compare stems; the stemmed texts are
-    stored once.
+    table of ``stems`` all three ROUGE scores compare stems, the stemmed texts are
+    stored once, and METEOR matches by stem what it cannot match as it is.
     """
     if perplexity and model is None:
         raise ValueError("perplexity needs a word model")
@@ -53,7 +53,7 @@ def score_table(
         counts = overlap_counts(pairs, keys, (1, 2) if rouge else (), bleu)
         parts.append(counts.select(*keys, *[c.alias(n) for n, c in columns.items()]))
     if meteor:
-        parts.append(meteor_scores(pairs, keys))
+        parts.append(meteor_scores(pairs, keys, stems=stems))
     if perplexity:
         parts.append(perplexities(pairs, model, keys, "source"))
     if rouge or shown or not parts:
