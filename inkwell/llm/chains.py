@@ -7,17 +7,18 @@ later model is not taught to trust an earlier one more than it deserves.
 
 Features are words, and beginnings of longer words (``stem~``), so that a new
 ending does not hide a known stem. They are chosen by counting in how many
-labelled documents, all of them, each occurs per category; those whose rate
-departs most from the category's own, by z-score, are used. The fit uses at most ``fit_rows`` labelled
-documents, those with the smallest hash, and at most ``features`` features; both
-are parameters, so what reaches the driver is bounded. Scoring reads every whole
-text.
+labelled documents, all of them, each occurs per category; every one whose rate
+departs from the category's own by ``least_z`` is used, however many those are. The
+fit uses at most ``fit_rows`` labelled documents, those with the smallest hash, and
+goes over the features that these hold, which is what reaches the driver; it is
+sparse, so its memory follows the features held and not rows times features.
+Scoring reads every whole text.
 
 Defined cases: a null or empty text has no words and gets the chain's base rate;
 a null label is left out; a doc_id labelled twice counts once with its highest
 label; equal texts of different ids count once in the fit. Without labels of both kinds in a
-category its probability is the smoothed rate. Columns of the input other than
-doc_id and text are carried along by ``score`` untouched.
+category its probability is the smoothed rate. ``score`` carries all columns
+along; one named like a result (``p_<category>``, ``rejected``) is replaced by it.
 """
 
 from __future__ import annotations
@@ -35,18 +36,26 @@ from pyspark.sql.window import Window
 from inkwell.llm.common import broadcast_if_small
 from inkwell.session import durable
 
-# Parameters: labelled rows and features that one fit may use, folds, ridge,
-# the least z-score and documents of a feature, and lengths of beginnings.
-FIT_ROWS, FEATURES, FOLDS, RIDGE = 20_000, 256, 5, 0.3
+# Parameters: labelled rows that one fit may use, folds, ridge, the least z-score
+# and documents of a feature, and lengths of beginnings.
+FIT_ROWS, FOLDS, RIDGE = 20_000, 5, 0.3
 LEAST_Z, LEAST_DOCS = 4.0, 8
 STEMS = (5, 6, 7, 8)
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def letter_runs(word: str) -> list[str]:
+    """The runs of letters in a word that may hold other signs (``x\u00b2``), as ``\\p{L}+`` has them."""
+    return "".join(c if c.isalpha() else " " for c in word).split()
+
+
 def text_features(text: str) -> set[str]:
     """The distinct words of a text and the beginnings of its longer words."""
     words = set(_WORD.findall(text.lower()))
+    for word in [w for w in words if not w.isalpha()]:
+        words.remove(word)
+        words.update(letter_runs(word))
     return words.union(*({w[:k] + "~" for w in words if len(w) > k} for k in STEMS))
 
 
@@ -71,62 +80,137 @@ class Chain:
     categories: list[str]
     weights: list[np.ndarray] = field(default_factory=list)
 
-    def log_odds(self, present: np.ndarray) -> np.ndarray:
-        """Log-odds per row and category for a 0/1 matrix of the words."""
-        out = np.zeros((len(present), len(self.categories)))
+    def linked(self, sums: np.ndarray) -> np.ndarray:
+        """Log-odds per row and category from the sums of its words' weights."""
+        out, n = np.zeros_like(sums), len(self.words)
         for k, w in enumerate(self.weights):
-            n = len(self.words)
-            out[:, k] = w[0] + present @ w[1 : n + 1] + out[:, :k] @ w[n + 1 :]
+            out[:, k] = w[0] + sums[:, k] + out[:, :k] @ w[n + 1 :]
         return out
 
-    def rows(self, texts: pd.Series) -> np.ndarray:
-        index = {word: i for i, word in enumerate(self.words)}
-        present = np.zeros((len(texts), len(self.words)), dtype=np.float32)
-        for row, text in enumerate(texts):
-            if text:
-                found = [index[w] for w in text_features(text) & index.keys()]
-                present[row, found] = 1.0
-        return present
+    def word_weights(self) -> np.ndarray:
+        return np.array([w[1 : len(self.words) + 1] for w in self.weights]).T.reshape(len(self.words), len(self.weights))
 
+    def log_odds(self, present: np.ndarray) -> np.ndarray:
+        """Log-odds per row and category for a 0/1 matrix of the words."""
+        return self.linked(present @ self.word_weights())
+
+    def of_texts(self, batches: Iterator[pd.Series]) -> Iterator[np.ndarray]:
+        """Log-odds per text and category, batch by batch."""
+        index, weights = {word: i for i, word in enumerate(self.words)}, self.word_weights()
+        for texts in batches:
+            sums = np.zeros((len(texts), len(self.categories)))
+            for row, text in enumerate(texts):
+                if text:
+                    # In the order of the words, so that a text has one sum on every run.
+                    sums[row] = weights[sorted(index[w] for w in text_features(text) & index.keys())].sum(axis=0)
+            yield self.linked(sums)
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 12) -> np.ndarray:
+
+@dataclass(frozen=True)
+class Sparse:
+    """A matrix by its entries; several at one place add up."""
+
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    shape: tuple[int, int]
+
+    @staticmethod
+    def of(matrix: np.ndarray | Sparse) -> Sparse:
+        if isinstance(matrix, Sparse):
+            return matrix
+        row, column = np.nonzero(matrix)
+        return Sparse(row, column, matrix[row, column].astype(float), matrix.shape)
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * x[self.column], self.shape[0])
+
+    def turned(self, x: np.ndarray, power: int = 1) -> np.ndarray:
+        """The transpose, its entries to a power, times ``x``."""
+        return np.bincount(self.column, self.value**power * x[self.row], self.shape[1])
+
+    def rows(self, kept: np.ndarray) -> Sparse:
+        here = kept[self.row]
+        number = np.cumsum(kept) - 1
+        return Sparse(number[self.row[here]], self.column[here], self.value[here], (int(kept.sum()), self.shape[1]))
+
+    def columns(self, kept: np.ndarray) -> Sparse:
+        here = kept[self.column]
+        number = np.cumsum(kept) - 1
+        return Sparse(self.row[here], number[self.column[here]], self.value[here], (self.shape[0], int(kept.sum())))
+
+    def beside(self, dense: np.ndarray) -> Sparse:
+        """This and the columns of ``dense`` on the right."""
+        right, n = Sparse.of(dense), self.shape[1]
+        parts = (np.r_[self.row, right.row], np.r_[self.column, right.column + n], np.r_[self.value, right.value])
+        return Sparse(*parts, (self.shape[0], n + dense.shape[1]))
+
+
+def solved(times, diagonal: np.ndarray, b: np.ndarray, near: float, steps: int = 200) -> np.ndarray:
+    """``x`` with ``times(x)`` equal to ``b`` up to ``near`` of its length, by conjugate gradients."""
+    x, rest = np.zeros_like(b), b.copy()
+    scaled = rest / diagonal
+    along, old = scaled, rest @ scaled
+    for _ in range(steps):
+        if np.linalg.norm(rest) <= near * np.linalg.norm(b) or not old:
+            break
+        image = times(along)
+        length = old / (along @ image)
+        x, rest = x + length * along, rest - length * image
+        scaled = rest / diagonal
+        new = rest @ scaled
+        along, old = scaled + new / old * along, new
+    return x
+
+
+def fit_linear(x: np.ndarray | Sparse, y: np.ndarray, ridge: float = RIDGE, steps: int = 25) -> np.ndarray:
     """Logistic regression with a ridge on all weights but the bias, by Newton steps."""
-    design = np.hstack([np.ones((len(x), 1)), x])
-    penalty = np.full(design.shape[1], ridge)
+    x = Sparse.of(x)
+    penalty = np.full(x.shape[1] + 1, ridge)
     penalty[0] = 1e-3
-    weights = np.zeros(design.shape[1])
+    weights = np.zeros(len(penalty))
+    first = None
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(design @ weights, -30, 30)))
-        gradient = design.T @ (y - p) - penalty * weights
-        curvature = (design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty)
-        step = np.linalg.solve(curvature, gradient)
+        p = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
+        miss, slope = y - p, p * (1 - p)
+        gradient = np.r_[miss.sum(), x.turned(miss)] - penalty * weights
+        size = np.linalg.norm(gradient)
+        first = size if first is None else first
+
+        def curved(w: np.ndarray) -> np.ndarray:
+            bent = slope * (w[0] + x @ w[1:])
+            return np.r_[bent.sum(), x.turned(bent)] + penalty * w
+
+        diagonal = np.r_[slope.sum(), x.turned(slope, 2)] + penalty
+        step = solved(curved, diagonal, gradient, min(0.1, size / first if first else 0.1))
         weights = weights + step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max(initial=0.0) < 1e-6:
             break
     return weights
 
 
 def fit_chain(
-    present: np.ndarray, labels: np.ndarray, fold: np.ndarray, words: list[str], categories: list[str],
+    present: np.ndarray | Sparse, labels: np.ndarray, fold: np.ndarray, words: list[str], categories: list[str],
     own: list[np.ndarray] | None = None,
 ) -> Chain:
     """The chain over rows of 0/1 words; earlier log-odds are out-of-fold.
 
     ``own`` says which words each category's model may use, all if not given.
     """
-    earlier = np.zeros((len(present), 0))
+    present = Sparse.of(present)
+    earlier = np.zeros((present.shape[0], 0))
     weights = []
     for k in range(len(categories)):
         used = np.ones(len(words), bool) if own is None else own[k]
-        x, y = np.hstack([present[:, used], earlier]), labels[:, k].astype(float)
+        x, y = present.columns(used).beside(earlier), labels[:, k].astype(float)
         whole = fit_linear(x, y)
         spread = np.zeros(1 + len(words) + k)
         spread[np.r_[True, used, np.ones(k, bool)]] = whole
         weights.append(spread)
-        unseen = np.zeros(len(x))
-        for f in np.unique(fold):
-            w = fit_linear(x[fold != f], y[fold != f]) if (fold != f).any() else whole
-            unseen[fold == f] = w[0] + x[fold == f] @ w[1:]
+        unseen = np.zeros(len(y))
+        for f in np.unique(fold) if k + 1 < len(categories) else ():
+            w = fit_linear(x.rows(fold != f), y[fold != f]) if (fold != f).any() else whole
+            unseen[fold == f] = w[0] + x.rows(fold == f) @ w[1:]
         earlier = np.hstack([earlier, unseen[:, None]])
     return Chain(words, categories, weights)
 
@@ -152,25 +236,19 @@ def with_words(docs: DataFrame, settled: DataFrame, categories: list[str]) -> Da
     return with_features(rows).select("hash", "words", *categories)
 
 
-def choose_words(
-    rows: DataFrame, categories: list[str], features: int, least_z: float, least_docs: int
-) -> list[list[str]]:
-    """For each category the words whose share of it departs most from its rate."""
+def choose_words(rows: DataFrame, categories: list[str], least_z: float, least_docs: int) -> DataFrame:
+    """``{word, own}``, stored: the words whose share of a category departs from its rate, and for which categories."""
     total = rows.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
-    if not total["n"]:
-        return [[] for _ in categories]
     counts = rows.select(F.explode("words").alias("word"), *categories).groupBy("word").agg(
         F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]
     ).where(F.col("n") >= least_docs)
-    scores = []
+    departs = []
     for c in categories:
-        rate = min(max((total[c] or 0) / total["n"], 1e-6), 1 - 1e-6)
+        rate = min(max((total[c] or 0) / max(total["n"], 1), 1e-6), 1 - 1e-6)
         z = F.abs(F.col(c) - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-        scores.append(F.struct(F.lit(c).alias("category"), "word", z.alias("z")))
-    each = counts.select(F.inline(F.array(*scores))).where(F.col("z") >= least_z)
-    place = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("z"), "word"))
-    top = each.withColumn("place", place).where(F.col("place") <= features // len(categories)).collect()
-    return [[r["word"] for r in top if r["category"] == c] for c in categories]
+        departs.append(z >= least_z)
+    own = counts.select("word", F.array(*departs).alias("own"))
+    return durable(own.where(F.exists("own", lambda x: x)), "features")
 
 
 def fit(
@@ -178,28 +256,29 @@ def fit(
     labels: DataFrame,
     categories: list[str],
     fit_rows: int = FIT_ROWS,
-    features: int = FEATURES,
     folds: int = FOLDS,
     least_z: float = LEAST_Z,
     least_docs: int = LEAST_DOCS,
 ) -> Chain:
     """A chain over ``categories``, 0/1 columns of ``labels``, in the order given."""
     settled, whole = labelled(docs, labels, categories)
-    chosen = choose_words(whole, categories, features, least_z, least_docs)
+    chosen = choose_words(whole, categories, least_z, least_docs)
     fitted = durable(settled.orderBy(F.xxhash64("hash"), "hash").limit(fit_rows), "fit-rows")
-    rows = with_words(docs, fitted, categories)
-    words = sorted({w for each in chosen for w in each})
-    own = [np.isin(words, each) if words else np.zeros(0, bool) for each in chosen]
-    known = F.array(*[F.lit(w) for w in words]).cast("array<string>")
-    sample = rows.select("hash", F.array_intersect("words", known).alias("words"), *categories).toArrow().to_pandas()
+    each = with_words(docs, fitted, categories).select("hash", F.explode("words").alias("word")).distinct()
+    held = durable(each.join(broadcast_if_small(chosen), "word", "left_semi"), "fit-words")
+    used = chosen.join(held.select("word").distinct(), "word", "left_semi").orderBy("word").toArrow().to_pandas()
+    sample = fitted.select("hash", *categories).orderBy("hash").toArrow().to_pandas()
+    words = used["word"].tolist()
     if not len(sample):
         return Chain(words, categories, [np.r_[np.log(1e-3), np.zeros(len(words) + k)] for k in range(len(categories))])
-    index = {word: i for i, word in enumerate(words)}
-    present = np.zeros((len(sample), len(words)), dtype=np.float32)
-    for row, found in enumerate(sample["words"]):
-        present[row, [index[w] for w in found]] = 1.0
+    flags = np.array(used["own"].tolist(), dtype=bool).reshape(len(words), len(categories))
+    pairs = held.toArrow()
+    row = np.searchsorted(sample["hash"].to_numpy(), pairs["hash"].to_numpy())
+    column = pd.Index(words).get_indexer(pairs["word"].to_pandas())
+    order = np.lexsort((column, row))
+    present = Sparse(row[order], column[order], np.ones(len(order)), (len(sample), len(words)))
     fold = (sample["hash"].to_numpy() % folds).astype(int)
-    return fit_chain(present, sample[categories].to_numpy(), fold, words, categories, own)
+    return fit_chain(present, sample[categories].to_numpy(), fold, words, categories, list(flags.T))
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -207,13 +286,13 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
     @F.pandas_udf(f"struct<{', '.join(f'p_{c}: double' for c in chain.categories)}>")
     def probabilities(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            p = 1 / (1 + np.exp(-np.clip(chain.log_odds(chain.rows(texts)), -50, 50)))
+        for odds in chain.of_texts(batches):
+            p = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
             yield pd.DataFrame(p, columns=[f"p_{c}" for c in chain.categories])
 
-    scored = docs.withColumn("_chain", probabilities("text"))
-    columns = [F.col(c) for c in docs.columns if not c.startswith("p_") or c[2:] not in chain.categories]
-    return scored.select(*columns, "_chain.*")
+    columns = [c for c in docs.columns if not c.startswith("p_") or c[2:] not in chain.categories]
+    row = F.struct(*columns).alias("row")
+    return docs.select(row, probabilities("text").alias("found")).select("row.*", "found.*")
 
 
 def label_categories(labels: DataFrame) -> DataFrame:

@@ -80,3 +80,74 @@ def test_features_are_counted_over_all_labelled_texts(spark):
     labels = spark.createDataFrame([(i, q, x) for i, _, q, x in made], "doc_id long, quality int, toxic int")
     chain = chains.fit(docs, chains.label_categories(labels), chains.CATEGORIES, fit_rows=200)
     assert "grimly" in chain.words
+
+
+def test_every_feature_that_passes_is_used(spark):
+    """1,000 words tell the category; no number of features is cut off."""
+    rng = random.Random(4)
+    telling = [f"{chr(97 + i // 100)}{chr(97 + i // 10 % 10)}{chr(97 + i % 10)}" for i in range(1000)]
+    made = []
+    for i in range(4000):
+        bad = i % 2
+        made.append((i, " ".join(rng.choices(telling if bad else WORDS, k=20)), 1, bad))
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in made], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, x) for i, _, q, x in made], "doc_id long, quality int, toxic int")
+    chain = chains.fit(docs, chains.label_categories(labels), chains.CATEGORIES)
+    assert set(chain.words) >= set(telling) | set(WORDS)
+
+
+def test_the_fit_and_the_scores_cut_words_alike(spark):
+    texts = ["x\u00b2 plainly \u2167a\u2167bc", "\u0130stanbul_snake caf\u00e9-bars 12ab34", "\u03a3\u03a3\u03a3 na\u00efvet\u00e9\u0301s", ""]
+    rows = chains.with_features(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")).collect()
+    assert {r["i"]: set(r["words"]) for r in rows} == {i: chains.text_features(t) for i, t in enumerate(texts)}
+
+
+def plain_newton(x, y, ridge=chains.RIDGE):
+    design = np.hstack([np.ones((len(x), 1)), x])
+    penalty, w = np.r_[1e-3, np.full(x.shape[1], ridge)], np.zeros(x.shape[1] + 1)
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-(design @ w)))
+        w = w + np.linalg.solve((design.T * (p * (1 - p))) @ design + np.diag(penalty), design.T @ (y - p) - penalty * w)
+    return w
+
+
+def test_the_chain_against_plain_recomputation(spark):
+    """Features, folds, both models and all scores worked out anew with dense matrices."""
+    made = rows(600, seed=9)
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in made], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, x) for i, _, q, x in made], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: (r["p_low_quality"], r["p_toxic"]) for r in chains.judged(docs, labels).collect()}
+    hashes = {r["doc_id"]: r["h"] for r in docs.selectExpr("doc_id", "xxhash64(text) AS h").collect()}
+    first = {}
+    for i, t, q, x in made:
+        low, bad = first.get(hashes[i], (0, 0, 0))[1:]
+        first[hashes[i]] = (t, max(low, 1 - q), max(bad, x))
+    sample = sorted(first.items())
+    y = np.array([v[1:] for _, v in sample], float)
+    sets = [chains.text_features(v[0]) for _, v in sample]
+    words = sorted(set().union(*sets))
+    present = np.array([[w in s for w in words] for s in sets], float)
+    n, rate = present.sum(axis=0), y.mean(axis=0)
+    z = np.abs(present.T @ y - n[:, None] * rate) / np.sqrt(n[:, None] * rate * (1 - rate))
+    own = (z >= chains.LEAST_Z) & (n >= chains.LEAST_DOCS)[:, None]
+    fold = np.array([h % chains.FOLDS for h, _ in sample])
+    low_x = present[:, own[:, 0]]
+    low = plain_newton(low_x, y[:, 0])
+    unseen = np.zeros(len(y))
+    for f in range(chains.FOLDS):
+        w = plain_newton(low_x[fold != f], y[fold != f, 0])
+        unseen[fold == f] = w[0] + low_x[fold == f] @ w[1:]
+    bad = plain_newton(np.hstack([present[:, own[:, 1]], unseen[:, None]]), y[:, 1])
+    low_odds = low[0] + low_x @ low[1:]
+    odds = np.c_[low_odds, bad[0] + present[:, own[:, 1]] @ bad[1:-1] + bad[-1] * low_odds]
+    expected = {h: 1 / (1 + np.exp(-o)) for (h, _), o in zip(sample, odds)}
+    assert len(got) == 600 and all(np.allclose(got[i], expected[hashes[i]], atol=1e-4) for i in got)
+
+
+def test_columns_named_like_inner_ones(spark):
+    made = rows(200)
+    docs = spark.createDataFrame([(i, t, "x", "y", "z") for i, t, _, _ in made], "doc_id long, text string, _chain string, row string, found string")
+    labels = spark.createDataFrame([(i, q, x) for i, _, q, x in made], "doc_id long, quality int, toxic int")
+    out = chains.judged(docs, labels)
+    assert out.columns == ["doc_id", "text", "_chain", "row", "found", "p_low_quality", "p_toxic", "rejected"]
+    assert {(r["_chain"], r["row"], r["found"]) for r in out.collect()} == {("x", "y", "z")}
