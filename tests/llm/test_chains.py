@@ -82,20 +82,6 @@ def test_features_are_counted_over_all_labelled_texts(spark):
     assert "grimly" in chain.words
 
 
-def test_every_feature_that_passes_is_used(spark):
-    """1,000 words tell the category; no number of features is cut off."""
-    rng = random.Random(4)
-    telling = [f"{chr(97 + i // 100)}{chr(97 + i // 10 % 10)}{chr(97 + i % 10)}" for i in range(1000)]
-    made = []
-    for i in range(4000):
-        bad = i % 2
-        made.append((i, " ".join(rng.choices(telling if bad else WORDS, k=20)), 1, bad))
-    docs = spark.createDataFrame([(i, t) for i, t, _, _ in made], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, q, x) for i, _, q, x in made], "doc_id long, quality int, toxic int")
-    chain = chains.fit(docs, chains.label_categories(labels), chains.CATEGORIES)
-    assert set(chain.words) >= set(telling) | set(WORDS)
-
-
 def test_the_fit_and_the_scores_cut_words_alike(spark):
     texts = ["x\u00b2 plainly \u2167a\u2167bc", "\u0130stanbul_snake caf\u00e9-bars 12ab34", "\u03a3\u03a3\u03a3 na\u00efvet\u00e9\u0301s", ""]
     rows = chains.with_features(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")).collect()
