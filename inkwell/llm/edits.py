@@ -7,9 +7,11 @@ each hit the passage is verified by Myers' bit-parallel edit distance. Both text
 are compared in lower case with every run of other than letters and digits as
 one blank.
 
-The items are a given query set. They are split into blocks of bounded size;
-each block's pieces are shipped to the tasks, and every block meets every
-document, so no size of the set makes one task hold it all.
+The items are a given query set. They are split into blocks of bounded size and
+go block by block: the driver holds one block and the part of the table it is read
+from, a block's pieces are shipped to the tasks, and every block meets every
+document. With more than one block the results of each are stored before the next
+begins, so no size of the set makes the driver or one task hold it all.
 
 Defined cases: a null or empty text holds nothing; an item without a letter or
 digit is left out; items with equal texts are each reported; a repeated document
@@ -26,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.session import discard, durable, new_shared_path
+
 # Parameters: edits allowed per character of an item, and the characters of
 # items that one block, and so one task, holds.
 EDIT_RATE, BLOCK_CHARS = 0.05, 4 << 20
@@ -109,20 +113,21 @@ class PieceIndex:
             yield self.items[i][0], edits
 
 
-def item_blocks(items: DataFrame, block_chars: int) -> list[list[tuple[int, str]]]:
-    """The query set in blocks of at most ``block_chars`` characters, one item at least."""
-    blocks: list[list[tuple[int, str]]] = []
-    size = block_chars + 1
+def item_blocks(items: DataFrame, block_chars: int) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The query set in blocks of at most ``block_chars`` characters, one item at least; and whether more follow."""
+    block: list[tuple[int, str]] = []
+    size = 0
     for row in items.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
         text = normalised(row["text"])
         if not text:
             continue
-        if size + len(text) > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row["item_id"], text))
+        if block and size + len(text) > block_chars:
+            yield block, True
+            block, size = [], 0
+        block.append((row["item_id"], text))
         size += len(text)
-    return blocks
+    if block:
+        yield block, False
 
 
 def find_items(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -132,9 +137,7 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, block
     schema = f"doc_id {kind}, item_id {item_kind}, edits long"
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
 
-    def search(block: list[tuple[int, str]]):
-        shipped = docs.sparkSession.sparkContext.broadcast(block)
-
+    def search(shipped):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index = PieceIndex(shipped.value, rate)
             for batch in batches:
@@ -148,10 +151,16 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, block
 
         return run
 
-    out = docs.sparkSession.createDataFrame([], schema)
-    for block in item_blocks(items, block_chars):
-        out = out.unionByName(texts.mapInPandas(search(block), schema))
-    return out
+    spark, path = docs.sparkSession, None
+    for block, more in item_blocks(items, block_chars):
+        shipped = spark.sparkContext.broadcast(block)
+        hits = texts.mapInPandas(search(shipped), schema)
+        if path is None and not more:
+            return hits
+        path = path or new_shared_path(spark, "item-hits")
+        hits.write.mode("append").parquet(path)
+        shipped.unpersist()
+    return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -165,7 +174,15 @@ def uncontaminated(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, b
 
         return F.pandas_udf(clean, "boolean")
 
-    kept = docs
-    for block in item_blocks(items, block_chars):
-        kept = kept.where(holds_none(docs.sparkSession.sparkContext.broadcast(block))(F.col("text")))
+    kept, stored = docs, None
+    for block, more in item_blocks(items, block_chars):
+        shipped = docs.sparkSession.sparkContext.broadcast(block)
+        kept = kept.where(holds_none(shipped)(F.col("text")))
+        if more:
+            # Stored, so that no task holds the pieces of two blocks.
+            before, stored = stored, durable(kept, "free-of-block")
+            kept = stored
+            shipped.unpersist()
+            if before is not None:
+                discard(docs.sparkSession, before)
     return kept

@@ -51,6 +51,8 @@ def test_documents(spark):
     assert small == found
     kept = edits.uncontaminated(docs, items)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {4, 5, 7}
+    blocks = edits.uncontaminated(docs, items, block_chars=50)
+    assert blocks.columns == docs.columns and {r["doc_id"] for r in blocks.collect()} == {4, 5, 7}
     assert edits.uncontaminated(docs, items.limit(0)).count() == docs.count()
     assert edits.find_items(docs.limit(0), items).count() == 0
 
@@ -62,3 +64,12 @@ def test_exact_items_of_the_tables(spark):
     texts = [(d["doc_id"], edits.normalised(d["text"])) for d in docs.collect()]
     exact = {(d, i["item_id"]) for i in items.collect() for d, t in texts if edits.normalised(i["text"]) in t}
     assert exact and exact <= found
+
+
+def test_blocks_hold_all_items_and_no_more_than_their_size(spark):
+    items = spark.createDataFrame([(i, "word " * (1 + i % 7)) for i in range(60)] + [(60, "long " * 100)], "item_id long, text string")
+    blocks = list(edits.item_blocks(items, 120))
+    assert [more for _, more in blocks] == [True] * (len(blocks) - 1) + [False]
+    assert sorted(i for block, _ in blocks for i, _ in block) == list(range(61))
+    assert all(len(block) == 1 or sum(len(t) for _, t in block) <= 120 for block, _ in blocks)
+    assert list(edits.item_blocks(items.limit(0), 120)) == []
