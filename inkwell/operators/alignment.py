@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.text import space_tokens
 from inkwell.operators.lookup import lookup
-from inkwell.session import spread
+from inkwell.session import GRAM_BYTES, spread
 
 # Weights of the score.
 ALPHA, BETA, GAMMA = 0.9, 3.0, 0.5
@@ -58,7 +58,7 @@ def meteor(
             ),
         )
 
-    tokens = spread(pairs.select(*keys, "reference", "generated"), *keys).select(
+    tokens = spread(pairs.select(*keys, "reference", "generated"), *keys, each=GRAM_BYTES).select(
         *keys, F.inline_outer(F.concat(side("reference", True), side("generated", False)))
     )
     from_end = Window.partitionBy(*keys, "token", "ref").orderBy(F.col("pos").desc())

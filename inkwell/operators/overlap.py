@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.text import alnum_tokens, ngrams, space_tokens
 from inkwell.operators.lookup import lookup
-from inkwell.session import spread
+from inkwell.session import GRAM_BYTES, spread
 
 ROUGE, BLEU = "rouge", "bleu"
 BLEU_ORDERS = (1, 2, 3, 4)
@@ -49,7 +49,7 @@ def stemmed(pairs: DataFrame, keys: list[str], stems: DataFrame) -> DataFrame:
             lambda t, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), t.alias("token")),
         )
 
-    placed = spread(pairs.select(*keys, "reference", "generated"), *keys).select(
+    placed = spread(pairs.select(*keys, "reference", "generated"), *keys, each=GRAM_BYTES).select(
         *keys, F.inline_outer(F.concat(listed("reference"), listed("generated")))
     )
     found = lookup(placed, stems, "token", [*keys, "side", "pos"]).withColumn("word", F.coalesce("stem", "token"))
@@ -79,7 +79,7 @@ def overlap_counts(
     used = [(family, side) for family in cuts if orders[family] for side in sides]
     # Cut into tokens first, as columns: an expression inside the n-gram
     # function would be evaluated anew for every n-gram.
-    tokens = spread(pairs.select(*keys, *sides), *keys).select(
+    tokens = spread(pairs.select(*keys, *sides), *keys, each=GRAM_BYTES).select(
         *keys, *[cuts[family](F.col(side)).alias(f"_{family}_{side}") for family, side in used]
     )
     exploded = tokens.select(

@@ -13,7 +13,7 @@ from inkwell.operators.alignment import meteor as meteor_scores
 from inkwell.operators.overlap import bleu_column, overlap_counts, rouge_columns, stemmed
 from inkwell.operators.perplexity import WordModel, perplexity as perplexities
 from inkwell.operators.subsequence import with_rouge_l
-from inkwell.session import durable, spread
+from inkwell.session import GRAM_BYTES, durable, spread
 
 
 def score_table(
@@ -44,7 +44,7 @@ def score_table(
         words = durable(stemmed(pairs, keys, stems), "stemmed")
         counts = overlap_counts(words, keys, (1, 2))
         parts.append(counts.select(*keys, *[rouge_columns(n)[f"rouge{n}"].alias(f"rouge{n}") for n in (1, 2)]))
-        parts.append(with_rouge_l(spread(words, *keys)).select(*keys, "rougeL"))
+        parts.append(with_rouge_l(spread(words, *keys, each=GRAM_BYTES)).select(*keys, "rougeL"))
         rouge = False
     if rouge or bleu:
         columns = {f"rouge{n}": rouge_columns(n)[f"rouge{n}"] for n in (1, 2)} if rouge else {}
@@ -57,7 +57,7 @@ def score_table(
     if perplexity:
         parts.append(perplexities(pairs, model, keys, "source"))
     if rouge or shown or not parts:
-        whole = spread(pairs.select(*keys, *texts), *keys)
+        whole = spread(pairs.select(*keys, *texts), *keys, each=GRAM_BYTES)
         parts.insert(0, with_rouge_l(whole) if rouge else whole)
     table = reduce(lambda left, right: left.join(right, keys), parts)
     order = ["rouge1", "rouge2", "rougeL", "bleu", "meteor", "perplexity"]
