@@ -36,3 +36,29 @@ def test_parts_of_the_score_table_have_the_same_partitions(some_pairs):
     table = scores.score_table(pairs, KEYS, True, True, True, True, ppl.count_words(pairs, "source"))
     found = partitions(table)
     assert len(found) == 3 and len(set(found)) == 1 and 9 <= found[0] <= 10
+
+
+def _rows(df, *columns):
+    return sorted(tuple(r[c] for c in columns) for r in df.collect())
+
+
+def test_rows_of_common_keys_are_not_exchanged(spark):
+    from inkwell.operators import lookup as lk
+
+    tokens = F.when(F.col("id") % 3 > 0, "common").when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit("t"), F.col("id").cast("string")))
+    rows = spark.range(0, 3000).select("id", tokens.alias("token"))
+    counts = session.durable(rows.where("token is not null").groupBy("token").agg(F.count("*").alias("n")), "counts")
+    few = session.durable(counts.where("token like 't1%'").withColumn("value", F.length("token")), "few")
+    small, large = lk.matches(rows, few, "token", ["id"], counts), lk.matches(rows, few, "token", ["id"], counts, broadcast_bytes=1000)
+    assert _rows(large, "id", "value") == _rows(small, "id", "value") and "LeftAnti" in large._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spans_of_long_words_are_found_too(spark):
+    from inkwell.operators import resegment as rs
+
+    costs = session.durable(spark.createDataFrame([("a", 5), ("cat", 7), ("house", 9), ("catamaran", 11)], "word string, cost long"), "costs")
+    tokens = spark.createDataFrame([(1, "Acatamaran"), (2, "houseCat"), (3, "zz"), (4, "x" * 300 + "house")], "id long, token string")
+    whole = _rows(rs.known_spans(tokens, costs), "id", "start", "stop", "cost")
+    assert (1, 1, 10, 11) in whole and (4, 300, 305, 9) in whole
+    for limit in (0, 66, 200):
+        assert _rows(rs.known_spans(tokens, costs, limit), "id", "start", "stop", "cost") == whole
