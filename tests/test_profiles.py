@@ -3,9 +3,11 @@
 from collections import Counter
 from math import floor, log
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from inkwell.operators.profiles import learn_profiles, likeliest
+from inkwell.operators import profiles
+from inkwell.operators.profiles import learn_profiles, letter_runs, likeliest
 
 SCHEMA = "id long, lang string, text string"
 
@@ -55,3 +57,29 @@ def test_texts_not_learnt_from(spark):
     found = likeliest(docs.where(fold == 0), ["doc_id"], *learn_profiles(docs.where(fold == 1)))
     right, all_ = docs.join(found, "doc_id").agg(F.count_if(F.col("lang") == F.col("detected")), F.count("*")).first()
     assert all_ > 100 and right / all_ > 0.95
+
+
+def test_a_text_is_one_row_per_different_run(spark):
+    texts = ["the the the the", "Été\x00Été", "😀😀😀😀", "ab", "", None, "abcabc" * 500]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for letters in (1, 3, 4, 5):
+        got = letter_runs(rows, ["id"], letters=letters).collect()
+        assert len(got) == len({(r["id"], r["run"]) for r in got})
+        for i, text in enumerate(texts):
+            low = "".join(c.lower() if c.isascii() else c for c in text or "")
+            wanted = Counter(low[j : j + letters] for j in range(len(low) - letters + 1))
+            assert {r["run"]: r["times"] for r in got if r["id"] == i} == (wanted or {None: None})
+
+
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    monkeypatch.setattr(profiles, "PIECE_LETTERS", 5)
+    monkeypatch.setattr(profiles, "BATCH_ROWS", 3)
+    text = "abracadabra, abracadabra"
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "_text": [text, None, "xy"]})
+    found = [r for b in profiles._run_counter(3)(iter([batch])) for r in b.to_pylist()]
+    got = Counter()
+    for r in found:
+        if r["id"] == 1:
+            got[r["run"]] += r["times"]
+    assert got == Counter(plain_runs(text))
+    assert [(r["run"], r["times"]) for r in found if r["id"] > 1] == [(None, None)] * 2
