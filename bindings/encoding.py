@@ -14,7 +14,7 @@ from inkwell.plans import training
 
 
 def _shown(ids: str) -> Column:
-    return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
+    return F.array_join(F.col(ids).cast("array<string>"), " ")
 
 
 def _vocabulary_sql(pairs: str, min_count: int) -> str:
@@ -109,7 +109,7 @@ def training_set(spark, sf_dir):
         F.col("doc_id").alias("id"), F.col("text").alias("body"), first_sentence().alias("abstract")
     )
     rows = training.training_set(pairs, min_count=1)
-    attended = F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x)
+    attended = F.size(F.array_remove("attention_mask", 0)).cast("long")
     return rows.select(
         "id", "split", F.md5(_shown("input_ids")).alias("input_digest"), attended.alias("n_input"),
         _shown("labels").alias("labels"),

@@ -65,13 +65,23 @@ def encode(
     found = lookup(tokens, vocabulary.select("token", "n", "token_id"), "token", [key])
     token_id = F.coalesce("token_id", F.lit(UNKNOWN_ID))
 
-    def gathered(side: int) -> Column:
-        placed = F.collect_list(F.when(F.col("side") == side, F.struct("pos", token_id.alias("i"))))
-        ids = F.transform(F.array_sort(placed), lambda x: x["i"])
+    # Side, place and id in one number: a third of a struct's bytes, and sorted as a number.
+    placed = F.shiftleft(F.col("side").cast("long"), 62) + F.shiftleft(F.col("pos").cast("long"), 32) + token_id
+    numbers = found.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.when(F.col("side").isNotNull(), placed))).alias("_all"),
+        F.count_if(F.col("side") == 0).cast("int").alias("_n"),
+    )
+
+    def framed(ids: Column) -> Column:
         return F.concat(F.array(F.lit(START_ID)), ids, F.array(F.lit(END_ID)))
 
-    framed = found.groupBy(key).agg(gathered(0).alias("b"), gathered(1).alias("a"))
-    return framed.select(
+    ids = F.transform("_all", lambda x: x.bitwiseAND(0xFFFFFFFF).cast("int"))
+    sides = numbers.select(key, ids.alias("_ids"), "_n").select(
+        key,
+        framed(F.slice("_ids", F.lit(1), F.col("_n"))).alias("b"),
+        framed(F.slice("_ids", F.col("_n") + 1, F.size("_ids"))).alias("a"),
+    )
+    return sides.select(
         key,
         input_ids(F.col("b"), max_input).alias("input_ids"),
         attention_mask(F.col("b"), max_input).alias("attention_mask"),

@@ -184,3 +184,17 @@ def test_hot_keys_are_spread_even_if_the_table_lacks_them(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert parts > 1
+
+
+def test_tokens_are_gathered_as_numbers(spark):
+    rows = [(1, "b a", "c"), (2, "", "a b"), (3, "a", None), (4, "", ""), (5, "zz a", "zz")]
+    pairs = spark.createDataFrame(rows, "id long, body string, abstract string")
+    words = durable(spark.createDataFrame([("a", 3, 4), ("b", 2, 5), ("c", 1, 2**31 - 1)], "token string, n long, token_id int"), "words")
+    got = enc.encode(pairs, words, max_input=5, max_output=4)
+    found = {r["id"]: (r["input_ids"], r["labels"]) for r in got.collect()}
+    assert found == {
+        1: ([0, 5, 4, 2, 1], [0, 2**31 - 1, 2, -100]), 2: ([0, 2, 1, 1, 1], [0, 4, 5, 2]), 3: ([0, 2, 1, 1, 1], [0, 2, -100, -100]),
+        4: ([0, 2, 1, 1, 1], [0, 2, -100, -100]), 5: ([0, 3, 4, 2, 1], [0, 3, 2, -100]),
+    }
+    assert "collect_list" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct(pos" not in got._jdf.queryExecution().optimizedPlan().toString()
