@@ -65,3 +65,34 @@ def test_perplexity_of_seen_and_unseen_texts(spark, model):
         assert len(got) == len(source)
         for i, text in enumerate(source):
             assert got[i] == (None if wanted(text) is None else pytest.approx(wanted(text), rel=1e-9))
+
+
+def test_pairs_are_counted_in_their_text(spark):
+    rows = spark.createDataFrame([(1, "a b a b a b c"), (2, "C-c; c"), (3, "a"), (4, None)], "id int, text string")
+    got = ppl._counted(rows, ["id"], "text", None, 2, codes=False).collect()
+    wanted = [(1, "a", "b", 3), (1, "b", "a", 2), (1, "b", "c", 1), (2, "c", "c", 2), (3, None, None, None), (4, None, None, None)]
+    assert sorted((tuple(r) for r in got), key=str) == sorted(wanted, key=str)
+
+
+def test_rows_held_at_once_change_nothing(monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "_text": [b"a b a b", None, b"b a b"]})
+    whole = [r for b in ppl._counter(2, None, True, 0, True)(iter([batch])) for r in b.to_pylist()]
+    monkeypatch.setattr(ppl, "BATCH_ROWS", 2)
+    parts = [r for b in ppl._counter(2, None, True, 0, True)(iter([batch])) for r in b.to_pylist()]
+    assert sorted(parts, key=str) == sorted(whole, key=str)
+
+
+def test_words_with_one_code_get_another_seed(spark, monkeypatch):
+    corpus = spark.createDataFrame([(1, "a b c")], "id int, text string")
+    words = spark.createDataFrame([("a", 5, 1), ("b", 5, 1)], "token string, code long, n long")
+    plain, asked = ppl.durable, []
+
+    def stored(df, label):
+        asked.append(label)
+        return plain(words if len(asked) == 1 else df, label)
+
+    monkeypatch.setattr(ppl, "durable", stored)
+    table, total, size, seed = ppl._counted_words(corpus, "text", None)
+    assert (total, size, seed) == (3, 3, 1) and table.select("code").distinct().count() == 3
