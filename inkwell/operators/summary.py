@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import WORD_TOKEN, ngrams, space_tokens, split_sentences, word_tokens
-from inkwell.operators.lookup import lookup
-from inkwell.session import durable, spread
+from inkwell.functions.text import WORD_TOKEN, ngrams, space_tokens, split_sentences, word_pieces
+from inkwell.operators.lookup import halves, lookup
+from inkwell.session import GRAM_BYTES, durable, spread
 
 # Least and most tokens of a summary, and the n-gram order that
 # may not repeat.
@@ -18,15 +18,65 @@ MIN_TOKENS, MAX_TOKENS, NO_REPEAT = 100, 512, 3
 WEIGHT_UNIT = 1_000_000
 
 
-def _words(column: str):
-    return word_tokens(F.lower(column))
+def _words(column: str | Column) -> Column:
+    """Tokens and empty pieces; those are dropped as rows."""
+    return word_pieces(F.lower(column))
+
+
+def _token_places(texts: DataFrame, key: str) -> DataFrame:
+    """``{key, token, places}``: the different tokens of a key, each with the sentence of every occurrence.
+
+    All is done within a row. Outer explodes leave out the filter on the array's size,
+    for which the array would be made a second time.
+    """
+    def placed(parts: Column) -> Column:
+        return F.flatten(F.transform(
+            parts, lambda part, i: F.transform(_words(part), lambda t: F.struct(t.alias("token"), i.alias("sentence")))
+        ))
+
+    # Rows of the same key are one text; a row without a key has no summary.
+    whole = texts.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list("parts").alias("rows"))
+    found = whole.select(key, F.sort_array(F.flatten(F.transform("rows", placed))).alias("found"))
+    first = F.filter(
+        F.sequence(F.lit(0), F.size("found") - 1),
+        lambda i: (i == 0) | (F.get("found", i)["token"] != F.get("found", i - 1)["token"]),
+    )
+    firsts = found.withColumn("firsts", F.when(F.size("found") > 0, first))
+
+    def one(start: Column, i: Column) -> Column:
+        run = F.slice("found", start + 1, F.coalesce(F.get("firsts", i + 1), F.size("found")) - start)
+        return F.struct(F.get("found", start)["token"].alias("token"), run["sentence"].alias("places"))
+
+    return firsts.select(key, F.inline_outer(F.transform("firsts", one))).where(F.col("token") != "")
+
+
+def _sentence_sums(tokens: DataFrame, key: str, weights: DataFrame) -> DataFrame:
+    """``{key, sentence, total, size}`` of :func:`_token_places`: sums of count-in-text times weight, and tokens.
+
+    Weights of the commonest tokens are broadcast, and what they give is added up where
+    it stands. Only these sums and the occurrences of rarer tokens are exchanged.
+    """
+    common, rest = halves(weights, "token", "n")
+    value = F.size("places").cast("long")
+    found = tokens.join(F.broadcast(common.select("token", F.col("weight").alias("w"))), "token", "left")
+    rare = F.when(F.col("w").isNull(), F.col("token")) if rest is not None else F.lit(None).cast("string")
+    rows = found.select(
+        key, rare.alias("token"), (value * F.coalesce("w", F.when(rare.isNotNull(), F.lit(1)), F.lit(0))).alias("value"),
+        F.explode_outer("places").alias("sentence"),
+    )
+    sums = rows.groupBy(key, "sentence", "token").agg(F.sum("value").alias("value"), F.count("*").alias("size"))
+    if rest is not None:
+        weight = F.when(F.col("token").isNull(), 1).otherwise(F.coalesce("weight", F.lit(0)))
+        sums = lookup(sums, rest, "token", [key]).withColumn("value", F.col("value") * weight)
+    return sums.groupBy(key, "sentence").agg(F.sum("value").alias("total"), F.sum("size").alias("size"))
 
 
 def token_weights(df: DataFrame, key: str, column: str = "text") -> DataFrame:
     """``{token, n, weight}``: ln((1 + rows) / (1 + rows with the token)) + 1."""
     words = df.select(key, F.array_distinct(_words(column)).alias("ts"))
     counts = durable(
-        words.select(F.explode("ts").alias("token")).groupBy("token").agg(F.count("*").alias("n")),
+        words.select(F.explode_outer("ts").alias("token")).where(F.col("token") != "")
+        .groupBy("token").agg(F.count("*").alias("n")),
         "row-counts",
     )
     rows = df.count()
@@ -60,17 +110,9 @@ def summarize(
     """
     if weights is None:
         weights = token_weights(df, key, column)
-    texts = spread(df.select(key, column), key).select(key, split_sentences(F.col(column)).alias("parts"))
-    tokens = texts.select(key, F.posexplode("parts").alias("sentence", "content")).select(
-        key, "sentence", F.explode(_words("content")).alias("token")
-    )
-    counted = tokens.groupBy(key, "token", "sentence").agg(F.count("*").alias("c"))
-    in_text = counted.withColumn("tf", F.sum("c").over(Window.partitionBy(key, "token")))
-    weighted = lookup(in_text, weights, "token", [key])
-    scored = weighted.groupBy(key, "sentence").agg(
-        (F.sum(F.col("c") * F.col("tf") * F.coalesce("weight", F.lit(0))).cast("double") / F.sum("c")).alias("score"),
-        F.sum("c").alias("size"),
-    )
+    texts = spread(df.select(key, split_sentences(F.col(column)).alias("parts")), key, each=GRAM_BYTES)
+    sums = _sentence_sums(_token_places(texts, key), key, weights)
+    scored = sums.select(key, "sentence", (F.col("total").cast("double") / F.col("size")).alias("score"), "size")
     best_first = Window.partitionBy(key).orderBy(F.col("score").desc(), "sentence")
     best = (
         scored.withColumn("place", F.row_number().over(best_first))

@@ -1,13 +1,17 @@
 """What must not grow with the tables: rows in a task and rows that are exchanged."""
 
+import math
+import random
 import re
+from collections import Counter
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
 from bindings.registry import turn_pairs
 from inkwell import session
-from inkwell.operators import alignment, overlap, scores
+from inkwell.operators import alignment, lookup, overlap, scores, summary
 from inkwell.operators import perplexity as ppl
 
 KEYS = ["conv_id", "turn"]
@@ -62,3 +66,52 @@ def test_spans_of_long_words_are_found_too(spark):
     assert (1, 1, 10, 11) in whole and (4, 300, 305, 9) in whole
     for limit in (0, 66, 200):
         assert _rows(rs.known_spans(tokens, costs, limit), "id", "start", "stop", "cost") == whole
+
+
+def _plain_summaries(rows, sentences=3, budget=512):
+    """By definition, from rows of a text and its key; rows of one key are one text."""
+    words = lambda s: re.findall(r"[a-z0-9']+", s.lower())
+    cut = {i: [s for s in re.split(r"(?<=[.!?])\s+", t or "") if s] for i, (_, t) in enumerate(rows)}
+    counts = Counter(w for _, t in rows for w in set(words(t or "")))
+    weight = {w: round((math.log((len(rows) + 1) / (n + 1)) + 1) * 1_000_000) for w, n in counts.items()}
+    out = []
+    for i, (key, _) in enumerate(rows):
+        lists = [(at, words(s)) for j, (k, _) in enumerate(rows) if k == key and k is not None for at, s in enumerate(cut[j])]
+        tf = Counter(w for _, ws in lists for w in ws)
+        sizes, sums = Counter(), Counter()
+        for at, ws in lists:
+            sizes[at] += len(ws)
+            sums[at] += sum(tf[w] * weight[w] for w in ws)
+        best, left, taken = sorted((-sums[at] / n, at) for at, n in sizes.items() if n), budget, []
+        for _, at in best[:sentences]:
+            if left > 0 and at < len(cut[i]):
+                ends = [m.end() for m in re.finditer(r"[A-Za-z0-9']+", cut[i][at])]
+                taken.append((at, cut[i][at] if sizes[at] <= left else cut[i][at][:ends[min(left, len(ends)) - 1]]))
+            left -= sizes[at]
+        out.append((key, " ".join(s for _, s in sorted(taken))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 4000, 0])
+def test_summaries_with_a_part_of_the_weights_broadcast(spark, monkeypatch, limit):
+    rng = random.Random(5)
+    made = [(i, " ".join(" ".join(rng.choice(["the", "of", f"w{rng.randint(0, 400)}"]) for _ in range(rng.randint(1, 9))) + rng.choice(".!?") for _ in range(rng.randint(1, 12)))) for i in range(60)]
+    made += [(None, "No key here. None at all."), (None, "Another one."), (61, None), (62, ""), (63, "... !!! ?"), (64, "'Tis  one. \n It's two! Three? the the the."), (3, made[3][1]), (5, made[5][1])]
+    monkeypatch.setattr(summary, "halves", partial(lookup.halves, broadcast_bytes=limit))
+    monkeypatch.setattr(summary, "lookup", partial(lookup.lookup, broadcast_bytes=limit))
+    found = summary.summarize(spark.createDataFrame(made, "id long, text string"), "id", max_tokens=20).collect()
+    assert sorted(map(tuple, found), key=str) == _plain_summaries(made, budget=20)
+
+
+def test_summaries_neither_exchange_common_tokens_nor_sort_them(spark, monkeypatch):
+    rows = spark.range(0, 400).select("id", F.expr("repeat(concat('the cat sat. w', id, ' the dog. '), 50)").alias("text"))
+    monkeypatch.setattr(summary, "halves", partial(lookup.halves, broadcast_bytes=4000))
+    monkeypatch.setattr(summary, "lookup", partial(lookup.lookup, broadcast_bytes=4000))
+    plan = summary.summarize(rows, "id")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Window \[sum\(c#", plan) and not re.search(r"Sort \[id#\d+L? ASC NULLS FIRST, token", plan)
+    tokens = summary._token_places(rows.select("id", F.split("text", r"(?<=[.]) ").alias("parts")), "id")
+    weights = summary.token_weights(rows, "id")
+    common, rest = lookup.halves(weights, "token", "n", 4000)
+    assert {r["token"] for r in common.collect()} == {"the", "cat", "sat", "dog"} and rest.count() == 400
+    before = summary._sentence_sums(tokens, "id", weights)
+    assert before.agg(F.sum("size")).first()[0] == 400 * 50 * 6
