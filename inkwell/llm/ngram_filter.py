@@ -7,9 +7,11 @@ missing. The first level has more probes than the others, as it alone tells what
 was never seen. The counts are added up once and stored by prefix of their keys;
 the filter's size follows the entries found, and its segments are made from that
 table where it lies. Up to ``most_bytes`` it is broadcast. A larger one stays a
-stored table: the distinct keys of each chunk of texts go to their segment and the
+stored table: the distinct keys of each chunk of texts go to their segments and the
 levels found come back to the chunk, so a key comes at most once per chunk,
-however frequent it is; the scores are the same either way.
+however frequent it is; the scores are the same either way. Keys travel packed, one
+row for all that a chunk asks of a group of segments, and levels as a byte each in
+the keys' order; a chunk is kept as its texts and read a second time.
 
 A level q that is read stands for (m(q) - u m(q+1)) / (1 - u), where m is the mean
 count of a level and u the chance of one level too many: so the expected reading of
@@ -50,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.minhash import mixed
-from inkwell.session import discard, durable
+from inkwell.session import arrow_batches, discard, durable, release
 
 # Parameters: bytes of one segment, largest filter that is broadcast, bits per bit that is set,
 # probes of the first level and of each further one, most levels, pseudo-count of the
@@ -58,8 +60,11 @@ from inkwell.session import discard, durable
 # training tokens per prefix of the stored counts.
 SEGMENT, MOST_BYTES, ROOM, FIRST, MORE, LEVELS, MU = 1 << 14, 128 << 20, 1.75, 7, 3, 80, 64.0
 HEAD, REMEMBERED, PREFIX_TOKENS = 1 << 20, 1 << 18, 1 << 17
-# Characters that are worked on at once: where keys then move, and where nothing does.
+# Characters that are worked on at once: where they are counted, and where they are scored.
 CHUNK_CHARS, SCORED_CHARS = 16 << 20, 4 << 20
+# Segments of a stored filter that a task holds together, keys that it looks up at once, and
+# bytes of packed rows that go to Python at once.
+GROUP, KEYS, BATCH_BYTES = 256, 1 << 18, 8 << 20
 BLOCK_BITS = 512
 STRAY_LEVELS = 12  # false levels beyond have no weight
 
@@ -144,6 +149,16 @@ def segment_column(segments: int) -> Column:
     return F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * F.lit(segments).cast("long"), 32).cast("int")
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences, the same byte of all together: the high ones, nearly all zero, compress."""
+    return np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
 def blocks_of(keys: np.ndarray) -> np.ndarray:
     """First bit of the block, inside its segment, that has all bits of a key: one place in memory per probe."""
     return (mixed(keys) & _U(SEGMENT * 8 // BLOCK_BITS - 1)) * _U(BLOCK_BITS)
@@ -224,9 +239,9 @@ def pair_rows(texts: DataFrame) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             for a, b in chunks(batch["text"]):
-                tokens = [hashes.tokens(text) for text in batch["text"].iloc[a:b]]
-                before = np.concatenate([before_of(t) for t in tokens])
-                keys, n = np.unique(pair_keys(before, np.concatenate(tokens)), return_counts=True)
+                # Each text has its end last, which so stands before the next one's start.
+                tokens = np.concatenate([hashes.tokens(text) for text in batch["text"].iloc[a:b]])
+                keys, n = np.unique(pair_keys(before_of(tokens), tokens), return_counts=True)
                 yield pd.DataFrame({"key": keys.view(np.int64), "n": n})
 
     return texts.mapInPandas(run, "key long, n long")
@@ -426,6 +441,7 @@ def train(docs: DataFrame, most_bytes: int = MOST_BYTES, head: int = HEAD) -> Mo
         bits = parts.select("segment", "bits")
     stray, over = fill_sums(parts)
     discard(docs.sparkSession, counted)
+    release(docs.sparkSession)
     reached = stray / (segments * SEGMENT * 8 // BLOCK_BITS)
     reading = readings(number, seen, over)
     return Model(
@@ -471,6 +487,13 @@ class Chunk:
         pairs, pair = np.unique(self.before * len(self.word) + self.at, return_inverse=True)
         return pairs // len(self.word), pairs % len(self.word), pair
 
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """The filter's distinct keys, sorted, and the place among them of each word that was not
+        shipped, then of each pair."""
+        before, at, _ = self.pairs()
+        words, pairs = word_keys(self.word[~self.in_head]), pair_keys(self.word[before], self.word[at])
+        return np.unique(np.concatenate([words, pairs]), return_inverse=True)
+
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Per text, from values per token."""
         return text_sums(values, self.sizes)
@@ -496,8 +519,17 @@ def log_chance(both: np.ndarray, context: np.ndarray, alone: np.ndarray, mu: flo
     return np.log10((paired + (mu + stray) * (alone + 1) / total) / (context + stray + mu))
 
 
+def scored_schema(docs: DataFrame) -> str:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return f"doc_id {kind}, n_tokens long, known long, base double, score double, rest array<long>"
+
+
+def numbered(scored: DataFrame) -> DataFrame:
+    return durable(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+
+
 def scored_by_broadcast(docs: DataFrame, model: Model, mu: float, total: float) -> DataFrame:
-    """``{doc_id, n_tokens, known, base, score, rest}``; everything is found where the text is."""
+    """``{doc_id, n_tokens, known, base, score, rest, row}``, stored; everything is found where the text is."""
     shipped, head, reading, stray = model.filter, model.head, model.reading, model.stray
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -512,108 +544,125 @@ def scored_by_broadcast(docs: DataFrame, model: Model, mu: float, total: float)
                 found = c.sums(log_chance(both, count[before], count[at], mu, stray, total)[pair])
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].array, **c.columns(), "score": found, "rest": c.rest()})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, known long, base double, score double, rest array<long>"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
-
+    return numbered(docs.select("doc_id", "text").mapInPandas(run, scored_schema(docs)))
 
-def chunk_rows(docs: DataFrame, model: Model, total: float) -> DataFrame:
-    """One row per chunk of texts: their columns, the distinct words and pairs, and each token's pair; stored."""
-    head = model.head
 
-    def one(values: pa.Array) -> pa.Array:
-        return pa.LargeListArray.from_arrays([0, len(values)], values).cast(pa.list_(values.type))
+def chunk_rows(docs: DataFrame) -> DataFrame:
+    """``{chunk, data}``: the doc_ids and texts of each chunk, packed; stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
-            texts = batch.column("text").to_pandas()
-            for a, b in chunks(texts):
-                c = Chunk.read(texts.iloc[a:b], head.value, total)
-                before, at, pair = c.pairs()
-                row = {name: pa.array(values) for name, values in c.columns().items()}
-                row |= {
-                    "doc_id": batch.column("doc_id").slice(a, b - a),
-                    "rest": pa.array(c.rest(), pa.list_(pa.int64())),
-                    "word": pa.array(c.word.view(np.int64)),
-                    "count": pa.array(c.count),
-                    "before": pa.array(before.astype(np.int32)),
-                    "at": pa.array(at.astype(np.int32)),
-                    "pair": pa.array(pair.astype(np.int32)),
-                }
-                yield pa.RecordBatch.from_pydict({name: one(values) for name, values in row.items()})
+            for a, b in chunks(batch.column("text").to_pandas(), SCORED_CHARS):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, batch.schema, options=options) as stream:
+                    stream.write_batch(batch.slice(a, b - a))
+                yield pa.RecordBatch.from_pydict({"data": pa.array([out.getvalue().to_pybytes()], pa.binary())})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = (
-        f"n_tokens array<long>, known array<long>, base array<double>, doc_id array<{kind}>, rest array<array<long>>, "
-        "word array<long>, count array<double>, before array<int>, at array<int>, pair array<int>"
-    )
-    rows = docs.select("doc_id", "text").mapInArrow(run, schema)
+    rows = docs.select("doc_id", "text").mapInArrow(run, "data binary")
     return durable(rows.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
 
 
-def key_rows(stored: DataFrame) -> DataFrame:
-    """``{chunk, place, key}``: the filter's keys of each chunk's words that were not shipped, then of its pairs."""
+def texts_of(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def key_rows(stored: DataFrame, model: Model, total: float) -> DataFrame:
+    """``{chunk, part, data}``: the packed keys that each chunk asks of each group of segments."""
+    head, segments = model.head, model.segments
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples():
-                word = row.word.view(np.uint64)
-                asked = np.flatnonzero(row.count_ < 0)
-                place = np.concatenate([asked, len(word) + np.arange(len(row.before))]).astype(np.int32)
-                keys = np.concatenate([word_keys(word[asked]), pair_keys(word[row.before], word[row.at])])
-                yield pd.DataFrame({"chunk": row.chunk, "place": place, "key": keys.view(np.int64)})
+            for chunk, data in zip(batch["chunk"], batch["data"]):
+                texts = texts_of(data).column("text").to_pandas()
+                keys, _ = Chunk.read(texts, head.value, total).keys()
+                part = (segment_of(keys, segments) // _U(GROUP)).astype(np.int32)
+                starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                found = [packed(keys[a:b]) for a, b in zip(starts, [*starts[1:], len(keys)])]
+                yield pd.DataFrame({"chunk": chunk, "part": part[starts], "data": found})
 
-    return stored.select("chunk", "word", F.col("count").alias("count_"), "before", "at").mapInPandas(run, "chunk long, place int, key long")
+    return stored.select("chunk", "data").mapInPandas(run, "chunk long, part int, data binary")
 
 
 def found_levels(asked: DataFrame, model: Model) -> DataFrame:
-    """``{chunk, place, level}`` of the keys asked for that the stored segments hold."""
+    """``{chunk, part, data}``: the levels of the keys of :func:`key_rows`, a byte each; stored."""
+    segments = model.segments
+
+    def looked_up(part: int, bits: np.ndarray, held: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
+        keys = np.concatenate([k for _, k in held])
+        segment = segment_of(keys, segments) - _U(part * GROUP)
+        level = levels_at(bits, segment * _U(SEGMENT * 8) + blocks_of(keys), keys).astype(np.uint8)
+        each = np.split(level, np.cumsum([len(k) for _, k in held])[:-1])
+        return pd.DataFrame({"chunk": [c for c, _ in held], "part": part, "data": [x.tobytes() for x in each]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # The last segment seen is kept, as its keys may go on in the next rows.
-        ids, bits = np.array([-1]), np.zeros(SEGMENT, np.uint8)
+        # The group's segments come first, without those that are empty.
+        now, bits, held, number = -1, np.empty(0, np.uint8), [], 0
         for batch in batches:
-            is_key = batch["bits"].isna().to_numpy()
-            ids = np.append(ids[-1:], batch["segment"].to_numpy()[~is_key])
-            bits = np.concatenate([bits[-SEGMENT:], *(np.frombuffer(x, np.uint8) for x in batch["bits"][~is_key])])
-            of_keys = batch[is_key]
-            at = np.searchsorted(ids, of_keys["segment"].to_numpy(), "right") - 1
-            there = ids[at] == of_keys["segment"].to_numpy()
-            of_keys, at = of_keys[there], at[there]
-            keys = of_keys["key"].to_numpy().astype(np.int64).view(np.uint64)
-            level = levels_at(bits, at.astype(np.uint64) * _U(SEGMENT * 8) + blocks_of(keys), keys)
-            out = pd.DataFrame({"chunk": of_keys["chunk"].to_numpy(), "place": of_keys["place"].to_numpy(), "level": level})
-            yield out[level > 0]
-
-    rows = asked.withColumn("segment", segment_column(model.segments)).unionByName(model.filter, allowMissingColumns=True)
-    # Segments carry zeros in the other columns: a null would turn longs into doubles.
-    rows = rows.select("segment", "bits", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("chunk", "place", "key")])
-    placed = rows.repartition("segment").sortWithinPartitions("segment", F.col("bits").isNull())
-    return placed.mapInPandas(run, "chunk long, place int, level int")
+            for chunk, part, segment, data in zip(batch["chunk"], batch["part"], batch["segment"], batch["data"]):
+                if held and (part != now or number >= KEYS):
+                    yield looked_up(now, bits, held)
+                    held, number = [], 0
+                if part != now:
+                    now, bits = part, np.zeros(GROUP * SEGMENT, np.uint8)
+                if chunk < 0:
+                    at = (segment - part * GROUP) * SEGMENT
+                    bits[at : at + SEGMENT] = np.frombuffer(data, np.uint8)
+                else:
+                    held.append((chunk, unpacked(data)))
+                    number += len(held[-1][1])
+        if held:
+            yield looked_up(now, bits, held)
+
+    parts = model.filter.select(
+        F.lit(-1).cast("long").alias("chunk"), F.floor(F.col("segment") / GROUP).cast("int").alias("part"), "segment", F.col("bits").alias("data")
+    )
+    rows = asked.select("chunk", "part", F.lit(-1).alias("segment"), "data").unionByName(parts)
+    placed = rows.repartition("part").sortWithinPartitions("part", "chunk")
+    return durable(placed.mapInPandas(run, "chunk long, part int, data binary"), "levels")
 
 
 def scored_by_segments(docs: DataFrame, model: Model, mu: float, total: float) -> DataFrame:
-    """As :func:`scored_by_broadcast`, with the filter as a stored table; stored."""
-    stored = chunk_rows(docs, model, total)
-    reading, stray = model.reading, model.stray
-
-    def run(chunk: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
-        row = chunk.iloc[0]
-        words = len(row["word"])
-        level = np.zeros(words + len(row["before"]), np.int64)
-        level[levels["place"].to_numpy()] = levels["level"].to_numpy()
-        counts, exact = reading[level], row["count"]
-        alone, both = np.where(exact < 0, counts[:words], exact), counts[words:]
-        found = log_chance(both, alone[row["before"]], alone[row["at"]], mu, stray, total)
-        return pd.DataFrame({"chunk": [row["chunk"]], "score": [text_sums(found[row["pair"]], row["n_tokens"])]})
-
-    levels = found_levels(key_rows(stored), model)
-    sides = stored.select("chunk", "n_tokens", "word", "count", "before", "at", "pair"), levels
-    scores = sides[0].groupBy("chunk").cogroup(sides[1].groupBy("chunk")).applyInPandas(run, "chunk long, score array<double>")
-    columns = ["doc_id", "n_tokens", "known", "base", "score", "rest"]
-    whole = stored.select("chunk", *[c for c in columns if c != "score"]).join(scores, "chunk")
-    out = durable(whole.select(F.inline(F.arrays_zip(*columns))), "chunk-scores")
-    discard(docs.sparkSession, stored)
+    """As :func:`scored_by_broadcast`, with the filter as a stored table."""
+    spark, stored = docs.sparkSession, chunk_rows(docs)
+    with arrow_batches(spark, BATCH_BYTES):
+        levels = found_levels(key_rows(stored, model, total), model)
+    release(spark)
+    head, reading, stray = model.head, model.reading, model.stray
+
+    def one(data: bytes, found: list[bytes]) -> pa.RecordBatch:
+        texts = texts_of(data)
+        c = Chunk.read(texts.column("text").to_pandas(), head.value, total)
+        before, at, pair = c.pairs()
+        _, place = c.keys()
+        counts = reading[np.frombuffer(b"".join(found), np.uint8)[place]]
+        count, rare = c.count.copy(), int((~c.in_head).sum())
+        count[~c.in_head] = counts[:rare]
+        score = c.sums(log_chance(counts[rare:], count[before], count[at], mu, stray, total)[pair])
+        return pa.RecordBatch.from_pydict({
+            "doc_id": texts.column("doc_id").combine_chunks(), **{name: pa.array(values) for name, values in c.columns().items()},
+            "score": pa.array(score), "rest": pa.array(c.rest(), pa.list_(pa.int64())),
+        })
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A chunk's texts come first, then its levels group by group, in the order of its keys.
+        texts, found = None, []
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("data")):
+                if part < 0:
+                    if texts is not None:
+                        yield one(texts, found)
+                    texts, found = data.as_py(), []
+                else:
+                    found.append(data.as_py())
+        if texts is not None:
+            yield one(texts, found)
+
+    rows = stored.select("chunk", F.lit(-1).alias("part"), "data").unionByName(levels)
+    placed = rows.repartition("chunk").sortWithinPartitions("chunk", "part")
+    with arrow_batches(spark, BATCH_BYTES):
+        out = numbered(placed.select("part", "data").mapInArrow(run, scored_schema(docs)))
+    discard(spark, stored, levels)
     return out
 
 
@@ -625,7 +674,7 @@ def score(docs: DataFrame, model: Model, mu: float = MU) -> DataFrame:
     """
     total = float(model.tokens + model.distinct + 1)
     by = scored_by_segments if isinstance(model.filter, DataFrame) else scored_by_broadcast
-    scored = durable(by(docs, model, mu, total).withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = by(docs, model, mu, total)
     rare = scored.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     counts = model.vocabulary.where(F.col("n") < model.least)
     each = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(total)) * F.col("times")

@@ -158,3 +158,27 @@ def test_filter_beyond_the_broadcast_follows_the_tokens(spark, docs):
     )
     assert len(stored) == len(rows) and stored == shipped
     assert lm.score(table.limit(0), model).count() == 0
+
+
+def test_keys_are_packed_in_order():
+    rng = np.random.default_rng(3)
+    for keys in (np.empty(0, np.uint64), np.array([0, 1, 2**64 - 1], np.uint64), np.unique(rng.integers(0, 2**64, 5000, np.uint64))):
+        assert (lm.unpacked(lm.packed(keys)) == keys).all() and len(lm.packed(keys)) == 8 * len(keys)
+
+
+def test_chunks_of_a_stored_filter_stay_small(spark, monkeypatch):
+    """What one row holds follows the characters scored at once, and a group's segments, not the tables."""
+    before, rng = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"), np.random.default_rng(4)
+    texts = [" ".join(f"w{n}" for n in rng.integers(0, 500, 200_000)) for _ in range(6)]
+    table = spark.createDataFrame([*enumerate(texts), (None, None)], "doc_id long, text string").coalesce(1)
+    model = lm.train(table, most_bytes=lm.SEGMENT)
+    stored = lm.chunk_rows(table)
+    sizes = [sum(len(t or "") for t in lm.texts_of(r["data"])["text"].to_pylist()) for r in stored.collect()]
+    assert sum(sizes) == sum(map(len, texts)) and len(sizes) > 1 and max(sizes) < lm.SCORED_CHARS + max(map(len, texts))
+    asked = lm.key_rows(stored, model, float(model.tokens + model.distinct + 1))
+    assert asked.count() <= len(sizes) * -(-model.segments // lm.GROUP)
+    shipped = sorted((r["doc_id"] or -1, round(r["score"], 6)) for r in lm.score_documents(table).collect())
+    for name, value in (("SCORED_CHARS", 1 << 20), ("GROUP", 2), ("KEYS", 1000)):
+        monkeypatch.setattr(lm, name, value)
+    assert sorted((r["doc_id"] or -1, round(r["score"], 6)) for r in lm.score_documents(table, most_bytes=lm.SEGMENT).collect()) == shipped
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
