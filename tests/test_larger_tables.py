@@ -68,6 +68,61 @@ def test_spans_of_long_words_are_found_too(spark):
         assert _rows(rs.known_spans(tokens, costs, limit), "id", "start", "stop", "cost") == whole
 
 
+def _glued(spark):
+    rng = random.Random(7)
+    words = ["a", "ab", "base", "cat", "catamaran", "data", "market", "ΟΔΟΣ", "İzmir", "σε", "Straße", "x" * 40]
+    line = lambda: ". ".join(" ".join(rng.choice(words)[: rng.choice([2, 50, 50])] for _ in range(rng.randint(0, 6))) for _ in range(4))
+    rows = [(i, line()) for i in range(60)] + [(7, line()), (7, line()), (None, line()), (None, line()), (61, None), (62, "")]
+    return spark.createDataFrame(rows, "id long, text string").select("id", F.split("text", "[.] ").alias("sentences"))
+
+
+def test_sentences_without_blanks_are_exchanged_once(spark):
+    from inkwell.operators import resegment as rs
+
+    made = rs.resegment(_glued(spark), "id", drop_blanks=True)
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
+
+
+def test_sentences_are_cut_alike_where_the_words_are_not_broadcast(spark, monkeypatch):
+    from inkwell.operators import resegment as rs
+
+    whole = sorted(map(tuple, rs.resegment(_glued(spark), "id", drop_blanks=True).collect()), key=str)
+    assert len(whole) == 63 and any("Straße" in x for _, xs in whole for x in xs)
+    for limit in (0, 300):
+        monkeypatch.setattr(rs, "BROADCAST_BYTES", limit)
+        cut = rs.resegment(_glued(spark), "id", drop_blanks=True).collect()
+        assert sorted(map(tuple, cut), key=str) == whole
+
+
+def test_hardly_more_than_known_words_are_exchanged(spark):
+    from inkwell.operators import resegment as rs
+
+    rng = random.Random(8)
+    made = lambda: "".join(rng.choices("abcdefghij", k=6))
+    words = sorted({made() for _ in range(300)})
+    table = session.durable(spark.createDataFrame([(w,) for w in words], "word string"), "words")
+    texts = ["".join(rng.choice(words) if rng.random() < 0.5 else made() for _ in range(40)) for _ in range(50)]
+    rows = spark.createDataFrame([([x, x],) for x in texts], "lines array<string>")
+    found = [r["p"] for r in rows.select(rs._candidates(rs._sieve(table), [6])("lines").alias("p")).collect()]
+    true = [{x[i : i + 6] for i in range(len(x) - 5)} & set(words) for x in texts]
+    assert all(t <= set(p) and len(p) == len(set(p)) for t, p in zip(true, found))
+    assert sum(map(len, found)) < 1.05 * sum(map(len, true))
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    import numpy as np
+
+    from inkwell.operators import resegment as rs
+
+    monkeypatch.setattr(rs, "_letter_values", lambda codes: np.ones(codes.shape, np.uint64))
+    spans = rs.Spans(["abcabd", "xab"], [rs.Words(["abc", "abd", "ab", "ba"], np.array([5, 6, 7, 8]))])
+    assert [(t, known, *map(list, found)) for t, known, *found in spans.each()] == [
+        ("abcabd", False, [0, 0, 3, 3], [2, 3, 5, 6], [7, 5, 7, 6]), ("xab", False, [1], [3], [7])
+    ]
+
+
 def _plain_summaries(rows, sentences=3, budget=512):
     """By definition, from rows of a text and its key; rows of one key are one text."""
     words = lambda s: re.findall(r"[a-z0-9']+", s.lower())
