@@ -63,7 +63,7 @@ HEAD, REMEMBERED, PREFIX_TOKENS = 1 << 20, 1 << 18, 1 << 17
 # Characters that are worked on at once: where they are counted, and where they are scored.
 CHUNK_CHARS, SCORED_CHARS = 16 << 20, 4 << 20
 # Segments of a stored filter that a task holds together, keys that it looks up at once, and
-# bytes of packed rows that go to Python at once.
+# bytes of rows to be scored that go to Python at once.
 GROUP, KEYS, BATCH_BYTES = 256, 1 << 18, 8 << 20
 BLOCK_BITS = 512
 STRAY_LEVELS = 12  # false levels beyond have no weight
@@ -544,7 +544,8 @@ def scored_by_broadcast(docs: DataFrame, model: Model, mu: float, total: float)
                 found = c.sums(log_chance(both, count[before], count[at], mu, stray, total)[pair])
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].array, **c.columns(), "score": found, "rest": c.rest()})
 
-    return numbered(docs.select("doc_id", "text").mapInPandas(run, scored_schema(docs)))
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        return numbered(docs.select("doc_id", "text").mapInPandas(run, scored_schema(docs)))
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
