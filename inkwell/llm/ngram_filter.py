@@ -6,7 +6,7 @@ these counts is put into one Bloom filter q times, as (pair, 1) .. (pair, q). A
 missing. The first level has more probes than the others, as it alone tells what
 was never seen. The counts are added up once and stored by prefix of their keys;
 the filter's size follows the entries found, and its segments are made from that
-table where it lies. Up to ``most_bytes`` it is broadcast. A larger one stays a
+table where it lies. Up to ``most_bytes`` it is broadcast, to each Python worker. A larger one stays a
 stored table: the distinct keys of each chunk of texts go to their segments and the
 levels found come back to the chunk, so a key comes at most once per chunk,
 however frequent it is; the scores are the same either way. Keys travel packed, one
@@ -58,7 +58,7 @@ from inkwell.session import arrow_batches, discard, durable, release
 # probes of the first level and of each further one, most levels, pseudo-count of the
 # smoothing, words of exact counts that are shipped, words that a task remembers, and
 # training tokens per prefix of the stored counts.
-SEGMENT, MOST_BYTES, ROOM, FIRST, MORE, LEVELS, MU = 1 << 14, 128 << 20, 1.75, 7, 3, 80, 64.0
+SEGMENT, MOST_BYTES, ROOM, FIRST, MORE, LEVELS, MU = 1 << 14, 16 << 20, 1.75, 7, 3, 80, 64.0
 HEAD, REMEMBERED, PREFIX_TOKENS = 1 << 20, 1 << 18, 1 << 17
 # Characters that are worked on at once: where they are counted, and where they are scored.
 CHUNK_CHARS, SCORED_CHARS = 16 << 20, 4 << 20
@@ -487,12 +487,9 @@ class Chunk:
         pairs, pair = np.unique(self.before * len(self.word) + self.at, return_inverse=True)
         return pairs // len(self.word), pairs % len(self.word), pair
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """The filter's distinct keys, sorted, and the place among them of each word that was not
-        shipped, then of each pair."""
-        before, at, _ = self.pairs()
-        words, pairs = word_keys(self.word[~self.in_head]), pair_keys(self.word[before], self.word[at])
-        return np.unique(np.concatenate([words, pairs]), return_inverse=True)
+    def keys(self, before: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The filter's keys of each word that was not shipped, then of each pair."""
+        return np.concatenate([word_keys(self.word[~self.in_head]), pair_keys(self.word[before], self.word[at])])
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Per text, from values per token."""
@@ -576,7 +573,9 @@ def key_rows(stored: DataFrame, model: Model, total: float) -> DataFrame:
         for batch in batches:
             for chunk, data in zip(batch["chunk"], batch["data"]):
                 texts = texts_of(data).column("text").to_pandas()
-                keys, _ = Chunk.read(texts, head.value, total).keys()
+                c = Chunk.read(texts, head.value, total)
+                pairs = np.unique(c.before * len(c.word) + c.at)
+                keys = np.unique(c.keys(pairs // len(c.word), pairs % len(c.word)))
                 part = (segment_of(keys, segments) // _U(GROUP)).astype(np.int32)
                 starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                 found = [packed(keys[a:b]) for a, b in zip(starts, [*starts[1:], len(keys)])]
@@ -635,7 +634,7 @@ def scored_by_segments(docs: DataFrame, model: Model, mu: float, total: float) -
         texts = texts_of(data)
         c = Chunk.read(texts.column("text").to_pandas(), head.value, total)
         before, at, pair = c.pairs()
-        _, place = c.keys()
+        _, place = np.unique(c.keys(before, at), return_inverse=True)
         counts = reading[np.frombuffer(b"".join(found), np.uint8)[place]]
         count, rare = c.count.copy(), int((~c.in_head).sum())
         count[~c.in_head] = counts[:rare]
